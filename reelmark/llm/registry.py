@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reelmark.llm import exact_dedup
+from reelmark.llm import exact_dedup, packing
 
 QUERIES = {
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
 }
 ORACLES = {
