@@ -164,7 +164,7 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = pack_lengths(rows.length.to_numpy(), capacity)
-        return rows.assign(sequence_id=(rows["shard"].astype("int64") << 32) + bins, offset=offsets).drop(columns="shard")
+        return rows.assign(sequence_id=rows["shard"].astype("int64") * 2**32 + bins, offset=offsets).drop(columns="shard")
 
     shard = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int")
     return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PACKED)
