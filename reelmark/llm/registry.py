@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from reelmark.llm import chat, exact_dedup, packing, url_filters
+from reelmark.llm import chat, exact_dedup, packing, toxicity, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.op2_url_filters,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op2_url_filters": url_filters.OP2_SQL,
