@@ -113,7 +113,7 @@ def shingle_hashes(words: np.ndarray, lengths: np.ndarray, k: int) -> tuple[np.n
     value = np.zeros(len(at), np.uint64)
     for j in range(k):
         there = np.minimum(at + j, n - 1)
-        term = mix64(words[there] + np.uint64(j + 1) * MIX_A)
+        term = mix64(words[there] + np.uint64((j + 1) * int(MIX_A) % 2**64))
         value = value * MIX_A + np.where(left > j, term, np.uint64(0))
     return mix64(value ^ np.minimum(left, k).astype(np.uint64)), counts
 

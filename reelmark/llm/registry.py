@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reelmark.llm import chat, exact_dedup, packing, toxicity, url_filters
+from reelmark.llm import chat, decontamination, exact_dedup, packing, toxicity, url_filters
 
 QUERIES = {
+    "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op2_url_filters": url_filters.op2_url_filters,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
