@@ -25,7 +25,7 @@ SMOOTHING = 20.0
 #: Least absolute log ratio of a feature.
 LEAST_RATIO = 0.7
 #: Most rows per class that the logistic regression is fitted on: those of least xxhash64(doc_id).
-FIT_ROWS = 3000
+FIT_ROWS = 2000
 #: Characters hashed at once.
 CHUNK = 1 << 18
 
@@ -137,7 +137,13 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, orders=
     ratios[counts.bucket] = np.log(toxic / other)
     ratios[np.abs(ratios) < LEAST_RATIO] = 0
     order = F.xxhash64("doc_id")
-    sample = train.where("toxic > 0").orderBy(order, "doc_id").limit(fit_rows).unionByName(train.where("toxic <= 0").orderBy(order, "doc_id").limit(fit_rows))
+
+    def least(rows: DataFrame) -> DataFrame:
+        """The ``fit_rows`` rows of least hash; only hashes are sorted, no texts."""
+        last = rows.select(order.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
+        return rows.where(order <= last)
+
+    sample = least(train.where("toxic > 0")).unionByName(least(train.where("toxic <= 0")))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         features = [ngram_buckets(text, orders, bits, ratios != 0) for text in rows.text]
