@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from reelmark.llm import chat, decontamination, exact_dedup, packing, toxicity, url_filters
+from reelmark.llm import chat, decontamination, exact_dedup, near_dedup, packing, substring_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.op1_substring_dedup,
+    "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
     "op3_benchmark_decontamination": decontamination.op3_benchmark_decontamination,
     "op2_url_filters": url_filters.op2_url_filters,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
