@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from reelmark.llm import chat, decontamination, exact_dedup, html_extraction, near_dedup, packing, substring_dedup, toxicity, url_filters
+from reelmark.llm import chat, decontamination, exact_dedup, html_extraction, near_dedup, packing, substring_dedup, suffix_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op4_suffix_array_dedup": suffix_dedup.op4_suffix_array_dedup,
     "op5_html_extraction": html_extraction.op5_html_extraction,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op7_minhash_near_dedup": near_dedup.op7_minhash_near_dedup,
