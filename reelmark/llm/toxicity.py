@@ -59,7 +59,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     known = labels.where("toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.where(~held_out()).join(known.where(~held_out()), "doc_id")
+    # Labels grow with the corpus, so they are never broadcast, at no size.
+    return rows.where(~held_out()).join(known.where(~held_out()).hint("merge"), "doc_id")
 
 
 def held_out():
