@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,20 +161,42 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, orders=
     return model
 
 
-def score(docs: DataFrame, model: np.ndarray, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
+class Model:
+    """Scores texts by the weights of ``train_model``."""
+
+    def __init__(self, weights: np.ndarray, orders: tuple[int, ...], bits: int):
+        self.weights, self.orders, self.bits = weights, orders, bits
+        self.among = weights[:-1] != 0
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        margins = [self.weights[ngram_buckets(text or "", self.orders, self.bits, self.among)].sum() + self.weights[-1] for text in texts]
+        return 1 / (1 + np.exp(-np.clip(np.array(margins, float), -30, 30)))
+
+
+def score(docs: DataFrame, weights: np.ndarray, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
     """(doc_id, score) of every row, null and empty texts too: the intercept's score, if nothing else."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** bits + 1 doubles
+    sent = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size: 2 ** bits + 1 doubles
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = sent.value
-        among = weights[:-1] != 0
+        model = Model(sent.value, orders, bits)
         for rows in batches:
-            margins = np.array([weights[ngram_buckets(text, orders, bits, among)].sum() + weights[-1] for text in rows.text], float)
-            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(margins, -30, 30)))})
+            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "score": model.scores(rows.text.tolist())})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, score double")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
+    """The documents that score below ``threshold``, in their own columns; each row by its own text."""
+    sent = spark.sparkContext.broadcast(train_model(spark, docs, labels, orders, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(sent.value, orders, bits)
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist()) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train_model(spark, docs, table(spark, sf_dir, "labels")))
