@@ -25,9 +25,12 @@ from reelmark.llm.common import MIX_B, MIX_C, Scratch, WordHashes, distinct_with
 from reelmark.llm.components import components
 
 #: Rounds of hubs before the pairs of different components in one bucket are joined outright.
-HUB_ROUNDS = 10
-#: ... or earlier, if those are at most so many for each row of the buckets.
-PAIRS_EACH = 2
+HUB_ROUNDS = 6
+#: ... or earlier, if those are at most so many for each row of the buckets, or a round of hubs
+#: has left more than half of them.
+PAIRS_EACH = 20
+#: Shingles of the sets that a verifying task remembers.
+REMEMBERED = 2_000_000
 #: Shingles whose minima are taken at once, so that they stay in cache.
 CHUNK = 1 << 15
 
@@ -41,7 +44,7 @@ class Minhash:
     bands: int = 25
     rows: int = 5
     planes: int = 2  # longs of 64 minima's bits each; two bits are kept of each minimum
-    deviations: float = 4.5  # of the estimate below the threshold that candidates may have
+    deviations: float = 4.0  # of the estimate below the threshold that candidates may have
 
     @property
     def hashes(self) -> int:
@@ -168,15 +171,20 @@ def verified(pairs: DataFrame, items: DataFrame, spec: Minhash) -> DataFrame:
     texts = pairs.join(items.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(items.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, held = WordHashes(), None, None
+        hashes, sets, size = WordHashes(), {}, 0
         for rows in batches:
             good = np.zeros(len(rows), bool)
-            for at, (b, text_a, text_b) in enumerate(zip(rows.b, rows.text_a, rows.text_b)):
-                if b != last:  # rows come sorted by b from the join
-                    last, held = b, np.unique(shingle_sets([text_b], hashes, spec.shingle)[0])
-                mine = shingle_sets([text_a], hashes, spec.shingle)[0]
-                shared = len(np.intersect1d(mine, held, assume_unique=True))
-                good[at] = 100 * shared >= spec.percent * (len(mine) + len(held) - shared) and shared > 0
+            for at, pair in enumerate(zip(zip(rows.a, rows.text_a), zip(rows.b, rows.text_b))):
+                for key, text in pair:
+                    if (key, len(text)) not in sets:
+                        if size > REMEMBERED:
+                            sets, size = {}, 0
+                        found = sets[key, len(text)] = shingle_sets([text], hashes, spec.shingle)[0]
+                        size += len(found) + 50
+                one, other = (sets.get((key, len(text))) for key, text in pair)
+                one = shingle_sets([pair[0][1]], hashes, spec.shingle)[0] if one is None else one
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                good[at] = 100 * shared >= spec.percent * (len(one) + len(other) - shared) and shared > 0
             yield rows.loc[good, ["a", "b"]]
 
     return texts.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
@@ -198,14 +206,16 @@ def linked(spark: SparkSession, items: DataFrame, spec: Minhash, scratch: Scratc
     ids = members.select("id").distinct()
     small = scratch.write(firsts.join(ids, "id", "left_semi").select("id", "n", *spec.names))
     pool = scratch.write(items.join(ids, "id", "left_semi"))
-    edges, labels = None, None
+    edges, labels, before = None, None, None
     for round_no in range(HUB_ROUNDS + 1):
         left = _unsettled(members, labels)
         left = scratch.write(left)
         n_left, n_pairs = _work(left)
         if not n_left:
             break
-        outright = round_no > 0 and (n_pairs <= PAIRS_EACH * n_left or round_no == HUB_ROUNDS)
+        stuck = before is not None and n_pairs > before / 2
+        before = n_pairs
+        outright = round_no > 0 and (n_pairs <= PAIRS_EACH * n_left or stuck or round_no == HUB_ROUNDS)
         if outright:
             one = left.join(small, "id")
             on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
@@ -215,7 +225,9 @@ def linked(spark: SparkSession, items: DataFrame, spec: Minhash, scratch: Scratc
             hub = left.groupBy("key").agg(F.min(rank).alias("hub"))
             pairs = left.join(hub, "key").where("component != hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
             pairs = pairs.join(small.withColumnRenamed("id", "a").alias("x"), "a").join(small.withColumnRenamed("id", "b").alias("y"), "b").where(plausible("x", "y", spec)).select("a", "b")
-        new = scratch.write(verified(scratch.write(pairs.distinct()), pool, spec))
+        pairs = scratch.write(pairs.distinct())
+        new = scratch.write(verified(pairs, pool, spec))
+        scratch.drop(pairs, members)
         edges = new if edges is None else edges.unionByName(new)
         labels = scratch.write(components(scratch, edges))
         members = left
