@@ -88,19 +88,25 @@ def version(text: Column, episode: Column) -> Column:
     return F.when(F.coalesce(episode["kind"], F.lit("")) != "Version", found)
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def matches(text: Column, pattern: str, groups: int = 1) -> Column:
     """All matches, in order, as structs: ``full``, ``g1`` ..., ``at`` (characters before the match)."""
     wrapped = P.java("(?s)(.*?)(" + pattern.replace("(?i)", "(?i:", 1) + ")" * pattern.startswith("(?i)") + ")")
     part = lambda i: F.regexp_extract_all(text, F.lit(wrapped), F.lit(i))
-    names = ["gap", "full", *(f"g{i + 1}" for i in range(groups))]
-    zipped = F.arrays_zip(*(part(i + 1).alias(n) for i, n in enumerate(names)))
-    lengths = F.transform(zipped, lambda m: F.length(m["gap"]) + F.length(m["full"]))
+    names = ["full", *(f"g{i + 1}" for i in range(groups))]
+    zipped = F.arrays_zip(part(1).alias("gap"), *(part(i + 2).alias(n) for i, n in enumerate(names)))
+    none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ",at:int>>")
 
-    def placed(m: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda total, n: total + n)
-        return F.struct(*(m[n].alias(n) for n in names[1:]), (before + F.length(m["gap"])).alias("at"))
+    def step(state: Column, m: Column) -> Column:
+        at = state["end"] + F.length(m["gap"])
+        found = F.struct(*(m[n].alias(n) for n in names), at.alias("at"))
+        return F.struct((at + F.length(m["full"])).alias("end"), F.concat(state["found"], F.array(found)).alias("found"))
 
-    return F.transform(zipped, placed)
+    return F.aggregate(zipped, F.struct(F.lit(0).alias("end"), none.alias("found")), step)["found"]
 
 
 def _not_an_episode(number: Column, year_: Column) -> Column:
@@ -134,8 +140,8 @@ def _episode(kind: str, number: Column, end: Column | None = None, version_: Col
 
 def versioned_episode(text: Column, year_: Column) -> Column:
     """The first ``12v2`` whose number can be an episode, or null."""
-    m = F.get(F.filter(matches(text, P.EPISODE_VERSION, 2), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_)), F.lit(0))
-    return F.when(m.isNotNull(), _episode("Version", m["g1"], version_=m["g2"]))
+    valid = F.filter(matches(text, P.EPISODE_VERSION, 2), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_))
+    return _let(F.get(valid, F.lit(0)), lambda m: F.when(m.isNotNull(), _episode("Version", m["g1"], version_=m["g2"])))
 
 
 def episode_range(text: Column) -> Column:
@@ -145,21 +151,20 @@ def episode_range(text: Column) -> Column:
         start = m["g1"].cast("int")
         return (start < m["g2"].cast("int")) & ~start.isin(*P.RESOLUTION_NUMBERS) & ~_ends_with_word(text, m["at"], "part", "season")
 
-    m = F.get(F.filter(matches(text, P.EPISODE_RANGE, 2), valid), F.lit(0))
-    return F.when(m.isNotNull(), _episode("Range", m["g1"], end=m["g2"]))
+    found = F.get(F.filter(matches(text, P.EPISODE_RANGE, 2), valid), F.lit(0))
+    return _let(found, lambda m: F.when(m.isNotNull(), _episode("Range", m["g1"], end=m["g2"])))
 
 
 def explicit_episode(text: Column, year_: Column) -> Column:
     """The first marked number (``Ep 5``), if it can be an episode."""
     number = _first(text, P.EXPLICIT_EPISODE).cast("int")
-    return F.when(number.isNotNull() & ~_not_an_episode(number, year_), _episode("Single", number))
+    return _let(number, lambda n: F.when(n.isNotNull() & ~_not_an_episode(n, year_), _episode("Single", n)))
 
 
 def dash_episode(text: Column, year_: Column) -> Column:
     """The last number behind a dash that is neither a year or resolution nor a volume."""
     valid = F.filter(matches(text, P.DASH_EPISODE), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_) & ~_ends_with_word(text, m["at"], "vol.", "vol"))
-    m = F.get(valid, F.size(valid) - 1)
-    return F.when(F.size(valid) > 0, _episode("Single", m["g1"]))
+    return _let(F.try_element_at(valid, F.lit(-1)), lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
 
 
 def bare_episode(text: Column, year_: Column) -> Column:
@@ -169,15 +174,15 @@ def bare_episode(text: Column, year_: Column) -> Column:
         volume = (m["at"] >= 3) & _ends_with_word(text, m["at"], "vol.", "vol")
         return _bare_valid(text, m, year_) & ~volume
 
-    m = F.get(F.filter(matches(text, P.EPISODE), valid), F.lit(0))
-    return F.when(m.isNotNull(), _episode("Single", m["g1"]))
+    found = F.get(F.filter(matches(text, P.EPISODE), valid), F.lit(0))
+    return _let(found, lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
 
 
 def episode(text: Column, year_: Column) -> Column:
     """The episode of a name: ``S01E02``, versioned, range, marked, dashed, bare; the first kind that is there."""
-    combined = _first(text, P.SEASON_EPISODE, 2)
+    combined = _let(_first(text, P.SEASON_EPISODE, 2), lambda n: F.when(n.isNotNull(), _episode("Single", n)))
     return F.coalesce(
-        F.when(combined.isNotNull(), _episode("Single", combined)), versioned_episode(text, year_), episode_range(text), explicit_episode(text, year_),
+        combined, versioned_episode(text, year_), episode_range(text), explicit_episode(text, year_),
         dash_episode(text, year_), bare_episode(text, year_),
     )
 
@@ -201,11 +206,9 @@ def title_cut_at_episode(work: Column, year_: Column) -> Column:
     marked = F.regexp_replace(work, P.java(P.EXPLICIT_EPISODE), P.SENTINEL)
     dashed = F.filter(matches(work, P.DASH_EPISODE), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_))
     bare = F.filter(matches(work, P.EPISODE), lambda m: _bare_valid(work, m, year_))
-    return (
-        F.when(F.regexp_like(work, F.lit(P.java(P.EXPLICIT_EPISODE))), marked)
-        .when(F.size(dashed) > 0, _with_sentinel_at(work, F.get(dashed, F.size(dashed) - 1)["at"]))
-        .when(F.size(bare) > 0, _with_sentinel_at(work, F.get(bare, F.lit(0))["at"]))
-        .otherwise(work)
+    last_dashed, first_bare = F.try_element_at(dashed, F.lit(-1))["at"], F.get(bare, F.lit(0))["at"]
+    return F.when(F.regexp_like(work, F.lit(P.java(P.EXPLICIT_EPISODE))), marked).otherwise(
+        _let(F.coalesce(last_dashed, first_bare), lambda at: F.when(at.isNotNull(), _with_sentinel_at(work, at)).otherwise(work))
     )
 
 

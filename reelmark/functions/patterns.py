@@ -53,7 +53,7 @@ METADATA_TOKENS = (
 ).split()
 
 #: Stands where metadata was taken out of a title; of private use, so no letter, digit or space.
-SENTINEL = ""
+SENTINEL = "\ue000"
 
 
 def java(pattern: str) -> str:

@@ -10,6 +10,15 @@ from reelmark.functions import patterns as P
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def pinned(column: Column) -> Column:
+    """The column, in a form through which the optimiser pushes no filter.
+
+    A filter on a parsed field would be rewritten in terms of the name itself, stage by stage, and
+    grow beyond bounds; it is to stay above the stage that makes the field.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
@@ -69,6 +78,7 @@ def sanitized(df: DataFrame, column: str) -> DataFrame:
     rows = rows.withColumn("_t", F.when(F.col("_s") == F.col("_t"), F.col("_t")).otherwise(clean_title(F.col("_s"))))
     same = F.coalesce(ascii_lower(F.col("_g")) == ascii_lower(F.col("_t")), F.lit(False))
     record = F.col(column).withField("group", F.when(~same, F.col("_g"))).withField("title", F.col("_t"))
+    record = record.withField("mode", pinned(F.col(column)["mode"]))
     return rows.withColumn(column, record).select(*df.columns)
 
 

@@ -51,7 +51,7 @@ def parse_heuristic(df: DataFrame, column: str = "name", mode: str = "Light") ->
     blank = text == ""
     record = F.struct(
         text.alias("input"), *(F.when(~blank, c).alias(n) for n, c in fields.items()),
-        F.when(blank, F.lit(0).cast("float")).otherwise(extract.confidence(fields)).alias("confidence"), F.lit(mode).alias("mode"),
+        F.when(blank, F.lit(0).cast("float")).otherwise(extract.confidence(fields)).alias("confidence"), sanitize.pinned(F.lit(mode)).alias("mode"),
         F.when(blank, "EmptyInput").alias("error"),
     )
     return out.select(*df.columns, record.alias("parsed"))
