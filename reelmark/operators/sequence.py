@@ -15,7 +15,7 @@ TAGS = (
 
 def tag_table(spark: SparkSession) -> DataFrame:
     """(idx, tag, is_begin, is_inside, entity) of all tags."""
-    rows = [(i, t, t.startswith("B-"), t.startswith("I-"), t[2:] if t[1] == "-" else None if t == "O" else t) for i, t in enumerate(TAGS)]
+    rows = [(i, t, t.startswith("B-"), t.startswith("I-"), t[2:] if t[:2] in ("B-", "I-") else None if t == "O" else t) for i, t in enumerate(TAGS)]
     return spark.createDataFrame(rows, "idx int, tag string, is_begin boolean, is_inside boolean, entity string")
 
 

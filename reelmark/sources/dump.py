@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelmark.functions.sanitize import pinned
+
 _COPY = r"^COPY ([^(]+?)\s*\((.*)\) FROM stdin;\s*\z"
 
 
@@ -46,7 +48,7 @@ def copy_rows(lines: DataFrame) -> DataFrame:
         F.transform(F.split(F.regexp_extract("line", _COPY, 2), ","), identifier).alias("columns"),
     )
     inside = numbered.join(F.broadcast(blocks), (F.col("place") > F.col("begin")) & (F.col("end").isNull() | (F.col("place") < F.col("end"))))
-    return inside.select("table", "columns", F.transform(F.split("line", "\t", -1), unescaped).alias("fields"), "place")
+    return inside.select("table", "columns", pinned(F.transform(F.split("line", "\t", -1), unescaped)).alias("fields"), "place")
 
 
 def named(rows: DataFrame, table: str, needed: tuple[str, ...], optional: tuple[str, ...] = ()) -> DataFrame:

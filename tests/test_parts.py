@@ -65,7 +65,7 @@ def test_title_functions(spark):
 
 
 def _score(spark, fields, trust, profile=scoring.QualityProfile(), context=None):
-    row = spark.createDataFrame([(*fields, trust)], "resolution string, video_codec string, audio_codec string, source string, trust double")
+    row = spark.createDataFrame([(*fields, float(trust))], "resolution string, video_codec string, audio_codec string, source string, trust double")
     record = F.struct("resolution", "video_codec", "audio_codec", "source")
     s = scoring.scores(record, F.col("trust"))
     s = scoring.adjusted(s, F.col("video_codec"), context) if context else s
