@@ -147,13 +147,20 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, orders=
 
     sample = least(train.where("toxic > 0")).unionByName(least(train.where("toxic <= 0")))
 
+    sent = spark.sparkContext.broadcast(ratios)  # of fixed size: 2 ** bits doubles
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        among = sent.value != 0
+        for rows in batches:
+            yield pd.DataFrame({"toxic": rows.toxic, "buckets": [ngram_buckets(text, orders, bits, among).astype("int32") for text in rows.text]})
+
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        features = [ngram_buckets(text, orders, bits, ratios != 0) for text in rows.text]
-        weights = fit_logistic(features, (rows.toxic.to_numpy() > 0).astype(float), ratios)
-        at = np.flatnonzero(weights)
-        return pd.DataFrame({"at": at, "weight": weights[at]})
+        found = fit_logistic([np.asarray(b, np.int64) for b in rows.buckets], (rows.toxic.to_numpy() > 0).astype(float), sent.value)
+        at = np.flatnonzero(found)
+        return pd.DataFrame({"at": at, "weight": found[at]})
 
-    fitted = sample.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "at long, weight double").toPandas()
+    vectors = sample.select("toxic", "text").mapInPandas(features, "toxic int, buckets array<int>")
+    fitted = vectors.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(fit, "at long, weight double").toPandas()
     weights = np.zeros(len(model))
     weights[fitted["at"]] = fitted["weight"]
     model[:-1] = weights[:-1] * ratios
