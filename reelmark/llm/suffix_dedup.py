@@ -226,7 +226,9 @@ def _expand(rows: DataFrame, least: int) -> DataFrame:
         gone = repeated_starts([r[3] for r in held], docs, firsts, counts, least)
         owner = np.repeat(np.arange(len(held)), counts)
         at = np.flatnonzero(gone)
-        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])[: len(at)]
+        if not len(at):
+            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ("doc_id", "begin", "finish")})
+        new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(at)) - 1
         base = firsts - (np.cumsum(counts) - counts)
