@@ -134,3 +134,13 @@ def augmented(rows: DataFrame, column: str = "filename") -> DataFrame:
     }
     pairs = F.array(*(F.struct(F.lit(n).alias("augmentation"), v.alias("text")) for n, v in views.items()))
     return rows.select("*", F.inline(F.filter(pairs, lambda p: p["text"] != text)))
+
+
+def split_records(rows: DataFrame, key: str, validation: float, seed: int) -> DataFrame:
+    """``rows`` with ``part``: validation for about that share of the keys, else training.
+
+    A row's part follows from its key and the seed alone, so that no shuffle or count is needed.
+    """
+    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8)
+    limit = format(-int(-validation * 2**32 // 1), "08x")
+    return rows.withColumn("part", F.when(digest < limit, "validation").otherwise("training"))
