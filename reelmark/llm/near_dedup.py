@@ -31,6 +31,8 @@ HUB_ROUNDS = 6
 PAIRS_EACH = 20
 #: Shingles of the sets that a verifying task remembers.
 REMEMBERED = 2_000_000
+#: Members of a bucket that one task tests against as many others.
+BLOCK = 1024
 #: Shingles whose minima are taken at once, so that they stay in cache.
 CHUNK = 1 << 15
 
@@ -217,17 +219,16 @@ def linked(spark: SparkSession, items: DataFrame, spec: Minhash, scratch: Scratc
         before = n_pairs
         outright = round_no > 0 and (n_pairs <= PAIRS_EACH * n_left or stuck or round_no == HUB_ROUNDS)
         if outright:
-            one = left.join(small, "id")
-            on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))
-            pairs = one.alias("x").join(one.alias("y"), on).where(plausible("x", "y", spec)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+            new = scratch.write(_between_components(left, small, pool, spec))
         else:
             rank = F.struct((F.xxhash64("id", F.lit(round_no)) if round_no else F.col("id")).alias("rank"), "id", "component")
             hub = left.groupBy("key").agg(F.min(rank).alias("hub"))
             pairs = left.join(hub, "key").where("component != hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
             pairs = pairs.join(small.withColumnRenamed("id", "a").alias("x"), "a").join(small.withColumnRenamed("id", "b").alias("y"), "b").where(plausible("x", "y", spec)).select("a", "b")
-        pairs = scratch.write(pairs.distinct())
-        new = scratch.write(verified(pairs, pool, spec))
-        scratch.drop(pairs, members)
+            pairs = scratch.write(pairs.distinct())
+            new = scratch.write(verified(pairs, pool, spec))
+            scratch.drop(pairs)
+        scratch.drop(members)
         edges = new if edges is None else edges.unionByName(new)
         labels = scratch.write(components(scratch, edges))
         members = left
@@ -239,6 +240,57 @@ def linked(spark: SparkSession, items: DataFrame, spec: Minhash, scratch: Scratc
     return signed, known
 
 
+def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec: Minhash) -> DataFrame:
+    """Links (a, b) between different components of one bucket: at least one where any two have one.
+
+    Of each bucket the members outside its largest component are tested against all, block by
+    block: a task gets two blocks with their signatures and sets, estimates first, and looks no
+    further for a link between a member and a component once it has one. No pairs are emitted but links.
+    """
+
+    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for rows in batches:
+            sets = [shingle_sets([text], hashes, spec.shingle)[0].tobytes() for text in rows.text]
+            yield pd.DataFrame({"id": rows.id, "members": sets})
+
+    ids = left.select("id").distinct()
+    sets = pool.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(collect, "id long, members binary")
+    counts = left.groupBy("key", "component").agg(F.count("*").alias("c"))
+    sizes = counts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("major"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = left.join(sizes, "key").withColumns({"many": blocks(F.col("all")), "few": blocks(F.col("all") - F.col("major.c")), "minor": F.col("component") != F.col("major.component")})
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asking = rows.where("minor").select("key", "id", "component", F.lit(0).alias("side"), own("few").alias("i"), upto("many").alias("j"))
+    asked = rows.select("key", "id", "component", F.lit(1).alias("side"), upto("few").alias("i"), own("many").alias("j"))
+    placed = asking.unionByName(asked).join(small, "id").join(sets, "id")
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
+        planes = rows[spec.names].to_numpy().view(np.uint64)
+        held = [np.frombuffer(m, np.uint64) for m in rows.members]
+        n, component, ids = rows.n.to_numpy(), rows.component.to_numpy(), rows.id.to_numpy()
+        theirs = np.flatnonzero(rows.side.to_numpy() == 1)
+        found = []
+        for mine in np.flatnonzero(rows.side.to_numpy() == 0):
+            differ = np.zeros(len(theirs), np.int64)
+            for p in range(spec.planes):
+                low, high = (planes[theirs, q] ^ planes[mine, q] for q in (p, p + spec.planes))
+                differ += np.bitwise_count(low | high)
+            sure = (1 - differ / spec.hashes - 0.25) / 0.75 >= spec.least_estimate
+            fits = np.minimum(n[theirs], n[mine]) * 100 >= np.maximum(n[theirs], n[mine]) * spec.percent
+            done = {component[mine]}
+            for other in theirs[sure & fits & (component[theirs] != component[mine])]:
+                if component[other] not in done:
+                    shared = len(np.intersect1d(held[mine], held[other], assume_unique=True))
+                    if shared and 100 * shared >= spec.percent * (n[mine] + n[other] - shared):
+                        done.add(component[other])
+                        found.append((ids[mine], ids[other]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
+
+
 def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     """Members (key, id, component) of the buckets that hold several components."""
     rows = members.select("key", "id")
