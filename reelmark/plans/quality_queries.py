@@ -118,9 +118,6 @@ def best_release_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.best_releases(rows, 3, ("title",), "score", "p_partkey")
 
 
-_DOC = "regexp_replace(substr(coalesce(text, ''), 1, 100000), '[^ -~]', '', 'g')"
-
-
 def _normalized(text: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower(replace({text}, '&', ' ')), '[^a-z0-9\\s\\-_.:/\\\\]', '', 'g'), '[\\s\\-_.:/\\\\]+', ' ', 'g'))"
 
