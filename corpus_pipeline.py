@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from reelmark.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
 from reelmark.llm.common import Scratch, table
