@@ -3,15 +3,26 @@
 Paragraphs (lines) that collide in a band are joined, verified by the exact Jaccard similarity of
 their five-word shingles, and clustered by connected components; of each cluster the first
 paragraph, by document and place, stays and the others are removed.
+
+Passages of PASSAGE words that repeat inside longer lines, across lines or in texts without any
+are found besides, whatever the lines around them: every run of so many words is dealt by its
+anchor, the least of the hashes of its GRAM-word shingles. The starts that share an anchor form a
+segment; equal segments collapse, and of anchors with different ones each run is compared by its hash.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import Scratch, table, text_or_empty
-from reelmark.llm.near_dedup import NO_ID, Minhash, linked
+from reelmark.llm.common import MIX_C, Scratch, WordHashes, mix64, table, text_or_empty
+from reelmark.llm.near_dedup import NO_ID, Minhash, linked, words_of
+from reelmark.llm.suffix_dedup import _merged, _powers, _sliding_min, gram_hashes
 
 #: Sixteen bands of four find a pair at 0.8 with probability 0.9998.
 PARAGRAPHS = Minhash(shingle=5, bands=16, rows=4, planes=1)
@@ -19,6 +30,11 @@ PARAGRAPHS = Minhash(shingle=5, bands=16, rows=4, planes=1)
 LEAST_WORDS = 8
 #: Paragraphs of a document; the last of so many takes the rest of the text.
 MOST = 1 << 20
+#: Words of a passage that is removed wherever it lies; and of the shingles that anchor it, a power of two.
+PASSAGE = 50
+GRAM = 8
+#: Words of a document whose runs are hashed at once.
+CHUNK = 1 << 16
 
 
 def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -44,6 +60,142 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, spec: Minhash = PA
     )
 
 
+def _segments(words: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Segments of the runs of PASSAGE words, chunk by chunk: anchor hash, hash of the words, first
+    start, number of starts, and the hashes of all the chunk's runs."""
+    powers, inverse = _powers(chunk + PASSAGE)
+    low = np.uint64((1 << 20) - 1)
+    for at in range(0, len(words) - PASSAGE + 1, chunk):
+        part = words[at : at + chunk + PASSAGE - 1]
+        grams = gram_hashes(part, GRAM)
+        anchor = (_sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), PASSAGE - GRAM + 1) & low).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+        count = np.diff(np.append(first, len(anchor)))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(part + MIX_C) * powers[: len(part)])])
+        content = mix64((sums[first + count + PASSAGE - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
+        runs = mix64((sums[PASSAGE:] - sums[:-PASSAGE]) * inverse[: len(anchor)])
+        yield grams[anchor[first]], content, first + at, count, runs
+
+
+def _in_frames(*names: str):
+    """Makes a generator of column arrays one of frames of some 100,000 rows."""
+
+    def around(run):
+        def framed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, size = [], 0
+            for part in run(batches):
+                held.append(part)
+                size += len(part[0])
+                if size > 100_000:
+                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held)))))
+
+        return framed
+
+    return around
+
+
+def _anchors(docs: DataFrame) -> DataFrame:
+    """(h, sh, doc_id, at) of all segments; ``at`` is first start * 256 + number of starts."""
+
+    @_in_frames("h", "sh", "doc_id", "at")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+        hashes = WordHashes()
+        for rows in batches:
+            for doc_id, text in zip(rows.doc_id, rows.text):
+                for h, sh, first, count, _ in _segments(words_of(text, hashes), CHUNK):
+                    yield h.view(np.int64), sh.view(np.int64), np.full(len(h), doc_id, np.int64), first * 256 + count
+
+    return docs.mapInPandas(run, "h long, sh long, doc_id long, at long")
+
+
+def _runs(texts: DataFrame) -> DataFrame:
+    """(h, run, doc_id, start) of all runs of the wanted segments (by ``at``) of documents."""
+
+    @_in_frames("h", "run", "doc_id", "start")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
+        hashes = WordHashes()
+        for rows in batches:
+            for doc_id, text, wanted in zip(rows.doc_id, rows.text, rows.wanted):
+                for h, _, first, count, runs in _segments(words_of(text, hashes), CHUNK):
+                    mine = np.isin(first * 256 + count, wanted)
+                    h, first, count = h[mine], first[mine], count[mine]
+                    start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+                    yield np.repeat(h, count).view(np.int64), runs[start % CHUNK].view(np.int64), np.full(len(start), doc_id, np.int64), start
+
+    return texts.mapInPandas(run, "h long, run long, doc_id long, start long")
+
+
+PASSAGES = "doc_id long, passages array<struct<begin: long, finish: long>>, kept_docs array<long>"
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Per document with any: the words (begin, finish) of its passages to remove, and the documents that keep them.
+
+    A word goes if it lies in a run of PASSAGE words that also starts earlier, in a document of
+    smaller doc_id or before it in the same one; words are those of the paragraphs' shingles,
+    numbered from 0. Of a run that overlaps its own first occurrence only what lies beyond
+    that one goes. Null doc_ids are left alone, rows that repeat one are taken as one document.
+    """
+    scratch = Scratch(spark, "passages")
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    anchors = scratch.write(_anchors(rows))
+    # No window over h: of hot anchors, too, each task folds its own rows first.
+    distinct = scratch.write(anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.count("*").alias("n")))
+    again = distinct.where("n > 1").select("h", "sh", F.col("one.doc_id").alias("kept"), F.col("one.at").alias("kept_at"))
+    start, end = lambda at: F.shiftright(at, 8), lambda at: F.shiftright(at, 8) + F.col(at).bitwiseAND(255) + PASSAGE - 1
+    copies = anchors.join(again, ["h", "sh"]).select("doc_id", start("at").alias("begin"), end("at").alias("finish"), "kept", start("kept_at").alias("first"), end("kept_at").alias("last"))
+    several = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    wanted = distinct.join(several, "h").groupBy(F.col("one.doc_id").alias("_doc")).agg(F.collect_list("one.at").alias("wanted"))
+    runs = scratch.write(_runs(rows.join(wanted, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "wanted")))
+    firsts = runs.groupBy("h", "run").agg(F.min(F.struct("doc_id", "start")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("h", "run", F.col("one.doc_id").alias("kept"), F.col("one.start").alias("first"))
+    others = runs.join(firsts, ["h", "run"]).select("doc_id", F.col("start").alias("begin"), (F.col("start") + PASSAGE).alias("finish"), "kept", "first", (F.col("first") + PASSAGE).alias("last"))
+    same = F.col("doc_id") == F.col("kept")
+    found = copies.unionByName(others).where(~(same & (F.col("begin") == F.col("first"))))
+    begin = F.when(same, F.greatest("begin", "last")).otherwise(F.col("begin"))
+    spans = found.withColumn("begin", begin).where("begin < finish").groupBy("doc_id").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"), F.collect_set("kept").alias("kept_docs"))
+
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            merged = [[{"begin": a, "finish": b} for a, b in _merged(spans, 2**62)] for spans in batch.spans]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "passages": merged, "kept_docs": batch.kept_docs})
+
+    return spans.mapInPandas(merge, PASSAGES)
+
+
+def without_passages(docs: DataFrame, repeats: DataFrame, passages: DataFrame) -> DataFrame:
+    """``docs`` with repeated paragraphs and passages taken out of ``text``; other columns stay.
+
+    A passage goes with the white space behind it up to the line's end; a line of which nothing else is left goes whole.
+    """
+
+    @F.pandas_udf("string")
+    def rest(text: pd.Series, places: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _rest(t, p if p is not None else (), s if s is not None else ()) for t, p, s in zip(text, places, spans)])
+
+    found = passages.select(F.col("doc_id").alias("_at"), "passages")
+    marked = docs.join(_by_document(repeats), F.col("doc_id") == F.col("_doc"), "left").join(found, F.col("doc_id") == F.col("_at"), "left")
+    return marked.withColumn("text", rest("text", F.col("_r.place"), "passages")).select(*docs.columns)
+
+
+def _rest(text: str, places, spans) -> str:
+    gone, ranges = set(places), [(s["begin"], s["finish"]) for s in spans]
+    out, word = [], 0
+    for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n", MOST - 1)):
+        starts = np.array([m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)] + [len(line)])
+        n = len(starts) - 1
+        cut = [(max(a - word, 0), min(b - word, n)) for a, b in ranges if a < word + n and b > word]
+        word += n
+        if place in gone or n and sum(b - a for a, b in cut) == n:
+            continue
+        edges = [0, *(int(starts[i]) for pair in cut for i in pair), len(line)]
+        out.append(b"".join(line[a:b] for a, b in zip(edges[::2], edges[1::2])))
+    return b"\n".join(out).decode("utf-8", "surrogatepass")
+
+
 def _by_document(repeats: DataFrame) -> DataFrame:
     places = F.sort_array(F.collect_list(F.struct("place", "kept_doc")))
     return repeats.groupBy(F.col("doc_id").alias("_doc")).agg(places.alias("_r"))
@@ -58,12 +210,19 @@ def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its paragraphs, how many go, which, and the documents that keep them."""
+    """Per document: its paragraphs, how many of them and of its passages go, which, and the documents that keep them.
+
+    A paragraph that goes and holds a repeated passage counts with both.
+    """
     docs = table(spark, sf_dir, "documents")
     found = _by_document(repeated_paragraphs(spark, docs))
+    inside = repeated_passages(spark, docs).withColumnRenamed("doc_id", "_at")
     own = docs.select("doc_id", F.size(F.split(text_or_empty(), "\\n", MOST)).cast("long").alias("n_paragraphs"))
-    return own.join(found, F.col("doc_id") == F.col("_doc"), "left").select(
-        "doc_id", "n_paragraphs", F.when(F.col("_r").isNull(), 0).otherwise(F.size("_r")).cast("long").alias("n_removed"),
-        F.coalesce(F.col("_r.place"), F.array().cast("array<int>")).alias("removed"),
-        F.coalesce(F.array_distinct("_r.kept_doc"), F.array().cast("array<bigint>")).alias("kept_in"),
+    joined = own.join(found, F.col("doc_id") == F.col("_doc"), "left").join(inside, F.col("doc_id") == F.col("_at"), "left")
+    places, passages = F.coalesce(F.col("_r.place"), F.array().cast("array<int>")), F.coalesce("passages", F.array().cast("array<struct<begin: bigint, finish: bigint>>"))
+    none = F.array().cast("array<bigint>")
+    return joined.select(
+        "doc_id", "n_paragraphs", (F.size(places) + F.size(passages)).cast("long").alias("n_removed"),
+        places.alias("removed"), passages.alias("passages"),
+        F.array_union(F.coalesce(F.col("_r.kept_doc"), none), F.coalesce("kept_docs", none)).alias("kept_in"),
     )

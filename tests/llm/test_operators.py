@@ -126,6 +126,42 @@ def test_substring_dedup_is_brute_force(spark):
     assert cleaned[900] is None and substring_dedup.repeated_paragraphs(spark, documents(spark, [])).count() == 0
 
 
+def brute_passages(rows, least):
+    seen, out = {}, {}
+    for i, text in sorted(rows):
+        w, gone = (text or "").encode().lower().split(), set()
+        for p in range(len(w) - least + 1):
+            doc, first = seen.setdefault(tuple(w[p : p + least]), (i, p))
+            if (doc, first) != (i, p):
+                gone |= set(range(max(p, first + least) if doc == i else p, p + least))
+        out[i] = gone
+    return out
+
+
+def test_substring_dedup_takes_passages_inside_lines(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 100)
+    rng = random.Random(9)
+    passages = [words(rng, 70) for _ in range(3)]
+    rows = [(700, None), (701, ""), (702, "a " * 300), (703, "ab cd " * 200 + "e"), (704, words(rng, 49))]
+    for i in range(30):
+        p = passages[i % 3].split()[rng.randrange(15) : 70 - rng.randrange(15)]
+        p[20 : 20 + i % 2] = [p[20].upper()] * (i % 2)
+        rows.append((i, words(rng, rng.randrange(150)) + " " + (" ", "\n", "  ")[i % 3].join(p) + " " + words(rng, rng.randrange(60))))
+    rows += [(100, rows[9][1]), (101, rows[9][1])]
+    docs = documents(spark, rows + [(None, rows[9][1]), rows[9]])
+    found = substring_dedup.repeated_passages(spark, docs)
+    spans = {r["doc_id"]: {w for s in r["passages"] for w in range(s["begin"], s["finish"])} for r in found.collect()}
+    expected = {i: gone for i, gone in brute_passages(rows, 50).items() if gone}
+    assert spans == expected and len(expected) > 20
+    cleaned = substring_dedup.without_passages(documents(spark, rows), spark.createDataFrame([], "doc_id long, place int, kept_doc long"), found)
+    for r in cleaned.collect():
+        text = dict(rows)[r["doc_id"]]
+        left = [w for at, w in enumerate((text or "").split()) if at not in expected.get(r["doc_id"], ())]
+        assert (r["text"] or "").split() == left and (r["text"] is None) == (text is None)
+        assert r["doc_id"] in expected or r["text"] == text
+    assert substring_dedup.repeated_passages(spark, documents(spark, [])).count() == 0
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
