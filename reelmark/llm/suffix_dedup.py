@@ -10,6 +10,7 @@ stops at the minimum length. What no extension has parted by then has a common p
 
 Anchors with very many segments are dealt in slices: the starts of a slice have all but SLICE - 1
 bytes in common, and the hash of that core is part of the key, so that no task gets a hot anchor whole.
+Equal slices collapse in turn, so that a task gets each string of a key once, however many texts hold it.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_A, MIX_C, mix64, table, text_or_empty
+from reelmark.llm.common import MIX_A, MIX_C, Scratch, mix64, table, text_or_empty
 
 LEAST = 100
 GRAM = 32
@@ -253,6 +254,7 @@ def _expand(rows: DataFrame, least: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, begin, finish) of bytes to remove from documents (id, text); ranges may overlap."""
+    scratch = Scratch(docs.sparkSession, "suffix")
     anchors = _anchors(docs, least)
     of_anchor = Window.partitionBy("h")
     ordered = of_anchor.orderBy("sh", "doc_id", "at")
@@ -264,15 +266,27 @@ def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.lag("at").over(ordered).alias("at_before"),
         F.count("*").over(of_anchor).alias("n"),
     ).where("seen OR several")
+    marked = scratch.write(marked)
     same = (F.col("doc_before") == F.col("doc_id")) & (F.col("at_before") == F.col("at"))
     first, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
     copies = marked.where(F.col("seen") & ~same).select("doc_id", first.alias("begin"), (first + count + least - 1).alias("finish"))
     want = F.struct("h", "at", (F.col("n") > MOST_SEGMENTS).alias("hot"))
     wanted = marked.where(~F.col("seen")).groupBy("doc_id").agg(F.collect_list(want).alias("wanted"))
     texts = docs.join(wanted, F.col("id") == F.col("doc_id")).select("doc_id", "text", "wanted")
-    parts = _cut(texts, least)
-    parts = parts.repartition("key").sortWithinPartitions("key")
-    return copies.unionByName(_expand(parts, least))
+    parts = scratch.write(_cut(texts, least).withColumn("content", F.xxhash64("bytes")))
+    slices, same = _collapsed(parts, least)
+    slices = slices.repartition("key").sortWithinPartitions("key")
+    return copies.unionByName(same).unionByName(_expand(slices, least))
+
+
+def _collapsed(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """The first of equal segments or slices of each key, and the ranges that the other ones are."""
+    one = F.min(F.struct("doc_id", "first", "count", "bytes")).alias("one")
+    distinct = parts.groupBy("key", "content").agg(one, F.count("*").alias("n"))
+    again = distinct.where("n > 1").select("key", "content", F.col("one.doc_id").alias("doc_before"), F.col("one.first").alias("first_before"))
+    seen = parts.drop("bytes").join(again, ["key", "content"]).where((F.col("doc_before") != F.col("doc_id")) | (F.col("first_before") != F.col("first")))
+    same = seen.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("count") + least - 1).alias("finish"))
+    return distinct.select("key", "one.*"), same
 
 
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

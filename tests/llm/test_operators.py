@@ -269,6 +269,20 @@ def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     assert found == brute_repeats(rows, 100)
 
 
+def test_suffix_dedup_collapses_equal_slices(spark, monkeypatch):
+    """Slices inside a passage that many texts share come to the transform once, not once for each text."""
+    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", 10)
+    rng = random.Random(12)
+    passage = words(rng, 60)
+    rows = [(i, words(rng, 12, 10_000) + passage + words(rng, 12, 10_000)) for i in range(60)]
+    given = []
+    expand = suffix_dedup._expand
+    monkeypatch.setattr(suffix_dedup, "_expand", lambda slices, least: given.append(slices) or expand(slices, least))
+    found = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect()}
+    assert found == brute_repeats(rows, 100)
+    assert given[0].count() > 0 and given[0].count() == given[0].select("key", "bytes").distinct().count()
+
+
 def test_suffix_dedup_odd_rows(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
     text = words(random.Random(2), 80)
