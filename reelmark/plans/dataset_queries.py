@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -233,10 +234,20 @@ def stream_parse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = first_seen(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_NAME).alias("name")), "name", "ts", "100000 days")
     records = parse_stream(rows).select("parsed.title", "parsed.group", "parsed.episode.episode")
-    name = "stream_" + uuid.uuid4().hex[:8]
-    query = records.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    query = records.writeStream.format("parquet").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start(folder + "/rows")
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(records.schema).parquet(folder + "/rows")
+
+
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, by the rule of the corpus operators, which can be removed."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+        return "file://" + tempfile.mkdtemp(prefix="spark-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
 
 
 @_query("dice_histogram", f"{_PAIR}, d AS (SELECT {_DICE} AS dice FROM pair) SELECT round(floor(dice * 10) / 10, 1) AS bucket, count(*) AS n FROM d GROUP BY 1")
