@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -85,9 +86,11 @@ def probes(words: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     A window as similar as the threshold t lacks at most e = n (1 - t) / (1 + t) of the item's n
     shingles. A change costs SHINGLE of them, or, at an end, as many as there are words up to it. So
     where e < SHINGLE, all but e words at both ends stand; where more, there are at most e / SHINGLE
-    places of change, which touch two segments each.
+    places of change, which touch two segments each. A window clipped by its text's bounds is the
+    shorter one and lacks up to n (1 - t) at an end, so that much is left out of a core. Exact, as a
+    float would round down.
     """
-    lost = int(max(words - SHINGLE + 1, 1) * (1 - threshold) / (1 + threshold))
+    lost = int(max(words - SHINGLE + 1, 1) * (1 - Fraction(str(threshold))))
     if words <= LONGEST_CORE:
         return [(lost, words - 2 * lost)] if words > 2 * lost else [(0, words)]
     cuts = [words * part // (words // SEGMENT) for part in range(words // SEGMENT + 1)]

@@ -235,6 +235,23 @@ def test_decontamination_is_brute_force(spark):
     assert decontamination.find_leaks(spark, documents(spark, []), bench).count() == 0
 
 
+def test_decontamination_finds_truncated_items_and_exactly_the_threshold():
+    rng = random.Random(7)
+    items = [(n, words(rng, n, 100_000)) for n in (13, 18, 22, 27, 31, 36, 40, 44, 48)]
+    index, rows = decontamination.ItemIndex(items), []
+    for n, text in items:
+        lost = (n - 4) // 5
+        for before in range(4):
+            w, around = text.split(), words(rng, before, 100_000)
+            rows += [around, " ".join(w[lost:]), around, " ".join(w[: n - lost])]
+            e = (n - 4) // 9
+            rows.append(" ".join([*around.split(), *["zz"] * e, *w[e:], "end"]))
+            rows.append(" ".join([*around.split(), *w[: n - e], *["zz"] * e, "end"]))
+    leaks = index.leaks(rows, decontamination.PlainWords(), 0.8)
+    found = {(at, item) for at, mine in enumerate(leaks) for item, _, _ in mine}
+    assert found == brute_leaks(list(enumerate(rows)), items) and len(found) > 100
+
+
 # 4: suffix array
 
 
