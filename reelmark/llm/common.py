@@ -2,33 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_FOLDERS: dict[str, str] = {}
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` where it is set.
-
-    Where it is unset, a local master gets a temporary folder of its own (tests) and any other
-    master a folder below the warehouse, which a cluster shares.
-    """
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_FOLDERS:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
-        else:
-            _OWN_FOLDERS[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
-    return _OWN_FOLDERS[app]
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
+
+
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files go once it has ended, instead of when the driver collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 class Scratch:
@@ -42,7 +41,8 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.root}/{self._n}"
-        df.write.parquet(path)
+        with shuffles_dropped(self.spark):
+            df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._scratch_path = path
         return back

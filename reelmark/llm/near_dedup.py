@@ -7,34 +7,40 @@ the estimate leaves is verified on the full sets.
 
 Equal sets collapse into their least id first. A bucket is never expanded into all its pairs:
 each round tests its members against one hub, and components of the links found so far decide
-what is left to test. Only pairs of different components are tested against each other in the
-end, so no link between components is lost.
+what is left to test. Only members of different components are tested against each other in the
+end, so no link between components is lost. Large buckets and components are salted wherever
+they are joined with something.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm.common import MIX_B, MIX_C, Scratch, WordHashes, distinct_within, mix64, shingle_hashes, table, text_or_empty
 from reelmark.llm.components import components
 
-#: Rounds of hubs before the pairs of different components in one bucket are joined outright.
+#: Rounds of hubs before members of different components are tested block by block.
 HUB_ROUNDS = 6
-#: ... or earlier, if those are at most so many for each row of the buckets, or a round of hubs
-#: has left more than half of them.
+#: ... or earlier, if their pairs are at most so many for each row of the buckets, or a round of
+#: hubs has left more than half of them. Blocks with more candidates a row are tested where they lie.
 PAIRS_EACH = 20
-#: Shingles of the sets that a verifying task remembers.
-REMEMBERED = 2_000_000
+#: Members of a bucket that are dealt together: larger buckets are salted.
+DEALT = 4096
 #: Members of a bucket that one task tests against as many others.
-BLOCK = 1024
+BLOCK = 512
 #: Shingles whose minima are taken at once, so that they stay in cache.
 CHUNK = 1 << 15
+#: Characters of text, and pairs, that are worked on at once.
+TEXT_AT_ONCE = 1 << 22
+PAIRS_AT_ONCE = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -47,6 +53,7 @@ class Minhash:
     rows: int = 5
     planes: int = 2  # longs of 64 minima's bits each; two bits are kept of each minimum
     deviations: float = 4.0  # of the estimate below the threshold that candidates may have
+    lines: bool = False  # whether the items are the lines with words of the texts, instead of whole texts
 
     @property
     def hashes(self) -> int:
@@ -68,8 +75,8 @@ class Minhash:
         return [f"p{i}" for i in range(2 * self.planes)]
 
     @property
-    def schema(self) -> str:
-        return "id long, n long, d1 long, d2 long, " + ", ".join(f"{p} long" for p in self.names) + ", bands array<long>"
+    def band_names(self) -> list[str]:
+        return [f"b{i}" for i in range(self.bands)]
 
 
 def words_of(text: str, hashes: WordHashes) -> np.ndarray:
@@ -77,6 +84,12 @@ def words_of(text: str, hashes: WordHashes) -> np.ndarray:
     return hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
 
 
+def line_words(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the text's lines end to end, and each line's number of words."""
+    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
+    return hashes.of(list(itertools.chain.from_iterable(lines))), np.fromiter(map(len, lines), np.int64, len(lines))
+
+
 def shingle_sets(texts: list[str], hashes: WordHashes, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of the texts end to end, and each text's number of them."""
     words = [words_of(text, hashes) for text in texts]
@@ -115,48 +128,74 @@ def signatures(values: np.ndarray, counts: np.ndarray, spec: Minhash) -> tuple[n
     return planes, bands
 
 
-def sign(items: DataFrame, spec: Minhash) -> DataFrame:
-    """(id, n, d1, d2, planes, bands) of items (id, text): set size, set digest, signature.
-
-    Sets too small to have a different set within the threshold have no bands.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for rows in batches:
-            for at in range(0, len(rows), 2000):
-                yield _signed(rows.iloc[at : at + 2000], hashes, spec)
-
-    return items.select("id", "text").mapInPandas(run, spec.schema)
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in parts of some 2000 rows and TEXT_AT_ONCE characters, at least one row each, and their texts."""
+    texts, first, size = batch.column("text").to_pylist(), 0, 0
+    for at, text in enumerate(texts):
+        if at > first and (size + len(text) > TEXT_AT_ONCE or at - first == 2000):
+            yield batch.slice(first, at - first), texts[first:at]
+            first, size = at, 0
+        size += len(text)
+    if texts:
+        yield batch.slice(first), texts[first:]
 
 
-def _signed(rows: pd.DataFrame, hashes: WordHashes, spec: Minhash) -> pd.DataFrame:
-    values, counts = shingle_sets(rows.text.tolist(), hashes, spec.shingle)
+def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set, as two longs; zero for empty sets."""
+    out = np.zeros((2, len(counts)), np.int64)
     some = counts > 0
-    out = pd.DataFrame({"id": rows.id.to_numpy(), "n": counts, "d1": np.int64(0), "d2": np.int64(0)})
-    planes = np.zeros((2 * spec.planes, len(rows)), np.uint64)
-    bands = [[]] * len(rows)
     if some.any():
         starts = (np.cumsum(counts) - counts)[some]
-        for name, salt in (("d1", MIX_B), ("d2", MIX_C)):
-            out.loc[some, name] = np.add.reduceat(mix64(values ^ salt), starts).view(np.int64)
-        planes[:, some], keys = signatures(values, counts[some], spec)
-        large = counts[some] >= spec.least_size
-        for at, ok, mine in zip(np.flatnonzero(some), large, keys.T.astype(np.int64)):
-            if ok:
-                bands[at] = mine
-    for name, plane in zip(spec.names, planes):
-        out[name] = plane.view(np.int64)
-    out["bands"] = bands
-    return out
+        for row, salt in enumerate((MIX_B, MIX_C)):
+            out[row, some] = np.add.reduceat(mix64(values ^ salt), starts).view(np.int64)
+    return out[0], out[1]
+
+
+def sign(docs: DataFrame, spec: Minhash) -> DataFrame:
+    """Documents (doc_id, row, text) as items (doc_id, row, place, words) with size n, digest d1, d2, planes and bands of their sets.
+
+    An item is the whole text, at place 0, or a line with words. Sets too small to have a
+    different set within the threshold have no bands.
+    """
+    schema = docs.select("doc_id", "row").schema.add("place", "integer").add("words", "integer")
+    for name in ["n", "d1", "d2", *spec.names, *spec.band_names]:
+        schema = schema.add(name, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part, texts in slices(batch):
+                if spec.lines:
+                    found = [line_words(text, hashes) for text in texts]
+                    lengths = [n for _, n in found]
+                    owner = np.repeat(np.arange(len(texts)), [len(n) for n in lengths])
+                    place = np.concatenate([np.arange(len(n)) for n in lengths])
+                    some = np.concatenate(lengths) > 0
+                    owner, place, lengths = owner[some], place[some], np.concatenate(lengths)[some]
+                else:
+                    found = [(words_of(text, hashes),) for text in texts]
+                    owner, place, lengths = np.arange(len(texts)), np.zeros(len(texts), np.int64), np.array([len(w) for w, in found])
+                values, counts = distinct_within(*shingle_hashes(np.concatenate([f[0] for f in found]), lengths, spec.shingle))
+                some = counts > 0
+                planes = np.zeros((2 * spec.planes, len(counts)), np.uint64)
+                bands = np.zeros((spec.bands, len(counts)), np.uint64)
+                if some.any():
+                    planes[:, some], bands[:, some] = signatures(values, counts[some], spec)
+                small = counts < spec.least_size
+                longs = [counts.astype(np.int64), *set_digests(values, counts), *planes.view(np.int64)]
+                items = [part.column(c).take(pa.array(owner)) for c in ("doc_id", "row")] + [pa.array(x.astype(np.int32)) for x in (place, lengths)]
+                arrays = [*items, *map(pa.array, longs), *(pa.array(b, mask=small) for b in bands.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+
+    return docs.select("doc_id", "row", "text").mapInArrow(run, schema)
 
 
 def estimate(a: str, b: str, spec: Minhash) -> Column:
-    """Similarity from the kept bits of rows a and b, corrected for the 1 in 4 that agree by chance."""
+    """Similarity from the kept bits of columns with prefixes a and b, corrected for the 1 in 4 that agree by chance."""
     differ = None
     for p in range(spec.planes):
-        low = F.col(f"{a}.p{p}").bitwiseXOR(F.col(f"{b}.p{p}"))
-        high = F.col(f"{a}.p{p + spec.planes}").bitwiseXOR(F.col(f"{b}.p{p + spec.planes}"))
+        low = F.col(f"{a}p{p}").bitwiseXOR(F.col(f"{b}p{p}"))
+        high = F.col(f"{a}p{p + spec.planes}").bitwiseXOR(F.col(f"{b}p{p + spec.planes}"))
         ones = F.bit_count(low.bitwiseOR(high))
         differ = ones if differ is None else differ + ones
     return (1 - differ / spec.hashes - 0.25) / 0.75
@@ -164,139 +203,262 @@ def estimate(a: str, b: str, spec: Minhash) -> Column:
 
 def plausible(a: str, b: str, spec: Minhash) -> Column:
     """Pairs whose sizes allow the threshold and whose estimate is not clearly below it."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
     return (F.least(n, m) * 100 >= F.greatest(n, m) * spec.percent) & (estimate(a, b, spec) >= spec.least_estimate)
 
 
-def verified(pairs: DataFrame, items: DataFrame, spec: Minhash) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets reach the threshold."""
-    texts = pairs.join(items.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(items.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+def _similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(one) + len(other) - shared)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sets, size = WordHashes(), {}, 0
-        for rows in batches:
-            good = np.zeros(len(rows), bool)
-            for at, pair in enumerate(zip(zip(rows.a, rows.text_a), zip(rows.b, rows.text_b))):
-                for key, text in pair:
-                    if (key, len(text)) not in sets:
-                        if size > REMEMBERED:
-                            sets, size = {}, 0
-                        found = sets[key, len(text)] = shingle_sets([text], hashes, spec.shingle)[0]
-                        size += len(found) + 50
-                one, other = (sets.get((key, len(text))) for key, text in pair)
-                one = shingle_sets([pair[0][1]], hashes, spec.shingle)[0] if one is None else one
-                shared = len(np.intersect1d(one, other, assume_unique=True))
-                good[at] = 100 * shared >= spec.percent * (len(one) + len(other) - shared) and shared > 0
-            yield rows.loc[good, ["a", "b"]]
-
-    return texts.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
-
-
-def linked(spark: SparkSession, items: DataFrame, spec: Minhash, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Signed items, and (d1, d2, n, component) of every set.
-
-    Items (id, text) with the id NO_ID are signed, but linked with nothing.
+
+def verified(pairs: DataFrame, pool: DataFrame, spec: Minhash) -> DataFrame:
+    """The pairs (a, b, salt) whose full sets, from ``pool`` (sid, members), reach the threshold.
+
+    The pairs of one b and salt meet in one task, after the set of b; a task holds one set at a time.
+    """
+    asked = pairs.select("b", "salt").distinct().join(pool, F.col("b") == F.col("sid")).select("b", "salt", F.lit(None).cast("long").alias("a"), "members")
+    asking = pairs.join(pool, F.col("a") == F.col("sid")).select("b", "salt", "a", "members")
+    rows = asking.unionByName(asked).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        theirs = None
+        for batch in batches:
+            found = []
+            for a, b, members in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("members")):
+                mine = np.frombuffer(members.as_buffer(), np.uint64)
+                if a is None:
+                    theirs = mine.copy()
+                elif _similar(mine, theirs, spec.percent):
+                    found.append((a, b))
+            columns = [pa.array([pair[i] for pair in found], pa.int64()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
+    return rows.select("a", "b", "members").mapInArrow(run, "a long, b long")
+
+
+def _dealt(keyed: DataFrame) -> DataFrame:
+    """One row per salt of each key, for joins with members of salted buckets."""
+    return keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+
+def documents_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text); ``row`` is the text's hash, which tells rows that repeat a doc_id apart."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("row"), text_or_empty().alias("text"))
+
+
+def linked(spark: SparkSession, docs: DataFrame, spec: Minhash, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Items (doc_id, row, place, words, n, d1, d2) of ``documents_of``, and (d1, d2, n, component) of every set.
+
+    A component is a struct (doc_id, row, place), the least of all items linked. Items whose doc_id is
+    null are listed, but linked with nothing. A set is known by its digest, so rows may repeat a doc_id.
     """
-    signed = scratch.write(sign(items, spec))
-    sets = signed.where((F.col("n") > 0) & (F.col("id") != NO_ID)).groupBy("d1", "d2", "n").agg(F.min("id").alias("id"))
-    sets = scratch.write(sets)
-    firsts = signed.where(F.size("bands") > 0).join(sets, ["id", "d1", "d2", "n"], "left_semi").dropDuplicates(["id"])
-    keys = firsts.select("id", F.explode("bands").alias("key"))
-    keys = keys.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    members = scratch.write(keys.join(shared, "key").select("key", "id"))
-    ids = members.select("id").distinct()
-    small = scratch.write(firsts.join(ids, "id", "left_semi").select("id", "n", *spec.names))
-    pool = scratch.write(items.join(ids, "id", "left_semi"))
-    edges, labels, before = None, None, None
+    keys = ["doc_id", "row", "place"]
+    heavy = scratch.write(sign(docs, spec))
+    signed = scratch.write(heavy.select(*keys, "words", "n", "d1", "d2"))
+    columns = [F.first(c).alias(c) for c in [*spec.names, *spec.band_names]]
+    sets = heavy.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min(F.struct(*keys)).alias("first"), *columns)
+    sets = scratch.write(sets.withColumn("sid", F.monotonically_increasing_id()))
+    scratch.drop(heavy)
+    banded = sets.where(F.col("n") >= spec.least_size).select("sid", F.explode(F.array(*spec.band_names)).alias("key"))
+    # Keys are counted first, and only those of several sets are dealt with their sets.
+    shared = banded.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", F.ceil(F.col("c") / DEALT).cast("int").alias("parts"))
+    shared = scratch.write(shared)
+    members = scratch.write(banded.join(shared, "key").select("key", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("salt"), "parts", "sid"))
+    ids = members.select("sid").distinct()
+    small = scratch.write(sets.join(ids, "sid", "left_semi").select("sid", "n", "first", *spec.names))
+    slim = scratch.write(sets.select("d1", "d2", "n", "sid", "first"))
+    scratch.drop(sets, shared)
+    pool = scratch.write(_pool(docs, small, spec))
+    edges, labels, before, spent = None, None, None, []
     for round_no in range(HUB_ROUNDS + 1):
-        left = _unsettled(members, labels)
-        left = scratch.write(left)
+        left = scratch.write(_unsettled(members, labels))
+        scratch.drop(members)
+        members = left
         n_left, n_pairs = _work(left)
         if not n_left:
             break
         stuck = before is not None and n_pairs > before / 2
         before = n_pairs
         outright = round_no > 0 and (n_pairs <= PAIRS_EACH * n_left or stuck or round_no == HUB_ROUNDS)
-        if outright:
-            new = scratch.write(_between_components(left, small, pool, spec))
-        else:
-            rank = F.struct((F.xxhash64("id", F.lit(round_no)) if round_no else F.col("id")).alias("rank"), "id", "component")
-            hub = left.groupBy("key").agg(F.min(rank).alias("hub"))
-            pairs = left.join(hub, "key").where("component != hub.component").select(F.col("id").alias("a"), F.col("hub.id").alias("b")).distinct()
-            pairs = pairs.join(small.withColumnRenamed("id", "a").alias("x"), "a").join(small.withColumnRenamed("id", "b").alias("y"), "b").where(plausible("x", "y", spec)).select("a", "b")
-            pairs = scratch.write(pairs.distinct())
-            new = scratch.write(verified(pairs, pool, spec))
-            scratch.drop(pairs)
-        scratch.drop(members)
+        new = _between_components(left, small, pool, spec, scratch) if outright else _with_hubs(left, small, pool, spec, scratch, round_no)
+        spent.append(new)
         edges = new if edges is None else edges.unionByName(new)
+        if labels is not None:
+            scratch.drop(labels)
         labels = scratch.write(components(scratch, edges))
-        members = left
         if outright:
             break
     if labels is None:
         labels = spark.createDataFrame([], "id long, component long")
-    known = sets.join(labels, "id", "left").select("d1", "d2", "n", F.coalesce("component", "id").alias("component"))
+    # A large component is salted for the join with its name.
+    salt = F.pmod(F.xxhash64("sid"), F.lit(16)).cast("int")
+    nodes = labels.withColumnRenamed("id", "sid").join(slim.select("sid", "first"), "sid")
+    names = nodes.groupBy("component").agg(F.min("first").alias("name")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    named = scratch.write(labels.withColumnRenamed("id", "sid").withColumn("salt", salt).join(names, ["component", "salt"]).select("sid", "name"))
+    known = slim.join(named, "sid", "left").select("d1", "d2", "n", F.coalesce("name", "first").alias("component"))
+    known = scratch.write(known)
+    scratch.drop(members, small, slim, pool, named, *spent)
     return signed, known
 
 
-def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec: Minhash) -> DataFrame:
-    """Links (a, b) between different components of one bucket: at least one where any two have one.
-
-    Of each bucket the members outside its largest component are tested against all, block by
-    block: a task gets two blocks with their signatures and sets, estimates first, and looks no
-    further for a link between a member and a component once it has one. No pairs are emitted but links.
-    """
+def _pool(docs: DataFrame, small: DataFrame, spec: Minhash) -> DataFrame:
+    """(sid, members): the sorted shingles of every set that shares a bucket, from the text of its first item."""
 
-    def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for rows in batches:
-            sets = [shingle_sets([text], hashes, spec.shingle)[0].tobytes() for text in rows.text]
-            yield pd.DataFrame({"id": rows.id, "members": sets})
-
-    ids = left.select("id").distinct()
-    sets = pool.join(ids, "id", "left_semi").dropDuplicates(["id"]).mapInPandas(collect, "id long, members binary")
-    counts = left.groupBy("key", "component").agg(F.count("*").alias("c"))
-    sizes = counts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("major"))
+        for batch in batches:
+            for part, texts in slices(batch):
+                words, lengths, sids = [], [], []
+                for text, wanted in zip(texts, part.column("wanted").to_pylist()):
+                    mine, ends = words_of(text, hashes), None
+                    if spec.lines:
+                        mine, ends = line_words(text, hashes)
+                        ends = np.append(0, np.cumsum(ends))
+                    for item in wanted:
+                        words.append(mine if ends is None else mine[ends[item["place"]] : ends[item["place"] + 1]])
+                        sids.append(item["sid"])
+                lengths = np.array([len(w) for w in words], np.int64)
+                values, counts = distinct_within(*shingle_hashes(np.concatenate(words), lengths, spec.shingle))
+                ends = np.cumsum(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([values[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], ["sid", "members"])
+
+    wanted = small.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "sid")).alias("wanted"))
+    texts = docs.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
+    return texts.select("text", "wanted").mapInArrow(run, "sid long, members binary")
+
+
+def _with_hubs(left: DataFrame, small: DataFrame, pool: DataFrame, spec: Minhash, scratch: Scratch, round_no: int) -> DataFrame:
+    """Links (a, b) of the buckets' members with one of each bucket, by rank in this round."""
+    rows = left.join(small.select("sid", "n", *spec.names), "sid")
+    rank = F.xxhash64("sid", F.lit(round_no)) if round_no else F.col("sid")
+    hub = rows.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), "sid", "component", "n", *spec.names)).alias("hub"), F.max("parts").alias("parts"))
+    met = rows.drop("parts").join(_dealt(hub), ["key", "salt"]).where(F.col("component") != F.col("hub.component")).where(plausible("", "hub.", spec))
+    pairs = met.groupBy(F.col("sid").alias("a"), F.col("hub.sid").alias("b")).agg(F.min("salt").alias("salt"))
+    pairs = scratch.write(pairs)
+    new = scratch.write(verified(pairs, pool, spec))
+    scratch.drop(pairs)
+    return new
+
+
+def _blocks(left: DataFrame, small: DataFrame, spec: Minhash) -> DataFrame:
+    """Members of the buckets dealt to blocks (key, i, j): side 0 asks, side 1 is asked, side 2 does both.
+
+    Of each bucket the members outside its largest component ask all members.
+    """
+    counts = left.groupBy("key", "component").agg(F.count("*").alias("c"), F.max("parts").alias("parts"))
+    sizes = counts.groupBy("key").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("major"), F.max("parts").alias("parts"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = left.join(sizes, "key").withColumns({"many": blocks(F.col("all")), "few": blocks(F.col("all") - F.col("major.c")), "minor": F.col("component") != F.col("major.component")})
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    rows = left.drop("parts").join(_dealt(sizes), ["key", "salt"]).join(small.select("sid", "n", *spec.names), "sid")
+    rows = rows.withColumns({"many": blocks(F.col("all")), "few": blocks(F.col("all") - F.col("major.c")), "minor": F.col("component") != F.col("major.component")})
+    own = lambda n: F.pmod(F.xxhash64("sid"), F.col(n)).cast("int")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asking = rows.where("minor").select("key", "id", "component", F.lit(0).alias("side"), own("few").alias("i"), upto("many").alias("j"))
-    asked = rows.select("key", "id", "component", F.lit(1).alias("side"), upto("few").alias("i"), own("many").alias("j"))
-    placed = asking.unionByName(asked).join(small, "id").join(sets, "id")
+    held = ["sid", "component", "n", *spec.names]
+    alone = rows.where("many = 1").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), F.when(F.col("minor"), 2).otherwise(1).alias("side"), *held)
+    asking = rows.where("many > 1 AND minor").select("key", own("few").alias("i"), upto("many").alias("j"), F.lit(0).alias("side"), *held)
+    asked = rows.where("many > 1").select("key", upto("few").alias("i"), own("many").alias("j"), F.lit(1).alias("side"), *held)
+    return alone.unionByName(asking).unionByName(asked)
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
+
+def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec: Minhash, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between different components of one bucket: at least one where any two have one.
+
+    Blocks are tested on their signatures within tasks, and only the candidates are verified on their
+    sets. A block with more than PAIRS_EACH candidates a row gives none, but is tested whole, sets and
+    all, in one task, which links each two of its components once.
+    """
+    placed = _blocks(left, small, spec)
+    out = "a long, b long, key long, i int, j int"
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        key, i, j, side = (rows[c].to_numpy() for c in ("key", "i", "j", "side"))
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        group = np.cumsum(new) - 1
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(rows))
+        first_asked = begin + np.add.reduceat((side == 0).astype(np.int64), begin)
+        asks = np.flatnonzero(side != 1)
+        n_asked = (end - first_asked)[group[asks]]
+        sid, component, n = rows.sid.to_numpy(), rows.component.to_numpy(), rows.n.to_numpy()
         planes = rows[spec.names].to_numpy().view(np.uint64)
+        found, total = [], np.cumsum(n_asked)
+        at = 0
+        while at < len(asks):
+            upto = max(at + 1, int(np.searchsorted(total, total[at] - n_asked[at] + PAIRS_AT_ONCE, side="right")))
+            mine, many = asks[at:upto], n_asked[at:upto]
+            x = np.repeat(mine, many)
+            y = np.repeat(first_asked[group[mine]] - (np.cumsum(many) - many), many) + np.arange(len(x))
+            good = (component[x] != component[y]) & ~((side[x] == 2) & (side[y] == 2) & (x > y))
+            good &= np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * spec.percent
+            x, y = x[good], y[good]
+            differ = np.zeros(len(x), np.int64)
+            for p in range(spec.planes):
+                q = p + spec.planes
+                differ += np.bitwise_count((planes[x, p] ^ planes[y, p]) | (planes[x, q] ^ planes[y, q]))
+            good = (1 - differ / spec.hashes - 0.25) / 0.75 >= spec.least_estimate
+            found.append((x[good], y[good]))
+            at = upto
+        x, y = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in range(2))
+        dense = np.bincount(group[x], minlength=len(begin)) > PAIRS_EACH * (end - begin)
+        sparse = ~dense[group[x]]
+        x, y = x[sparse], y[sparse]
+        heads = begin[dense]
+        pairs = pd.DataFrame({"a": np.maximum(sid[x], sid[y]), "b": np.minimum(sid[x], sid[y])}).drop_duplicates()
+        whole = pd.DataFrame({"key": key[heads], "i": i[heads], "j": j[heads]})
+        return pd.concat([pairs.astype("Int64"), whole.astype("Int64")]).reindex(columns=["a", "b", "key", "i", "j"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            last = rows[["key", "i", "j"]].iloc[-1]
+            mine = ((rows.key != last.key) | (rows.i != last.i) | (rows.j != last.j)).to_numpy()
+            whole = int(mine.sum())  # rows come sorted
+            if whole:
+                yield solve(rows.iloc[:whole])
+            held = rows.iloc[whole:]
+        if held is not None and len(held):
+            yield solve(held.reset_index(drop=True))
+
+    order = ["key", "i", "j", "side"]
+    tested = scratch.write(placed.repartition("key", "i", "j").sortWithinPartitions(*order).mapInPandas(run, out))
+    pairs = tested.where("a IS NOT NULL").select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16)).cast("int"))
+    links = scratch.write(verified(pairs, pool, spec))
+    dense = tested.where("a IS NULL").select("key", "i", "j")
+    if dense.isEmpty():
+        scratch.drop(tested)
+        return links
+    return scratch.write(links.unionByName(_dense_links(placed.join(dense, ["key", "i", "j"]).join(pool, "sid"), spec)))
+
+
+def _dense_links(rows: DataFrame, spec: Minhash) -> DataFrame:
+    """Links within whole blocks. What a block has linked so far counts as one component, so that it gives fewer links than it has rows."""
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
         held = [np.frombuffer(m, np.uint64) for m in rows.members]
-        n, component, ids = rows.n.to_numpy(), rows.component.to_numpy(), rows.id.to_numpy()
-        theirs = np.flatnonzero(rows.side.to_numpy() == 1)
+        n, ids, side = rows.n.to_numpy(), rows.sid.to_numpy(), rows.side.to_numpy()
+        component = np.unique(rows.component.to_numpy(), return_inverse=True)[1]
+        theirs = np.flatnonzero(side != 0)
         found = []
-        for mine in np.flatnonzero(rows.side.to_numpy() == 0):
-            differ = np.zeros(len(theirs), np.int64)
-            for p in range(spec.planes):
-                low, high = (planes[theirs, q] ^ planes[mine, q] for q in (p, p + spec.planes))
-                differ += np.bitwise_count(low | high)
-            sure = (1 - differ / spec.hashes - 0.25) / 0.75 >= spec.least_estimate
+        for mine in np.flatnonzero(side != 1):
             fits = np.minimum(n[theirs], n[mine]) * 100 >= np.maximum(n[theirs], n[mine]) * spec.percent
-            done = {component[mine]}
-            for other in theirs[sure & fits & (component[theirs] != component[mine])]:
-                if component[other] not in done:
-                    shared = len(np.intersect1d(held[mine], held[other], assume_unique=True))
-                    if shared and 100 * shared >= spec.percent * (n[mine] + n[other] - shared):
-                        done.add(component[other])
-                        found.append((ids[mine], ids[other]))
+            for other in theirs[fits & (component[theirs] != component[mine])]:
+                if component[other] != component[mine] and _similar(held[mine], held[other], spec.percent):
+                    component[component == component[other]] = component[mine]
+                    found.append((ids[mine], ids[other]))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return placed.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
+    return rows.groupBy("key", "i", "j").applyInPandas(links, "a long, b long")
 
 
 def _unsettled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members (key, id, component) of the buckets that hold several components."""
-    rows = members.select("key", "id")
-    rows = rows.withColumn("component", F.col("id")) if labels is None else rows.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return rows.join(mixed, "key", "left_semi").select("key", "id", "component")
+    """Members (key, salt, parts, sid, component) of the buckets that hold several components."""
+    rows = members.select("key", "salt", "parts", "sid")
+    if labels is None:
+        return rows.withColumn("component", F.col("sid"))
+    rows = rows.join(labels.withColumnRenamed("id", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("parts").alias("parts")).where("low < high")
+    return rows.join(_dealt(mixed).select("key", "salt"), ["key", "salt"], "left_semi")
 
 
 def _work(left: DataFrame) -> tuple[int, int]:
@@ -307,8 +469,6 @@ def _work(left: DataFrame) -> tuple[int, int]:
     return rows or 0, n or 0
 
 
-#: The id of items without one.
-NO_ID = -(2**63)
 DOCUMENTS = Minhash(shingle=4)
 
 
@@ -317,14 +477,14 @@ def near_groups(spark: SparkSession, docs: DataFrame, spec: Minhash = DOCUMENTS)
 
     Documents are linked if their shingle sets' Jaccard similarity reaches ``percent`` (equal sets
     always); a component is named after its least doc_id, which is kept. Texts without words have no
-    shingles and are a component each. Rows that repeat a doc_id get the same component as each other
-    if their texts are equal. A null doc_id is linked with nothing, has a null component and is kept.
+    shingles and are a component each. Rows that repeat a doc_id are compared each by its own text,
+    and all rows of the least doc_id are kept. A null doc_id is linked with nothing, has a null
+    component and is kept. An empty table gives no rows.
     """
-    items = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), text_or_empty().alias("text"))
-    signed, known = linked(spark, items, spec, Scratch(spark, "near"))
-    rows = signed.select("id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left").withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
-    own = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("id") == own, F.lit(True)).alias("kept"))
+    signed, known = linked(spark, documents_of(docs), spec, Scratch(spark, "near"))
+    rows = signed.join(known, ["d1", "d2", "n"], "left")
+    own = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component.doc_id")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, spec: Minhash = Minhash()) -> DataFrame:

@@ -2,7 +2,9 @@
 
 Paragraphs (lines) that collide in a band are joined, verified by the exact Jaccard similarity of
 their five-word shingles, and clustered by connected components; of each cluster the first
-paragraph, by document and place, stays and the others are removed.
+paragraph, by document and place, stays and the others are removed. Paragraphs of every length are
+compared: those of up to seven words have at most three shingles, so that only an equal set reaches
+0.8, and equal sets meet by their digest without any banding.
 
 Passages of PASSAGE words that repeat inside longer lines, across lines or in texts without any
 are found besides, whatever the lines around them: every run of so many words is dealt by its
@@ -21,15 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.llm.common import MIX_C, Scratch, WordHashes, mix64, table, text_or_empty
-from reelmark.llm.near_dedup import NO_ID, Minhash, linked, words_of
+from reelmark.llm.near_dedup import Minhash, documents_of, linked, words_of
 from reelmark.llm.suffix_dedup import _merged, _powers, _sliding_min, gram_hashes
 
-#: Sixteen bands of four find a pair at 0.8 with probability 0.9998.
-PARAGRAPHS = Minhash(shingle=5, bands=16, rows=4, planes=1)
-#: Shorter paragraphs are never removed. With fewer than four shingles no other set reaches 0.8.
+#: Ten bands of four find a pair at 0.8 with probability 0.9948, one at 0.85 with 0.9994.
+PARAGRAPHS = Minhash(shingle=5, bands=10, rows=4, planes=1, lines=True)
+#: Shorter paragraphs are compared and listed, but stay: headings and the like repeat without harm.
 LEAST_WORDS = 8
-#: Paragraphs of a document; the last of so many takes the rest of the text.
-MOST = 1 << 20
 #: Words of a passage that is removed wherever it lies; and of the shingles that anchor it, a power of two.
 PASSAGE = 50
 GRAM = 8
@@ -37,27 +37,18 @@ GRAM = 8
 CHUNK = 1 << 16
 
 
-def paragraphs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(id, text) of the paragraphs of ``least_words`` or more; the id is doc_id * MOST + place."""
-    limit = F.lit(2**63 // MOST)
-    doc_id = F.when(F.abs("doc_id") >= limit, F.raise_error(F.lit("doc_id is too large for paragraph ids"))).otherwise(F.col("doc_id"))
-    lines = docs.select(doc_id.cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(), "\\n", MOST)).alias("place", "text"))
-    words = F.size(F.filter(F.split("text", "[ \\x09-\\x0D]+"), lambda w: w != ""))
-    return lines.where(words >= least_words).select(F.coalesce(F.col("doc_id") * MOST + F.col("place"), F.lit(NO_ID)).alias("id"), "text")
-
-
-def repeated_paragraphs(spark: SparkSession, docs: DataFrame, spec: Minhash = PARAGRAPHS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, place, kept_doc, kept_place) of every paragraph to remove, and the one that stays for it.
+def repeated_paragraphs(spark: SparkSession, docs: DataFrame, spec: Minhash = PARAGRAPHS) -> DataFrame:
+    """(doc_id, row, place, words, kept_doc, kept_place) of every paragraph that repeats, and the one that stays for it.
 
     Places count from 0. Paragraphs of documents with a null doc_id are left alone. Rows that repeat
-    a doc_id are taken as one document, so that repeats of whole rows lose nothing.
+    a doc_id and its text are taken as one document; with other texts they are documents of their
+    own, in the order of ``row``.
     """
-    signed, known = linked(spark, paragraphs(docs, least_words), spec, Scratch(spark, "paragraphs"))
-    rows = signed.where(F.col("id") != NO_ID).select("id", "n", "d1", "d2").join(known, ["d1", "d2", "n"]).where("id != component").distinct()
-    place_of = lambda c: F.pmod(F.col(c), F.lit(MOST)).cast("int")
-    return rows.select(
-        F.shiftright("id", 20).alias("doc_id"), place_of("id").alias("place"), F.shiftright("component", 20).alias("kept_doc"), place_of("component").alias("kept_place")
-    )
+    signed, known = linked(spark, documents_of(docs), spec, Scratch(spark, "paragraphs"))
+    one = F.col("component")
+    rows = signed.where("doc_id IS NOT NULL").join(known, ["d1", "d2", "n"])
+    rows = rows.where((F.col("doc_id") != one["doc_id"]) | (F.col("place") != one["place"]) | (F.col("row") != one["row"])).distinct()
+    return rows.select("doc_id", "row", "place", "words", one["doc_id"].alias("kept_doc"), one["place"].alias("kept_place"))
 
 
 def _segments(words: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -97,38 +88,38 @@ def _in_frames(*names: str):
     return around
 
 
-def _anchors(docs: DataFrame) -> DataFrame:
-    """(h, sh, doc_id, at) of all segments; ``at`` is first start * 256 + number of starts."""
+def _anchors(rows: DataFrame) -> DataFrame:
+    """(h, sh, doc_id, row, at) of all segments; ``at`` is first start * 256 + number of starts."""
 
-    @_in_frames("h", "sh", "doc_id", "at")
+    @_in_frames("h", "sh", "doc_id", "row", "at")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         hashes = WordHashes()
-        for rows in batches:
-            for doc_id, text in zip(rows.doc_id, rows.text):
+        for batch in batches:
+            for doc_id, row, text in zip(batch.doc_id, batch.row, batch.text):
                 for h, sh, first, count, _ in _segments(words_of(text, hashes), CHUNK):
-                    yield h.view(np.int64), sh.view(np.int64), np.full(len(h), doc_id, np.int64), first * 256 + count
+                    yield h.view(np.int64), sh.view(np.int64), np.full(len(h), doc_id, np.int64), np.full(len(h), row, np.int64), first * 256 + count
 
-    return docs.mapInPandas(run, "h long, sh long, doc_id long, at long")
+    return rows.mapInPandas(run, "h long, sh long, doc_id long, row long, at long")
 
 
 def _runs(texts: DataFrame) -> DataFrame:
-    """(h, run, doc_id, start) of all runs of the wanted segments (by ``at``) of documents."""
+    """(h, run, doc_id, row, start) of all runs of the wanted segments (by ``at``) of documents."""
 
-    @_in_frames("h", "run", "doc_id", "start")
+    @_in_frames("h", "run", "doc_id", "row", "start")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
         hashes = WordHashes()
-        for rows in batches:
-            for doc_id, text, wanted in zip(rows.doc_id, rows.text, rows.wanted):
+        for batch in batches:
+            for doc_id, row, text, wanted in zip(batch.doc_id, batch.row, batch.text, batch.wanted):
                 for h, _, first, count, runs in _segments(words_of(text, hashes), CHUNK):
                     mine = np.isin(first * 256 + count, wanted)
                     h, first, count = h[mine], first[mine], count[mine]
                     start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    yield np.repeat(h, count).view(np.int64), runs[start % CHUNK].view(np.int64), np.full(len(start), doc_id, np.int64), start
+                    yield np.repeat(h, count).view(np.int64), runs[start % CHUNK].view(np.int64), np.full(len(start), doc_id, np.int64), np.full(len(start), row, np.int64), start
 
-    return texts.mapInPandas(run, "h long, run long, doc_id long, start long")
+    return texts.mapInPandas(run, "h long, run long, doc_id long, row long, start long")
 
 
-PASSAGES = "doc_id long, passages array<struct<begin: long, finish: long>>, kept_docs array<long>"
+PASSAGES = "doc_id long, row long, passages array<struct<begin: long, finish: long>>, kept_docs array<long>"
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -137,54 +128,61 @@ def repeated_passages(spark: SparkSession, docs: DataFrame) -> DataFrame:
     A word goes if it lies in a run of PASSAGE words that also starts earlier, in a document of
     smaller doc_id or before it in the same one; words are those of the paragraphs' shingles,
     numbered from 0. Of a run that overlaps its own first occurrence only what lies beyond
-    that one goes. Null doc_ids are left alone, rows that repeat one are taken as one document.
+    that one goes. Null doc_ids are left alone; rows that repeat one are taken as by ``repeated_paragraphs``.
     """
     scratch = Scratch(spark, "passages")
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = documents_of(docs).where("doc_id IS NOT NULL")
     anchors = scratch.write(_anchors(rows))
     # No window over h: of hot anchors, too, each task folds its own rows first.
-    distinct = scratch.write(anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "at")).alias("one"), F.count("*").alias("n")))
-    again = distinct.where("n > 1").select("h", "sh", F.col("one.doc_id").alias("kept"), F.col("one.at").alias("kept_at"))
+    distinct = scratch.write(anchors.groupBy("h", "sh").agg(F.min(F.struct("doc_id", "row", "at")).alias("one"), F.count("*").alias("n")))
+    again = distinct.where("n > 1").select("h", "sh", F.col("one.doc_id").alias("kept"), F.col("one.row").alias("kept_row"), F.col("one.at").alias("kept_at"))
     start, end = lambda at: F.shiftright(at, 8), lambda at: F.shiftright(at, 8) + F.col(at).bitwiseAND(255) + PASSAGE - 1
-    copies = anchors.join(again, ["h", "sh"]).select("doc_id", start("at").alias("begin"), end("at").alias("finish"), "kept", start("kept_at").alias("first"), end("kept_at").alias("last"))
+    copies = anchors.join(again, ["h", "sh"]).select("doc_id", "row", start("at").alias("begin"), end("at").alias("finish"), "kept", "kept_row", start("kept_at").alias("first"), end("kept_at").alias("last"))
+    copies = scratch.write(copies)
     several = distinct.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
-    wanted = distinct.join(several, "h").groupBy(F.col("one.doc_id").alias("_doc")).agg(F.collect_list("one.at").alias("wanted"))
-    runs = scratch.write(_runs(rows.join(wanted, F.col("doc_id") == F.col("_doc")).select("doc_id", "text", "wanted")))
-    firsts = runs.groupBy("h", "run").agg(F.min(F.struct("doc_id", "start")).alias("one"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("h", "run", F.col("one.doc_id").alias("kept"), F.col("one.start").alias("first"))
-    others = runs.join(firsts, ["h", "run"]).select("doc_id", F.col("start").alias("begin"), (F.col("start") + PASSAGE).alias("finish"), "kept", "first", (F.col("first") + PASSAGE).alias("last"))
-    same = F.col("doc_id") == F.col("kept")
+    wanted = distinct.join(several, "h").groupBy(F.col("one.doc_id").alias("_doc"), F.col("one.row").alias("_row")).agg(F.collect_list("one.at").alias("wanted"))
+    texts = rows.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "wanted")
+    runs = scratch.write(_runs(texts))
+    scratch.drop(anchors, distinct)
+    firsts = runs.groupBy("h", "run").agg(F.min(F.struct("doc_id", "row", "start")).alias("one"), F.count("*").alias("n")).where("n > 1")
+    firsts = firsts.select("h", "run", F.col("one.doc_id").alias("kept"), F.col("one.row").alias("kept_row"), F.col("one.start").alias("first"))
+    others = runs.join(firsts, ["h", "run"]).select("doc_id", "row", F.col("start").alias("begin"), (F.col("start") + PASSAGE).alias("finish"), "kept", "kept_row", "first", (F.col("first") + PASSAGE).alias("last"))
+    same = (F.col("doc_id") == F.col("kept")) & (F.col("row") == F.col("kept_row"))
     found = copies.unionByName(others).where(~(same & (F.col("begin") == F.col("first"))))
     begin = F.when(same, F.greatest("begin", "last")).otherwise(F.col("begin"))
-    spans = found.withColumn("begin", begin).where("begin < finish").groupBy("doc_id").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"), F.collect_set("kept").alias("kept_docs"))
+    spans = found.withColumn("begin", begin).where("begin < finish").groupBy("doc_id", "row").agg(F.collect_set(F.struct("begin", "finish")).alias("spans"), F.collect_set("kept").alias("kept_docs"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             merged = [[{"begin": a, "finish": b} for a, b in _merged(spans, 2**62)] for spans in batch.spans]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "passages": merged, "kept_docs": batch.kept_docs})
+            yield pd.DataFrame({"doc_id": batch.doc_id, "row": batch.row, "passages": merged, "kept_docs": batch.kept_docs})
 
-    return spans.mapInPandas(merge, PASSAGES)
+    done = scratch.write(spans.mapInPandas(merge, PASSAGES))
+    scratch.drop(copies, runs)
+    return done
 
 
-def without_passages(docs: DataFrame, repeats: DataFrame, passages: DataFrame) -> DataFrame:
+def without_passages(docs: DataFrame, repeats: DataFrame, passages: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with repeated paragraphs and passages taken out of ``text``; other columns stay.
 
-    A passage goes with the white space behind it up to the line's end; a line of which nothing else is left goes whole.
+    Paragraphs of fewer than ``least_words`` stay. A passage goes with the white space behind it up to
+    the line's end; a line of which nothing else is left goes whole.
     """
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, places: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _rest(t, p if p is not None else (), s if s is not None else ()) for t, p, s in zip(text, places, spans)])
 
-    found = passages.select(F.col("doc_id").alias("_at"), "passages")
-    marked = docs.join(_by_document(repeats), F.col("doc_id") == F.col("_doc"), "left").join(found, F.col("doc_id") == F.col("_at"), "left")
+    found = passages.select(F.col("doc_id").alias("_at"), F.col("row").alias("_at_row"), "passages")
+    mine = lambda at, row: (F.col("doc_id") == F.col(at)) & (F.xxhash64(text_or_empty()) == F.col(row))
+    marked = docs.join(_by_document(repeats.where(F.col("words") >= least_words)), mine("_doc", "_row"), "left").join(found, mine("_at", "_at_row"), "left")
     return marked.withColumn("text", rest("text", F.col("_r.place"), "passages")).select(*docs.columns)
 
 
 def _rest(text: str, places, spans) -> str:
     gone, ranges = set(places), [(s["begin"], s["finish"]) for s in spans]
     out, word = [], 0
-    for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n", MOST - 1)):
+    for place, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         starts = np.array([m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", line)] + [len(line)])
         n = len(starts) - 1
         cut = [(max(a - word, 0), min(b - word, n)) for a, b in ranges if a < word + n and b > word]
@@ -197,32 +195,36 @@ def _rest(text: str, places, spans) -> str:
 
 
 def _by_document(repeats: DataFrame) -> DataFrame:
-    places = F.sort_array(F.collect_list(F.struct("place", "kept_doc")))
-    return repeats.groupBy(F.col("doc_id").alias("_doc")).agg(places.alias("_r"))
+    """(_doc, _row, _r): each document's repeated paragraphs by place."""
+    places = F.sort_array(F.collect_list(F.struct("place", "words", "kept_doc")))
+    return repeats.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(places.alias("_r"))
 
 
-def without_repeats(docs: DataFrame, repeats: DataFrame) -> DataFrame:
-    """``docs`` with the repeated paragraphs taken out of ``text``; other columns stay."""
-    lines = F.split(text_or_empty(), "\\n", MOST)
+def without_repeats(docs: DataFrame, repeats: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` with the repeated paragraphs of ``least_words`` or more taken out of ``text``; other columns stay."""
+    lines = F.split(text_or_empty(), "\\n", -1)
     rest = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains(F.col("_r.place"), at)), "\n")
     text = F.when(F.col("_r").isNull(), F.col("text")).otherwise(rest)
-    return docs.join(_by_document(repeats), F.col("doc_id") == F.col("_doc"), "left").withColumn("text", text).select(*docs.columns)
+    marked = docs.join(_by_document(repeats.where(F.col("words") >= least_words)), (F.col("doc_id") == F.col("_doc")) & (F.xxhash64(text_or_empty()) == F.col("_row")), "left")
+    return marked.withColumn("text", text).select(*docs.columns)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its paragraphs, how many of them and of its passages go, which, and the documents that keep them.
 
-    A paragraph that goes and holds a repeated passage counts with both.
+    ``removed`` holds the places of paragraphs of LEAST_WORDS or more, ``short`` those of repeated
+    shorter ones, which stay. A paragraph that goes and holds a repeated passage counts with both.
     """
     docs = table(spark, sf_dir, "documents")
     found = _by_document(repeated_paragraphs(spark, docs))
-    inside = repeated_passages(spark, docs).withColumnRenamed("doc_id", "_at")
-    own = docs.select("doc_id", F.size(F.split(text_or_empty(), "\\n", MOST)).cast("long").alias("n_paragraphs"))
-    joined = own.join(found, F.col("doc_id") == F.col("_doc"), "left").join(inside, F.col("doc_id") == F.col("_at"), "left")
-    places, passages = F.coalesce(F.col("_r.place"), F.array().cast("array<int>")), F.coalesce("passages", F.array().cast("array<struct<begin: bigint, finish: bigint>>"))
-    none = F.array().cast("array<bigint>")
+    inside = repeated_passages(spark, docs).withColumnsRenamed({"doc_id": "_at", "row": "_at_row"})
+    own = documents_of(docs).select("doc_id", "row", F.size(F.split("text", "\\n", -1)).cast("long").alias("n_paragraphs"))
+    joined = own.join(found, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")), "left").join(inside, (F.col("doc_id") == F.col("_at")) & (F.col("row") == F.col("_at_row")), "left")
+    every = F.coalesce("_r", F.array().cast("array<struct<place: int, words: int, kept_doc: bigint>>"))
+    long, short = F.filter(every, lambda p: p["words"] >= LEAST_WORDS), F.filter(every, lambda p: p["words"] < LEAST_WORDS)
+    passages = F.coalesce("passages", F.array().cast("array<struct<begin: bigint, finish: bigint>>"))
     return joined.select(
-        "doc_id", "n_paragraphs", (F.size(places) + F.size(passages)).cast("long").alias("n_removed"),
-        places.alias("removed"), passages.alias("passages"),
-        F.array_union(F.coalesce(F.col("_r.kept_doc"), none), F.coalesce("kept_docs", none)).alias("kept_in"),
-    )
+        "doc_id", "n_paragraphs", (F.size(long) + F.size(passages)).cast("long").alias("n_removed"),
+        long["place"].alias("removed"), passages.alias("passages"), short["place"].alias("short"),
+        F.array_union(long["kept_doc"], F.coalesce("kept_docs", F.array().cast("array<bigint>"))).alias("kept_in"),
+    )

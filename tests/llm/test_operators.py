@@ -102,6 +102,65 @@ def test_near_dedup_odd_rows(spark):
     assert found == [(-1, None, True), (3, 3, True), (3, 3, True), (9, 3, False)]
 
 
+def test_near_dedup_of_ids_with_two_texts(spark):
+    """Every text is compared, whatever its row's id, also beside a null id and ids beyond a double's reach."""
+    rng = random.Random(12)
+    first, second = words(rng, 60, 9000), words(rng, 60, 9000)
+    rows = [(2**60 + 1, first), (2**60 + 1, second), (2**60 + 2, second + " tail"), (2**60 + 3, first + " tail"), (None, second), (5, words(rng, 60, 9000))]
+    found = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_dedup.near_groups(spark, documents(spark, rows)).collect())
+    one = 2**60 + 1
+    assert found == sorted([(one, one, True), (one, one, True), (one + 1, one, False), (one + 2, one, False), (-1, None, True), (5, 5, True)])
+    assert {r["doc_id"] for r in near_dedup.keep_one(spark, documents(spark, rows)).collect()} == {one, None, 5}
+
+
+@pytest.mark.parametrize("each", [20, 0])
+def test_near_dedup_of_crowded_buckets(spark, monkeypatch, each):
+    """Salted buckets, several blocks, and blocks tested whole give the same links."""
+    for name, value in {"DEALT": 8, "BLOCK": 16, "PAIRS_EACH": each, "HUB_ROUNDS": 2, "PAIRS_AT_ONCE": 50}.items():
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = random.Random(4)
+    base, rows = words(rng, 120, 9000).split(), []
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(120)] = f"y{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(spark, documents(spark, rows)).collect()}
+    assert found == brute_components({i: shingles(t, 4) for i, t in rows})
+
+
+def test_estimate_keeps_pairs_at_the_threshold():
+    """Recall of banding and of the estimate, measured on pairs of sets at 0.8: neither loses what the parameters allow."""
+    rng = np.random.default_rng(3)
+    for spec, least in ((near_dedup.DOCUMENTS, 0.999), (substring_dedup.PARAGRAPHS, 0.985)):
+        banded = estimated = 0
+        for _ in range(1500):
+            every = rng.integers(0, 2**63, 90, np.uint64)
+            pair = [np.sort(every[:80]), np.sort(np.concatenate([every[:70], every[80:]]))]  # 70 of 90: below the threshold
+            pair[1] = np.sort(np.concatenate([every[:72], every[80:88]]))  # 72 of 88: just above it
+            planes, bands = near_dedup.signatures(np.concatenate(pair), np.array([80, 80]), spec)
+            banded += bool((bands[:, 0] == bands[:, 1]).any())
+            differ = sum(int(np.bitwise_count((planes[p, 0] ^ planes[p, 1]) | (planes[p + spec.planes, 0] ^ planes[p + spec.planes, 1]))) for p in range(spec.planes))
+            estimated += (1 - differ / spec.hashes - 0.25) / 0.75 >= spec.least_estimate
+        assert banded >= least * 1500 and estimated >= 0.999 * 1500
+
+
+def test_substring_dedup_query(spark, tmp_path):
+    """The query's own columns, with repeated ids, a null id, extra columns, and short lines that are listed but stay."""
+    rng = random.Random(21)
+    line, other, passage = words(rng, 30, 9000), words(rng, 30, 9000), words(rng, 60, 9000)
+    big = 2**62
+    rows = [(1, f"{line}\nhi there\n{other}"), (1, f"x\n{passage}"), (big, f"hi there\n{line}"), (big, f"{other} end\nlone"), (7, f"{words(rng, 40, 9000)} {passage} {words(rng, 40, 9000)}"), (8, None), (None, line)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = substring_dedup.op1_substring_dedup(spark, str(tmp_path))
+    assert found.dtypes[:3] == [("doc_id", "bigint"), ("n_paragraphs", "bigint"), ("n_removed", "bigint")]
+    got = sorted((r["doc_id"] or 0, r["n_paragraphs"], r["n_removed"], r["removed"], r["short"], len(r["passages"]), r["kept_in"]) for r in found.collect())
+    assert got == sorted([
+        (1, 3, 0, [], [], 0, []), (1, 2, 0, [], [], 0, []), (big, 2, 1, [1], [0], 0, [1]), (big, 2, 1, [0], [], 0, [1]),
+        (7, 1, 1, [], [], 1, [1]), (8, 1, 0, [], [], 0, []), (0, 1, 0, [], [], 0, []),
+    ])
+
+
 def test_substring_dedup_is_brute_force(spark):
     rng = random.Random(3)
     shared = [words(rng, 60), words(rng, 55)]
@@ -116,9 +175,10 @@ def test_substring_dedup_is_brute_force(spark):
     docs = documents(spark, rows)
     repeats = substring_dedup.repeated_paragraphs(spark, docs)
     found = {(r["doc_id"], r["place"]): (r["kept_doc"], r["kept_place"]) for r in repeats.collect()}
-    sets = {(i, p): shingles(line, 5) for i, t in rows if i is not None for p, line in enumerate((t or "").split("\n")) if len(line.split()) >= 8}
+    sets = {(i, p): shingles(line, 5) for i, t in rows if i is not None for p, line in enumerate((t or "").split("\n")) if line.split()}
     expected = {i: c for i, c in brute_components(sets).items() if i != c}
-    assert found == expected and expected
+    assert found == expected and {902, 0} < {i for i, _ in expected} | {0}
+    expected = {at: c for at, c in expected.items() if len(dict(rows)[at[0]].split("\n")[at[1]].split()) >= 8}
     cleaned = {r["doc_id"]: r["text"] for r in substring_dedup.without_repeats(docs, repeats).collect()}
     for i, t in rows:
         if i is not None and t is not None:
@@ -153,7 +213,7 @@ def test_substring_dedup_takes_passages_inside_lines(spark, monkeypatch):
     spans = {r["doc_id"]: {w for s in r["passages"] for w in range(s["begin"], s["finish"])} for r in found.collect()}
     expected = {i: gone for i, gone in brute_passages(rows, 50).items() if gone}
     assert spans == expected and len(expected) > 20
-    cleaned = substring_dedup.without_passages(documents(spark, rows), spark.createDataFrame([], "doc_id long, place int, kept_doc long"), found)
+    cleaned = substring_dedup.without_passages(documents(spark, rows), spark.createDataFrame([], "doc_id long, row long, place int, words int, kept_doc long"), found)
     for r in cleaned.collect():
         text = dict(rows)[r["doc_id"]]
         left = [w for at, w in enumerate((text or "").split()) if at not in expected.get(r["doc_id"], ())]
