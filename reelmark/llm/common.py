@@ -80,6 +80,65 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of an odd number modulo 2^64, and of its inverse."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        inverse = pow(int(MIX_A), -1, 1 << 64)
+        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (MIX_A, np.uint64(inverse))]
+    return _POWERS[0], _POWERS[1]
+
+
+_BYTE_HASHES = mix64(np.arange(1, 257, dtype=np.uint64) * MIX_C)
+_IS_SPACE = np.isin(np.arange(256), (32, 9, 10, 11, 12, 13))
+#: Bytes whose words are hashed at once; longer words are hashed by themselves.
+BYTES_AT_ONCE = 1 << 20
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes and first bytes of the words of UTF-8 text, part by part."""
+    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    every, base = np.frombuffer(data, np.uint8), 0
+    while base < len(every):
+        part = every[base : base + BYTES_AT_ONCE + 1]
+        space = _IS_SPACE[part]
+        if base + len(part) < len(every):
+            cuts = np.flatnonzero(space)
+            if not len(cuts):  # a longer word than fits
+                rest = (np.flatnonzero(_IS_SPACE[every[at : at + BYTES_AT_ONCE]]) + at for at in range(base, len(every), BYTES_AT_ONCE))
+                end = next((int(r[0]) for r in rest if len(r)), len(every))
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(data[base:end])], np.uint64))
+                starts.append(np.array([base]))
+                base = end
+                continue
+            part, space = part[: cuts[-1] + 1], space[: cuts[-1] + 1]
+        change = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]])))
+        first, end = change[::2], change[1::2]
+        power, inverse = powers(BYTES_AT_ONCE + 1)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE_HASHES[part] * power[: len(part)])])
+        hashes.append(mix64((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64)))
+        starts.append(first + base)
+        base += len(part)
+    return np.concatenate(hashes), np.concatenate(starts)
+
+
+def hashed_lines(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of the texts end to end, A-Z in lower case; the words of each line, the lines of each text."""
+    data = "\n".join(texts).encode("utf-8", "surrogatepass").lower()
+    hashes, starts = _words(data)
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 10), len(data))
+    lines = np.array([text.count("\n") + 1 for text in texts], np.int64)
+    return hashes, np.diff(np.searchsorted(starts, ends), prepend=0)[: lines.sum()], lines
+
+
+def hashed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the texts end to end, as in ``hashed_lines``, and each text's number of words."""
+    hashes, per_line, lines = hashed_lines(texts)
+    return hashes, np.add.reduceat(per_line, np.cumsum(lines) - lines) if len(texts) else per_line
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound on their number."""
 
@@ -123,7 +182,9 @@ def distinct_within(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     if len(values) == 0:
         return values, counts
     run = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((values, run))
+    order = np.argsort(values)
+    # By run, in that order; sixteen bits are sorted by counting.
+    order = order[np.argsort(run[order].astype(np.uint16) if len(counts) <= 1 << 16 else run[order], kind="stable")]
     values, run = values[order], run[order]
     first = np.ones(len(values), bool)
     first[1:] = (values[1:] != values[:-1]) | (run[1:] != run[:-1])

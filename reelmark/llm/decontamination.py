@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,14 +240,16 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
     for items in _blocks(benchmark):
         sent = spark.sparkContext.broadcast(items)  # of bounded size, see _blocks
 
-        def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemIndex(sent.value, threshold), PlainWords()
             for batch in batches:
-                leaks = index.leaks(batch.text.tolist(), hashes, threshold)
-                flat = [(doc_id, *leak) for doc_id, mine in zip(batch.doc_id, leaks) for leak in mine]
-                yield pd.DataFrame(flat, columns=["doc_id", "item_id", "similarity", "first_word"]).astype({"doc_id": "Int64", "item_id": "Int64"})
+                leaks = index.leaks(batch.column("text").to_pylist(), hashes, threshold)
+                owner, item, similarity, first = zip(*((at, *leak) for at, mine in enumerate(leaks) for leak in mine)) if any(leaks) else ((),) * 4
+                ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
+                columns = [ids, pa.array(item, pa.int64()), pa.array(similarity, pa.float64()), pa.array(first, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "first_word"])
 
-        found = found.unionByName(rows.mapInPandas(scan, PAIRS))
+        found = found.unionByName(rows.mapInArrow(scan, PAIRS))
     return found
 
 

@@ -121,6 +121,16 @@ class CuckooIndex:
 
 DIGESTS = "doc_id long, digest binary, n_cp long"
 RECORDS = "digest binary, keep_id long, keep_cp long, group_size long"
+#: Within Python an id is never null, as pandas would turn a column with nulls into doubles.
+_INNER = "digest binary, keep_id long, keep_none boolean, keep_cp long, group_size long"
+
+
+def _filled(rows: DataFrame) -> DataFrame:
+    return rows.select("digest", F.coalesce("keep_id", F.lit(0)).alias("keep_id"), F.col("keep_id").isNull().alias("keep_none"), "keep_cp", "group_size")
+
+
+def _nulled(rows: DataFrame) -> DataFrame:
+    return rows.select("digest", F.when(~F.col("keep_none"), F.col("keep_id")).alias("keep_id"), "keep_cp", "group_size")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -137,32 +147,33 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _combined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Partial groups of each batch, so that a hot digest sends few rows to its index partition."""
-    for rows in batches:
-        rows = rows.sort_values(["n_cp", "doc_id"], ascending=[False, True], na_position="last", kind="stable")
-        groups = rows.groupby("digest", sort=False)
-        best = groups.first().reset_index().rename(columns={"doc_id": "keep_id", "n_cp": "keep_cp"})
-        best["group_size"] = best["digest"].map(groups.size()).astype("int64")
-        yield best[["digest", "keep_id", "keep_cp", "group_size"]]
+def _partial(keyed: DataFrame) -> DataFrame:
+    """Groups of ``digests()`` rows, each batch folded, so that a hot digest sends few rows to its index partition."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            sizes = rows.groupby("digest", sort=False).size()
+            rows = rows.sort_values(["keep_cp", "keep_none", "keep_id"], ascending=[False, True, True], kind="stable").drop_duplicates("digest")
+            yield rows.assign(group_size=rows["digest"].map(sizes).astype("int64"))
+
+    rows = keyed.select("digest", F.col("doc_id").alias("keep_id"), F.col("n_cp").alias("keep_cp"), F.lit(1).cast("long").alias("group_size"))
+    return _filled(rows).mapInPandas(run, _INNER)
 
 
 def _better(a: tuple, b: tuple) -> tuple:
-    """Of two partial groups' winners (keep_id, keep_cp): most code points, then smallest id, null last."""
-    rank = lambda x: (-x[1], x[0] is None, x[0] or 0)
+    """Of two partial groups' winners (keep_id, keep_none, keep_cp): most code points, then smallest id, null last."""
+    rank = lambda x: (-x[2], x[1], x[0])
     return a if rank(a) <= rank(b) else b
 
 
 def _fold(batches: Iterator[pd.DataFrame], index: CuckooIndex) -> CuckooIndex:
     for rows in batches:
-        for digest, keep_id, keep_cp, size in zip(rows.digest, rows.keep_id, rows.keep_cp, rows.group_size):
-            keep_id = None if pd.isna(keep_id) else int(keep_id)
+        for digest, *winner, size in zip(rows.digest, rows.keep_id, rows.keep_none, rows.keep_cp, rows.group_size):
             record = index.find(digest)
             if record is None:
-                index.insert(digest, (keep_id, int(keep_cp), int(size)))
+                index.insert(digest, (*winner, size))
             else:
-                old = record[1]
-                record[1] = (*_better(old[:2], (keep_id, int(keep_cp))), old[2] + int(size))
+                record[1] = (*_better(record[1][:3], tuple(winner)), record[1][3] + size)
     return index
 
 
@@ -177,14 +188,13 @@ def _emit(index: CuckooIndex, rows_each: int = 20_000) -> Iterator[pd.DataFrame]
 
 
 def _frame(found: list[tuple]) -> pd.DataFrame:
-    rows = pd.DataFrame(found, columns=["digest", "keep_id", "keep_cp", "group_size"])
-    return rows.astype({"keep_id": "Int64", "keep_cp": "int64", "group_size": "int64"})
+    rows = pd.DataFrame(found, columns=["digest", "keep_id", "keep_none", "keep_cp", "group_size"])
+    return rows.astype({"keep_id": "int64", "keep_none": "bool", "keep_cp": "int64", "group_size": "int64"})
 
 
 def build_index(spark: SparkSession, keyed: DataFrame, partitions: int) -> DataFrame:
     """Insert every row of ``digests()`` into an empty index; one record per live digest."""
-    partial = keyed.mapInPandas(_combined, RECORDS)
-    return partial.repartition(partitions, "digest").mapInPandas(lambda batches: _emit(_fold(batches, CuckooIndex())), RECORDS)
+    return _nulled(_partial(keyed).repartition(partitions, "digest").mapInPandas(lambda batches: _emit(_fold(batches, CuckooIndex())), _INNER))
 
 
 def update_index(records: DataFrame, inserts: DataFrame, deletes: DataFrame, partitions: int) -> DataFrame:
@@ -194,9 +204,9 @@ def update_index(records: DataFrame, inserts: DataFrame, deletes: DataFrame, par
     ``partitions`` bounds.
     """
     part = F.pmod(F.xxhash64("digest"), F.lit(partitions)).cast("int")
-    changes = deletes.select("digest").distinct().select(
-        "digest", F.lit(None).cast("long").alias("keep_id"), F.lit(-1).cast("long").alias("keep_cp"), F.lit(0).cast("long").alias("group_size")
-    ).unionByName(inserts.mapInPandas(_combined, RECORDS))
+    none = F.lit(None).cast("long").alias("keep_id")
+    gone = deletes.select("digest").distinct().select("digest", none, F.lit(-1).cast("long").alias("keep_cp"), F.lit(0).cast("long").alias("group_size"))
+    changes = _filled(gone).unionByName(_partial(inserts))
 
     def apply(stored: pd.DataFrame, changed: pd.DataFrame) -> pd.DataFrame:
         index = _fold(iter([stored]), CuckooIndex(len(stored)))
@@ -205,9 +215,9 @@ def update_index(records: DataFrame, inserts: DataFrame, deletes: DataFrame, par
             index.delete(digest)
         return pd.concat(list(_emit(_fold(iter([changed[~gone]]), index))))
 
-    left = records.withColumn("part", part).groupBy("part")
+    left = _filled(records).withColumn("part", part).groupBy("part")
     right = changes.withColumn("part", part).groupBy("part")
-    return left.cogroup(right).applyInPandas(lambda a, b: apply(a, b), RECORDS)
+    return _nulled(left.cogroup(right).applyInPandas(lambda a, b: apply(a, b), _INNER))
 
 
 def lookup(records: DataFrame, keyed: DataFrame, partitions: int) -> DataFrame:
@@ -218,7 +228,7 @@ def lookup(records: DataFrame, keyed: DataFrame, partitions: int) -> DataFrame:
         index = _fold(iter([stored]), CuckooIndex(len(stored)))
         return asked[["digest"]].assign(live=[index.find(d) is not None for d in asked.digest])
 
-    found = records.withColumn("part", part).groupBy("part").cogroup(keyed.select("digest").distinct().withColumn("part", part).groupBy("part")).applyInPandas(
+    found = _filled(records).withColumn("part", part).groupBy("part").cogroup(keyed.select("digest").distinct().withColumn("part", part).groupBy("part")).applyInPandas(
         lambda a, b: probe(a, b), "digest binary, live boolean"
     )
     return keyed.join(found, "digest", "left")
@@ -229,23 +239,22 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     Rows are equal if their texts are identical without white space; null and empty texts are one
     group. The row with the most code points stays, then the smallest doc_id (a null doc_id comes
-    last); rows that repeat a doc_id with the same text share its fate. Empty input gives no rows.
+    last); rows that repeat that doc_id and length are kept with it. Empty input gives no rows.
     """
     scratch = Scratch(spark, "exact")
     keyed = scratch.write(digests(docs))
     records = build_index(spark, keyed, partitions_for(spark, keyed.count(), KEYS_EACH))
     return keyed.join(records, "digest").select(
-        "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "digest"
+        "doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == F.col("keep_cp"))).alias("kept"), "digest", "n_cp"
     )
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, in their own columns; rows with the same doc_id and text collapse."""
+    """The documents that stay, one of each group, in their own columns."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    kept = exact_groups(spark, docs).where(F.col("kept") | F.col("doc_id").isNull() & F.col("keep_id").isNull())
-    kept = kept.select(key.alias("_key"), F.col("digest").alias("_digest")).distinct()
-    rows = docs.withColumn("_key", key).join(kept, "_key").where(F.col("_digest") == digests_of("text"))
-    return rows.dropDuplicates(["_key", "text"]).select(*docs.columns)
+    kept = exact_groups(spark, docs).where("kept").select(key.alias("_key"), F.col("digest").alias("_digest"), F.col("n_cp").alias("_n_cp")).distinct()
+    rows = docs.withColumn("_key", key).join(kept, "_key").where((F.col("_digest") == digests_of("text")) & (F.col("_n_cp") == F.length(text_or_empty())))
+    return rows.dropDuplicates(["_digest"]).select(*docs.columns)
 
 
 def digests_of(column: str):
@@ -264,8 +273,8 @@ WITH keyed AS (
   FROM documents),
 grouped AS (
   SELECT doc_id, text_sha256,
-         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id) AS keep_id,
+         first_value(doc_id) OVER w AS keep_id, n_cp = first_value(n_cp) OVER w AS longest,
          count(*) OVER (PARTITION BY text_sha256) AS group_size
-  FROM keyed)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM grouped
+  FROM keyed WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_cp DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AND longest AS kept, text_sha256 FROM grouped
 """

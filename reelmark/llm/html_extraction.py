@@ -8,8 +8,10 @@ path that won there; a page without a container at that path falls back on its o
 
 from __future__ import annotations
 
+import hashlib
 import html as html_entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,7 +23,7 @@ from reelmark.llm.url_filters import host_of
 
 # Elements of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe noframes xmp svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup "
     "hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split()
@@ -45,7 +47,10 @@ NOISE = re.compile(
 LIKELY = re.compile(r"(?:^|[\s_-])(?:article|post|entry|story|main|content|body|text)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner complementary contentinfo search form dialog alert menu menubar toolbar alertdialog".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Characters of a path beyond which its hash stands for it, so that deep pages take no quadratic space.
+LONGEST_PATH = 2000
+
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -88,6 +93,7 @@ class Page:
         self.containers: list[Element] = []
         self._parts: list[str] = []
         self._linked = 0
+        self._open_tags: Counter[str] = Counter()
         self._parse(source)
 
     def _flush(self) -> None:
@@ -102,6 +108,7 @@ class Page:
             self._flush()
         for element in stack[down_to:]:
             element.last = len(self.blocks)
+            self._open_tags[element.tag] -= 1
         del stack[down_to:]
 
     def _parse(self, source: str) -> None:
@@ -120,8 +127,9 @@ class Page:
                 continue
             tag = tag.lower()
             if m[0][1] == "/":
-                if tag == "p" and not any(e.tag == "p" for e in stack):
-                    self._flush()
+                if not self._open_tags[tag]:
+                    if tag == "p":
+                        self._flush()
                     continue
                 for place in range(len(stack) - 1, -1, -1):
                     if stack[place].tag == tag:
@@ -137,7 +145,7 @@ class Page:
                 continue
             self._open(tag, m[2], stack)
             if m[0].endswith("/>") and tag not in BLOCK and stack and stack[-1].tag == tag:
-                stack.pop()
+                self._open_tags[stack.pop().tag] -= 1
         self._close(stack, 0)
         self._flush()
 
@@ -147,7 +155,7 @@ class Page:
             return
         ends = IMPLIED_END.get(tag, ())
         ends = {*ends, "p"} if tag in ENDS_P else ends
-        for place in range(len(stack) - 1, -1, -1):
+        for place in range(len(stack) - 1, -1, -1) if any(self._open_tags[t] for t in ends) else ():
             if stack[place].tag in ends:
                 self._close(stack, place)
                 break
@@ -159,20 +167,23 @@ class Page:
             return
         parent = stack[-1] if stack else None
         attributes = _attributes(source) if source.strip() else {}
-        inside = any(e.tag in ("article", "main") for e in stack) if tag == "header" else False
+        inside = tag == "header" and self._open_tags["article"] + self._open_tags["main"] > 0
         noise = (parent.noise if parent else False) or _is_noise(tag, attributes, inside)
         path = f"{parent.path}>{_step(tag, attributes)}" if parent and tag in BLOCK else parent.path if parent else _step(tag, attributes)
+        if len(path) > LONGEST_PATH:
+            path = "#" + hashlib.md5(path.encode("utf-8", "surrogatepass")).hexdigest()
         element = Element(tag, path, noise, len(self.blocks), parent)
         if tag in CONTAINER and not noise:
             self.containers.append(element)
         stack.append(element)
+        self._open_tags[tag] += 1
 
     def _text(self, text: str, stack: list[Element]) -> None:
         if not text or (stack and stack[-1].noise):
             return
         text = html_entities.unescape(text) if "&" in text else text
         self._parts.append(text)
-        if any(e.tag == "a" for e in reversed(stack)):
+        if self._open_tags["a"]:
             self._linked += len(text)
 
     def score(self, element: Element) -> float:

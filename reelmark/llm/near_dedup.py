@@ -14,7 +14,6 @@ they are joined with something.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_B, MIX_C, Scratch, WordHashes, distinct_within, mix64, shingle_hashes, table, text_or_empty
+from reelmark.llm.common import MIX_B, MIX_C, Scratch, distinct_within, hashed_lines, hashed_words, mix64, shingle_hashes, table, text_or_empty
 from reelmark.llm.components import components
 
 #: Rounds of hubs before members of different components are tested block by block.
@@ -79,22 +78,9 @@ class Minhash:
         return [f"b{i}" for i in range(self.bands)]
 
 
-def words_of(text: str, hashes: WordHashes) -> np.ndarray:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of the text, A-Z in lower case."""
-    return hashes.of((text or "").encode("utf-8", "surrogatepass").lower().split())
-
-
-def line_words(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of the text's lines end to end, and each line's number of words."""
-    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-    return hashes.of(list(itertools.chain.from_iterable(lines))), np.fromiter(map(len, lines), np.int64, len(lines))
-
-
-def shingle_sets(texts: list[str], hashes: WordHashes, k: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of the texts end to end, and each text's number of them."""
-    words = [words_of(text, hashes) for text in texts]
-    lengths = np.array([len(w) for w in words], np.int64)
-    return distinct_within(*shingle_hashes(np.concatenate(words) if words else np.zeros(0, np.uint64), lengths, k))
+    return distinct_within(*shingle_hashes(*hashed_words(texts), k))
 
 
 def signatures(values: np.ndarray, counts: np.ndarray, spec: Minhash) -> tuple[np.ndarray, np.ndarray]:
@@ -162,20 +148,16 @@ def sign(docs: DataFrame, spec: Minhash) -> DataFrame:
         schema = schema.add(name, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part, texts in slices(batch):
+                words, lengths, lines = hashed_lines(texts)
+                owner = np.repeat(np.arange(len(texts)), lines)
+                place = np.arange(len(owner)) - np.repeat(np.cumsum(lines) - lines, lines)
                 if spec.lines:
-                    found = [line_words(text, hashes) for text in texts]
-                    lengths = [n for _, n in found]
-                    owner = np.repeat(np.arange(len(texts)), [len(n) for n in lengths])
-                    place = np.concatenate([np.arange(len(n)) for n in lengths])
-                    some = np.concatenate(lengths) > 0
-                    owner, place, lengths = owner[some], place[some], np.concatenate(lengths)[some]
+                    owner, place, lengths = (x[lengths > 0] for x in (owner, place, lengths))
                 else:
-                    found = [(words_of(text, hashes),) for text in texts]
-                    owner, place, lengths = np.arange(len(texts)), np.zeros(len(texts), np.int64), np.array([len(w) for w, in found])
-                values, counts = distinct_within(*shingle_hashes(np.concatenate([f[0] for f in found]), lengths, spec.shingle))
+                    owner, place, lengths = owner[place == 0], place[place == 0], np.add.reduceat(lengths, np.cumsum(lines) - lines)
+                values, counts = distinct_within(*shingle_hashes(words, lengths, spec.shingle))
                 some = counts > 0
                 planes = np.zeros((2 * spec.planes, len(counts)), np.uint64)
                 bands = np.zeros((spec.bands, len(counts)), np.uint64)
@@ -306,20 +288,20 @@ def _pool(docs: DataFrame, small: DataFrame, spec: Minhash) -> DataFrame:
     """(sid, members): the sorted shingles of every set that shares a bucket, from the text of its first item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for part, texts in slices(batch):
-                words, lengths, sids = [], [], []
-                for text, wanted in zip(texts, part.column("wanted").to_pylist()):
-                    mine, ends = words_of(text, hashes), None
-                    if spec.lines:
-                        mine, ends = line_words(text, hashes)
-                        ends = np.append(0, np.cumsum(ends))
+                words, per_line, lines = hashed_lines(texts)
+                ends, upto = np.append(0, np.cumsum(per_line)), np.cumsum(lines)
+                sids, bounds = [], []
+                for first, last, wanted in zip(upto - lines, upto, part.column("wanted").to_pylist()):
                     for item in wanted:
-                        words.append(mine if ends is None else mine[ends[item["place"]] : ends[item["place"] + 1]])
                         sids.append(item["sid"])
-                lengths = np.array([len(w) for w in words], np.int64)
-                values, counts = distinct_within(*shingle_hashes(np.concatenate(words), lengths, spec.shingle))
+                        at = first + item["place"]
+                        bounds.append((ends[at], ends[at + 1 if spec.lines else last]))
+                begin, end = np.array(bounds, np.int64).T
+                lengths = end - begin
+                words = words[np.repeat(begin - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())]
+                values, counts = distinct_within(*shingle_hashes(words, lengths, spec.shingle))
                 ends = np.cumsum(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([values[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], ["sid", "members"])
 

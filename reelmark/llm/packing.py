@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,23 +106,25 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     ids are cut, into whole pieces and a last one that may be shorter. ``with_ids`` adds the ids.
     ``path`` is the tokenizer's file, by default the public vocabulary on each executor.
     """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     schema = PIECES + ", ids array<int>" * with_ids
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or vocabulary_path()).encode
         end = np.array([end_id], "<u4").tobytes()
-        for rows in batches:
+        for batch in batches:
             found = []
-            for doc_id, text in zip(rows.doc_id, rows.text):
+            for at, text in enumerate(batch.column("text").to_pylist()):
                 ids = encode(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    row = (doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part))
-                    found.append((*row, np.frombuffer(part, "<u4").astype("int32")) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
-            yield pd.DataFrame(found, columns=names).astype({"doc_id": "Int64"})
+                for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
+                    part = ids[start : start + 4 * capacity]
+                    found.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype("int32") if with_ids else None))
+            owner, piece, start, length, crc, ids = zip(*found) if found else ((),) * 6
+            columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(cut, schema)
+    return rows.mapInArrow(cut, schema)
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +136,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     for at in np.argsort(-lengths, kind="stable"):
         size = int(lengths[at])
         # Placing into a gap g takes one bin from count g and adds one to count g - size.
-        change = open_bins[: capacity + 1 - size] - open_bins[size:] + 1
+        change = 2 * (open_bins[: capacity + 1 - size] - open_bins[size:] + 1)
         change[0] -= 1  # a full bin isn't open
         change[open_bins[size:] == 0] = np.iinfo(np.int64).max
         gap = int(np.argmin(change)) + size
@@ -158,16 +161,20 @@ def pack(spark: SparkSession, docs: DataFrame, capacity: int = CAPACITY, end_id:
     Repeated rows are packed as often as they occur; an empty table gives no pieces. Sequence ids
     are unique, offsets within a sequence gapless from 0. Columns besides doc_id and text are not read.
     """
-    pieces = Scratch(spark, "pack").write(token_pieces(docs, capacity, end_id, path))
+    # Pieces are dealt by a number of their own, so that null and repeated ids spread as others do.
+    pieces = token_pieces(docs, capacity, end_id, path).withColumn("number", F.monotonically_increasing_id())
+    pieces = Scratch(spark, "pack").write(pieces)
     shards = max(1, -(-pieces.count() // PIECES_EACH))
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+        rows = rows.sort_values(["length", "doc_id", "piece", "number"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = pack_lengths(rows.length.to_numpy(), capacity)
-        return rows.assign(sequence_id=rows["shard"].astype("int64") * 2**32 + bins, offset=offsets).drop(columns="shard")
+        return rows.assign(sequence_id=rows["shard"].astype("int64") * 2**32 + bins, offset=offsets).drop(columns=["shard", "number"])
 
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(shards)).cast("int")
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(place, PACKED)
+    # A column with nulls would come as doubles, so ids are filled in for Python.
+    filled = pieces.withColumns({"none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(0)), "shard": F.pmod(F.xxhash64("number"), F.lit(shards)).cast("int")})
+    packed = filled.groupBy("shard").applyInPandas(place, PACKED + ", none boolean")
+    return packed.withColumn("doc_id", F.when(~F.col("none"), F.col("doc_id"))).drop("none")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, packed: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str | None = None) -> DataFrame:

@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_C, Scratch, WordHashes, mix64, table, text_or_empty
-from reelmark.llm.near_dedup import Minhash, documents_of, linked, words_of
-from reelmark.llm.suffix_dedup import _merged, _powers, _sliding_min, gram_hashes
+from reelmark.llm.common import MIX_C, Scratch, hashed_words, mix64, powers, table, text_or_empty
+from reelmark.llm.near_dedup import Minhash, documents_of, linked
+from reelmark.llm.suffix_dedup import _merged, _sliding_min, gram_hashes
 
 #: Ten bands of four find a pair at 0.8 with probability 0.9948, one at 0.85 with 0.9994.
 PARAGRAPHS = Minhash(shingle=5, bands=10, rows=4, planes=1, lines=True)
@@ -51,21 +51,50 @@ def repeated_paragraphs(spark: SparkSession, docs: DataFrame, spec: Minhash = PA
     return rows.select("doc_id", "row", "place", "words", one["doc_id"].alias("kept_doc"), one["place"].alias("kept_place"))
 
 
-def _segments(words: np.ndarray, chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Segments of the runs of PASSAGE words, chunk by chunk: anchor hash, hash of the words, first
-    start, number of starts, and the hashes of all the chunk's runs."""
-    powers, inverse = _powers(chunk + PASSAGE)
+def _segments(words: list[np.ndarray], chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Segments of the documents' runs of PASSAGE words, some documents or a part of one at a time:
+    document, anchor hash, hash of the words, first start and number of starts, and the hash of each run."""
+    at = 0
+    while at < len(words):
+        if len(words[at]) > chunk:
+            for base in range(0, len(words[at]) - PASSAGE + 1, chunk):
+                yield from _segments_of([words[at][base : base + chunk + PASSAGE - 1]], at, base, chunk)
+            at += 1
+            continue
+        upto, size = at, 0
+        while upto < len(words) and size + len(words[upto]) <= chunk:
+            size += len(words[upto])
+            upto += 1
+        yield from _segments_of(words[at:upto], at, 0, chunk)
+        at = upto
+
+
+def _segments_of(words: list[np.ndarray], number: int, base: int, chunk: int) -> Iterator[tuple[np.ndarray, ...]]:
+    lengths = np.array([len(w) for w in words], np.int64)
+    begins = np.cumsum(lengths) - lengths
+    counts = np.maximum(lengths - PASSAGE + 1, 0)
+    if not counts.any():
+        return
+    part = np.concatenate(words)
+    power, inverse = powers(chunk + PASSAGE)
     low = np.uint64((1 << 20) - 1)
-    for at in range(0, len(words) - PASSAGE + 1, chunk):
-        part = words[at : at + chunk + PASSAGE - 1]
-        grams = gram_hashes(part, GRAM)
-        anchor = (_sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), PASSAGE - GRAM + 1) & low).astype(np.int64)
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.diff(np.append(first, len(anchor)))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(part + MIX_C) * powers[: len(part)])])
-        content = mix64((sums[first + count + PASSAGE - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
-        runs = mix64((sums[PASSAGE:] - sums[:-PASSAGE]) * inverse[: len(anchor)])
-        yield grams[anchor[first]], content, first + at, count, runs
+    grams = gram_hashes(part, GRAM)
+    anchor = (_sliding_min((grams & ~low) | np.arange(len(grams), dtype=np.uint64), PASSAGE - GRAM + 1) & low).astype(np.int64)
+    # Starts of runs that lie in one document; between documents there is a gap.
+    starts = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    owner = np.repeat(np.arange(len(words)), counts)
+    mine = anchor[starts]
+    new = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (np.diff(starts) != 1)]))
+    first, count = starts[new], np.diff(np.append(new, len(starts)))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(part + MIX_C) * power[: len(part)])])
+    content = mix64((sums[first + count + PASSAGE - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
+    runs = mix64((sums[starts + PASSAGE] - sums[starts]) * inverse[starts])
+    yield owner[new] + number, grams[mine[new]], content, first - begins[owner[new]] + base, count, runs
+
+
+def _by_text(texts: list[str]) -> list[np.ndarray]:
+    words, counts = hashed_words(texts)
+    return np.split(words, np.cumsum(counts)[:-1])
 
 
 def _in_frames(*names: str):
@@ -93,11 +122,12 @@ def _anchors(rows: DataFrame) -> DataFrame:
 
     @_in_frames("h", "sh", "doc_id", "row", "at")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
-        hashes = WordHashes()
         for batch in batches:
-            for doc_id, row, text in zip(batch.doc_id, batch.row, batch.text):
-                for h, sh, first, count, _ in _segments(words_of(text, hashes), CHUNK):
-                    yield h.view(np.int64), sh.view(np.int64), np.full(len(h), doc_id, np.int64), np.full(len(h), row, np.int64), first * 256 + count
+            doc_id, row = batch.doc_id.to_numpy(), batch.row.to_numpy()
+            for at in range(0, len(batch), 500):
+                words = _by_text(batch.text.iloc[at : at + 500].tolist())
+                for doc, h, sh, first, count, _ in _segments(words, CHUNK):
+                    yield h.view(np.int64), sh.view(np.int64), doc_id[at + doc], row[at + doc], first * 256 + count
 
     return rows.mapInPandas(run, "h long, sh long, doc_id long, row long, at long")
 
@@ -107,14 +137,19 @@ def _runs(texts: DataFrame) -> DataFrame:
 
     @_in_frames("h", "run", "doc_id", "row", "start")
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, ...]]:
-        hashes = WordHashes()
         for batch in batches:
-            for doc_id, row, text, wanted in zip(batch.doc_id, batch.row, batch.text, batch.wanted):
-                for h, _, first, count, runs in _segments(words_of(text, hashes), CHUNK):
-                    mine = np.isin(first * 256 + count, wanted)
-                    h, first, count = h[mine], first[mine], count[mine]
+            doc_id, row = batch.doc_id.to_numpy(), batch.row.to_numpy()
+            for at in range(0, len(batch), 500):
+                words = _by_text(batch.text.iloc[at : at + 500].tolist())
+                wanted = batch.wanted.iloc[at : at + 500].tolist()
+                # (document, at) as one number: the documents of a batch are few.
+                asked = np.repeat(np.arange(len(words)), [len(w) for w in wanted]) << 48 | np.concatenate(wanted)
+                for doc, h, _, first, count, runs in _segments(words, CHUNK):
+                    mine = np.isin(doc << 48 | (first * 256 + count), asked)
+                    runs = runs[np.repeat(mine, count)]
+                    doc, h, first, count = doc[mine] + at, h[mine], first[mine], count[mine]
                     start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                    yield np.repeat(h, count).view(np.int64), runs[start % CHUNK].view(np.int64), np.full(len(start), doc_id, np.int64), np.full(len(start), row, np.int64), start
+                    yield np.repeat(h, count).view(np.int64), runs.view(np.int64), np.repeat(doc_id[doc], count), np.repeat(row[doc], count), start
 
     return texts.mapInPandas(run, "h long, run long, doc_id long, row long, start long")
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_A, MIX_C, Scratch, mix64, table, text_or_empty
+from reelmark.llm.common import MIX_C, Scratch, mix64, powers, table, text_or_empty
 
 LEAST = 100
 GRAM = 32
@@ -35,17 +35,6 @@ CHUNK = 1 << 18
 TRANSFORM = 1 << 20
 SEPARATOR = 0xFF  # occurs in no UTF-8 text
 
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64, and of its inverse."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        inverse = pow(int(MIX_A), -1, 1 << 64)
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (MIX_A, np.uint64(inverse))]
-    return _POWERS[0], _POWERS[1]
-
-
 def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     """64-bit hashes of all substrings of ``size`` bytes, a power of two."""
     value, width = mix64(data.astype(np.uint64) + np.uint64(1)), 1
@@ -77,25 +66,25 @@ def segments(data: bytes, least: int = LEAST) -> Iterator[tuple[np.ndarray, np.n
         anchor = (_sliding_min((grams & ~low) | place, width) & low).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
         count = np.diff(np.append(first, len(anchor)))
-        powers, inverse = _powers(CHUNK + least)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(part.astype(np.uint64) + MIX_C) * powers[: len(part)])])
+        power, inverse = powers(CHUNK + least)
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix64(part.astype(np.uint64) + MIX_C) * power[: len(part)])])
         content = mix64((sums[first + count + least - 1] - sums[first]) * inverse[first] + count.astype(np.uint64))
         yield grams[anchor[first]], content, first + at, count
 
 
-ANCHORS = "h long, sh long, doc_id long, at long"
+ANCHORS = "h long, sh long, doc_id long, row long, at long"
 
 
 def _anchors(docs: DataFrame, least: int) -> DataFrame:
-    """(h, sh, doc_id, at) of all segments; ``at`` is first start * 256 + number of starts."""
+    """(h, sh, doc_id, row, at) of all segments; ``at`` is first start * 256 + number of starts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             held: list[tuple] = []
             size = 0
-            for doc_id, text in zip(rows.id, rows.text):
+            for doc_id, row, text in zip(rows.id, rows.row, rows.text):
                 for h, sh, first, count in segments(text.encode("utf-8", "surrogatepass"), least):
-                    held.append((h, sh, np.full(len(h), doc_id, np.int64), first * 256 + count))
+                    held.append((h, sh, np.full(len(h), doc_id, np.int64), np.full(len(h), row, np.int64), first * 256 + count))
                     size += len(h)
                 if size > 100_000:
                     yield _frame(held)
@@ -104,8 +93,8 @@ def _anchors(docs: DataFrame, least: int) -> DataFrame:
                 yield _frame(held)
 
     def _frame(held: list[tuple]) -> pd.DataFrame:
-        h, sh, doc, at = (np.concatenate(x) for x in zip(*held))
-        return pd.DataFrame({"h": h.view(np.int64), "sh": sh.view(np.int64), "doc_id": doc, "at": at})
+        h, sh, doc, row, at = (np.concatenate(x) for x in zip(*held))
+        return pd.DataFrame({"h": h.view(np.int64), "sh": sh.view(np.int64), "doc_id": doc, "row": row, "at": at})
 
     return docs.mapInPandas(run, ANCHORS)
 
@@ -181,22 +170,22 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, co
     return out
 
 
-SEGMENTS = "key long, doc_id long, first long, count int, bytes binary"
-RANGES = "doc_id long, begin long, finish long"
+SEGMENTS = "key long, doc_id long, row long, first long, count int, bytes binary"
+RANGES = "doc_id long, row long, begin long, finish long"
 
 
 def _cut(rows: DataFrame, least: int) -> DataFrame:
-    """Segment texts of documents (doc_id, text, wanted): hot ones in slices by offset from the anchor."""
+    """Segment texts of documents (doc_id, row, text, wanted): hot ones in slices by offset from the anchor."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for doc_id, text, wanted in zip(batch.doc_id, batch.text, batch.wanted):
+            for doc_id, row, text, wanted in zip(batch.doc_id, batch.row, batch.text, batch.wanted):
                 data = text.encode("utf-8", "surrogatepass")
                 for want in wanted:
                     first, count = want["at"] >> 8, want["at"] & 255
                     if not want["hot"]:
-                        found.append((want["h"], doc_id, first, count, data[first : first + count + least - 1]))
+                        found.append((want["h"], doc_id, row, first, count, data[first : first + count + least - 1]))
                         continue
                     anchor = first + _anchor_of(data[first : first + least])
                     begin = first
@@ -205,9 +194,9 @@ def _cut(rows: DataFrame, least: int) -> DataFrame:
                         end = min(first + count, anchor - number * SLICE + 1)
                         core = data[anchor - number * SLICE : anchor - (number + 1) * SLICE + 1 + least]
                         key = hashlib.blake2b(core + bytes([number]), digest_size=8, key=b"core").digest()
-                        found.append((int.from_bytes(key, "little", signed=True), doc_id, begin, end - begin, data[begin : end + least - 1]))
+                        found.append((int.from_bytes(key, "little", signed=True), doc_id, row, begin, end - begin, data[begin : end + least - 1]))
                         begin = end
-            out = pd.DataFrame(found, columns=["key", "doc_id", "first", "count", "bytes"])
+            out = pd.DataFrame(found, columns=["key", "doc_id", "row", "first", "count", "bytes"])
             for at in range(0, max(len(out), 1), 50_000):
                 yield out.iloc[at : at + 50_000]
 
@@ -223,27 +212,30 @@ def _expand(rows: DataFrame, least: int) -> DataFrame:
     """Ranges to remove from segments that come sorted by key; keys are never parted."""
 
     def solve(held: list[tuple]) -> pd.DataFrame:
-        docs, firsts, counts = (np.array([r[i] for r in held], np.int64) for i in range(3))
-        gone = repeated_starts([r[3] for r in held], docs, firsts, counts, least)
+        docs, rows, firsts, counts = (np.array([r[i] for r in held], np.int64) for i in range(4))
+        by = np.lexsort((rows, docs))
+        place = np.empty(len(held), np.int64)
+        place[by] = np.cumsum(np.concatenate([[0], (np.diff(docs[by]) != 0) | (np.diff(rows[by]) != 0)]))
+        gone = repeated_starts([r[4] for r in held], place, firsts, counts, least)
         owner = np.repeat(np.arange(len(held)), counts)
         at = np.flatnonzero(gone)
         if not len(at):
-            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ("doc_id", "begin", "finish")})
+            return pd.DataFrame({name: np.zeros(0, np.int64) for name in ("doc_id", "row", "begin", "finish")})
         new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(owner[at]) != 0)])
         heads = np.flatnonzero(new)
         tails = np.append(heads[1:], len(at)) - 1
         base = firsts - (np.cumsum(counts) - counts)
         begin, finish = at[heads] + base[owner[at[heads]]], at[tails] + base[owner[at[tails]]] + least
-        return pd.DataFrame({"doc_id": docs[owner[at[heads]]], "begin": begin, "finish": finish})
+        return pd.DataFrame({"doc_id": docs[owner[at[heads]]], "row": rows[owner[at[heads]]], "begin": begin, "finish": finish})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, last = [], 0, None
         for batch in batches:
-            for key, doc_id, first, count, data in zip(batch.key, batch.doc_id, batch["first"], batch["count"], batch.bytes):
+            for key, doc_id, row, first, count, data in zip(batch.key, batch.doc_id, batch.row, batch["first"], batch["count"], batch.bytes):
                 if size > TRANSFORM and key != last:
                     yield solve(held)
                     held, size = [], 0
-                held.append((doc_id, first, count, data))
+                held.append((doc_id, row, first, count, data))
                 size += len(data)
                 last = key
         if held:
@@ -253,26 +245,27 @@ def _expand(rows: DataFrame, least: int) -> DataFrame:
 
 
 def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, begin, finish) of bytes to remove from documents (id, text); ranges may overlap."""
+    """(doc_id, row, begin, finish) of bytes to remove from documents (id, row, text); ranges may overlap."""
     scratch = Scratch(docs.sparkSession, "suffix")
     anchors = _anchors(docs, least)
     of_anchor = Window.partitionBy("h")
-    ordered = of_anchor.orderBy("sh", "doc_id", "at")
+    ordered = of_anchor.orderBy("sh", "doc_id", "row", "at")
     marked = anchors.select(
         "*",
         (F.min("sh").over(of_anchor) < F.max("sh").over(of_anchor)).alias("several"),
         F.coalesce(F.lag("sh").over(ordered) == F.col("sh"), F.lit(False)).alias("seen"),
         F.lag("doc_id").over(ordered).alias("doc_before"),
+        F.lag("row").over(ordered).alias("row_before"),
         F.lag("at").over(ordered).alias("at_before"),
         F.count("*").over(of_anchor).alias("n"),
     ).where("seen OR several")
     marked = scratch.write(marked)
-    same = (F.col("doc_before") == F.col("doc_id")) & (F.col("at_before") == F.col("at"))
+    same = (F.col("doc_before") == F.col("doc_id")) & (F.col("row_before") == F.col("row")) & (F.col("at_before") == F.col("at"))
     first, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
-    copies = marked.where(F.col("seen") & ~same).select("doc_id", first.alias("begin"), (first + count + least - 1).alias("finish"))
+    copies = marked.where(F.col("seen") & ~same).select("doc_id", "row", first.alias("begin"), (first + count + least - 1).alias("finish"))
     want = F.struct("h", "at", (F.col("n") > MOST_SEGMENTS).alias("hot"))
-    wanted = marked.where(~F.col("seen")).groupBy("doc_id").agg(F.collect_list(want).alias("wanted"))
-    texts = docs.join(wanted, F.col("id") == F.col("doc_id")).select("doc_id", "text", "wanted")
+    wanted = marked.where(~F.col("seen")).groupBy("doc_id", F.col("row").alias("_row")).agg(F.collect_list(want).alias("wanted"))
+    texts = docs.join(wanted, (F.col("id") == F.col("doc_id")) & (F.col("row") == F.col("_row"))).select("doc_id", "row", "text", "wanted")
     parts = scratch.write(_cut(texts, least).withColumn("content", F.xxhash64("bytes")))
     slices, same = _collapsed(parts, least)
     slices = slices.repartition("key").sortWithinPartitions("key")
@@ -281,11 +274,11 @@ def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 def _collapsed(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """The first of equal segments or slices of each key, and the ranges that the other ones are."""
-    one = F.min(F.struct("doc_id", "first", "count", "bytes")).alias("one")
+    one = F.min(F.struct("doc_id", "row", "first", "count", "bytes")).alias("one")
     distinct = parts.groupBy("key", "content").agg(one, F.count("*").alias("n"))
-    again = distinct.where("n > 1").select("key", "content", F.col("one.doc_id").alias("doc_before"), F.col("one.first").alias("first_before"))
-    seen = parts.drop("bytes").join(again, ["key", "content"]).where((F.col("doc_before") != F.col("doc_id")) | (F.col("first_before") != F.col("first")))
-    same = seen.select("doc_id", F.col("first").alias("begin"), (F.col("first") + F.col("count") + least - 1).alias("finish"))
+    again = distinct.where("n > 1").select("key", "content", F.col("one.doc_id").alias("doc_before"), F.col("one.row").alias("row_before"), F.col("one.first").alias("first_before"))
+    seen = parts.drop("bytes").join(again, ["key", "content"]).where((F.col("doc_before") != F.col("doc_id")) | (F.col("row_before") != F.col("row")) | (F.col("first_before") != F.col("first")))
+    same = seen.select("doc_id", "row", F.col("first").alias("begin"), (F.col("first") + F.col("count") + least - 1).alias("finish"))
     return distinct.select("key", "one.*"), same
 
 
@@ -302,16 +295,27 @@ def _merged(ranges, size: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if a < b]
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows (id, text) with ``row``, which tells different texts of one id apart: 0 where an id has only one."""
+    hashed = F.xxhash64("text")
+    several = rows.groupBy("id").agg(F.min(hashed).alias("low"), F.max(hashed).alias("high")).where("low < high").select("id", F.lit(True).alias("several"))
+    several = Scratch(rows.sparkSession, "suffix").write(several)
+    if several.isEmpty():
+        return rows.withColumn("row", F.lit(0).cast("long"))
+    return rows.join(several, "id", "left").select("id", F.when(F.col("several"), hashed).otherwise(F.lit(0)).alias("row"), "text")
+
+
 def remove_repeats(docs: DataFrame, least: int = LEAST, with_text: bool = False) -> DataFrame:
     """Per document what goes and the digest of what stays; ``with_text`` adds the remaining bytes and spans.
 
     A byte goes if it lies in a string of ``least`` bytes that also starts earlier: in a document of
     smaller doc_id, or earlier in the same one. Null texts count as empty; a null doc_id comes before
-    all others. Rows that repeat a document don't count as repeats of each other.
+    all others. Rows that repeat a document don't count as repeats of each other; rows that repeat a
+    doc_id with another text are documents of their own, in the order of their texts' hashes.
     """
     none = F.lit(-(2**63))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), text_or_empty().alias("text"))
-    gone = repeated_ranges(rows, least).groupBy("doc_id").agg(F.collect_list(F.struct("begin", "finish")).alias("ranges"))
+    rows = _numbered(docs.select(F.coalesce(F.col("doc_id").cast("long"), none).alias("id"), text_or_empty().alias("text")))
+    gone = repeated_ranges(rows, least).groupBy("doc_id", F.col("row").alias("_row")).agg(F.collect_list(F.struct("begin", "finish")).alias("ranges"))
     schema = RESULT + ", kept binary, spans array<struct<begin: long, finish: long>>" * with_text
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,7 +329,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, with_text: bool = False)
                 found.append((*row, kept, [{"begin": a, "finish": b} for a, b in spans]) if with_text else row)
             yield pd.DataFrame(found, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "spans"] * with_text)
 
-    done = rows.join(gone, F.col("id") == F.col("doc_id"), "left").select("id", "text", "ranges").mapInPandas(run, schema)
+    done = rows.join(gone, (F.col("id") == F.col("doc_id")) & (F.col("row") == F.col("_row")), "left").select("id", "text", "ranges").mapInPandas(run, schema)
     return done.withColumn("doc_id", F.when(F.col("doc_id") != none, F.col("doc_id")))
 
 

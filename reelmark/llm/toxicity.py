@@ -123,7 +123,7 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, orders=
 
     Without rows of both classes the score is the share of toxic rows (0.5 without any).
     """
-    train = Scratch(spark, "toxicity").write(labelled(docs, labels))
+    train = Scratch(spark, "toxicity").write(labelled(docs, labels).withColumn("number", F.monotonically_increasing_id()))
     counts = frequencies(train, orders, bits).toPandas()  # at most 2 ** bits + 1 rows
     total = counts[counts.bucket == -1]
     n_toxic, n_other = (int(total[c].sum()) for c in ("toxic_docs", "other_docs"))
@@ -138,12 +138,12 @@ def train_model(spark: SparkSession, docs: DataFrame, labels: DataFrame, orders=
     other = (counts.other_docs + SMOOTHING * (1 - share)) / n_other
     ratios[counts.bucket] = np.log(toxic / other)
     ratios[np.abs(ratios) < LEAST_RATIO] = 0
-    order = F.xxhash64("doc_id")
+    order = F.struct(F.xxhash64("doc_id").alias("h"), "number")
 
     def least(rows: DataFrame) -> DataFrame:
-        """The ``fit_rows`` rows of least hash; only hashes are sorted, no texts."""
-        last = rows.select(order.alias("h")).orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-        return rows.where(order <= last)
+        """The ``fit_rows`` rows of least hash; only hashes are sorted, no texts. The number parts rows that repeat a doc_id."""
+        last = rows.select(order.alias("o")).orderBy("o").limit(fit_rows).agg(F.max("o").alias("o")).select("o.*").first()
+        return rows.where((order["h"] < last["h"]) | (order["h"] == last["h"]) & (F.col("number") <= last["number"]))
 
     sample = least(train.where("toxic > 0")).unionByName(least(train.where("toxic <= 0")))
 
@@ -184,12 +184,13 @@ def score(docs: DataFrame, weights: np.ndarray, orders=ORDERS, bits: int = BUCKE
     """(doc_id, score) of every row, null and empty texts too: the intercept's score, if nothing else."""
     sent = docs.sparkSession.sparkContext.broadcast(weights)  # of fixed size: 2 ** bits + 1 doubles
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, orders, bits)
-        for rows in batches:
-            yield pd.DataFrame({"doc_id": rows.doc_id.astype("Int64"), "score": model.scores(rows.text.tolist())})
+        for batch in batches:
+            scores = pa.array(model.scores(batch.column("text").to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:

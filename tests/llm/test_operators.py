@@ -544,3 +544,98 @@ def test_nb_ratio_scaling_finds_words():
     ratios = np.random.default_rng(0).normal(size=1 << 12)
     assert toxicity.fit_logistic(features, y, ratios).shape == ((1 << 12) + 1,)
     assert pd.Series(toxicity.ngram_buckets("")).is_monotonic_increasing
+
+
+# Ids: nulls beside ids beyond a double's reach, and one id with several texts
+
+BIG = 2**60 + 1
+
+
+def test_ids_stay_as_they_are(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows = [(BIG, f"start {item} end"), (BIG + 1, f"other {item}"), (None, item), (5, "nothing of the kind"), (5, None), (None, None)]
+    ids = Counter(i for i, _ in rows)
+    docs = documents(spark, rows)
+    leaks = decontamination.find_leaks(spark, docs, spark.createDataFrame([(BIG + 2, item)], "item_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in leaks) == Counter({(BIG, BIG + 2): 1, (BIG + 1, BIG + 2): 1, (None, BIG + 2): 1})
+    packed = packing.pack(spark, docs).collect()
+    assert Counter(r["doc_id"] for r in packed) == ids
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed) == Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packing.token_pieces(docs).collect())
+    weights = np.zeros((1 << 8) + 1)
+    assert Counter((r["doc_id"], r["score"]) for r in toxicity.score(docs, weights, bits=8).collect()) == Counter({(i, 0.5): n for i, n in ids.items()})
+
+
+def test_exact_dedup_keeps_one_whatever_the_ids(spark):
+    rows = [(BIG, "a b"), (BIG + 1, "ab"), (None, "a  b "), (BIG + 2, "c d"), (BIG + 3, "c  d"), (None, "cd"), (None, "e"), (None, "e"), (7, "g h"), (7, "gh")]
+    found = {(r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_groups(spark, documents(spark, rows)).collect()}
+    assert found == {
+        (BIG, None, 3, False), (BIG + 1, None, 3, False), (None, None, 3, True), (BIG + 2, BIG + 3, 3, False), (BIG + 3, BIG + 3, 3, True), (None, BIG + 3, 3, False),
+        (None, None, 2, True), (7, 7, 2, True), (7, 7, 2, False),
+    }
+    kept = Counter((r["doc_id"], r["text"]) for r in exact_dedup.keep_one(spark, documents(spark, rows)).collect())
+    assert kept == Counter([(None, "a  b "), (BIG + 3, "c  d"), (None, "e"), (7, "g h")])
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_suffix_dedup_of_ids_with_two_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
+    rng = random.Random(31)
+    shared, tail = words(rng, 60, 9000), words(rng, 40, 9000)
+    rows = [(4, f"{words(rng, 30, 9000)} {shared} {tail}"), (4, f"{shared} {words(rng, 30, 9000)}"), (4, "short"), (9, f"x {shared} {words(rng, 9, 9000)}"), (None, None)]
+    found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"] > 300) for r in suffix_dedup.remove_repeats(documents(spark, rows)).collect())
+    sizes = [len((t or "").encode()) for _, t in rows]
+    first = Counter({(4, sizes[0], False): 1, (4, sizes[1], True): 1, (4, sizes[2], False): 1, (9, sizes[3], True): 1, (None, 0, False): 1})
+    other = Counter({(4, sizes[0], True): 1, (4, sizes[1], False): 1, (4, sizes[2], False): 1, (9, sizes[3], True): 1, (None, 0, False): 1})
+    assert found in (first, other)
+
+
+def test_html_of_broken_and_deep_pages():
+    page = html_extraction.Page('<body><article><p>one <a href="x>link</a> two</p><p>it&amp;s <math><mi>x</mi></math></p></article></body>')
+    assert page.text_at(page.best()[0]) == "one link two\nit&s x"
+    assert html_extraction.Page("<body>" + "<span>a " * 20_000 + "</b>" * 20_000).all_text() == ("a " * 20_000).strip()
+    assert html_extraction.Page("<body>" + "<div class='x'>a" * 5_000).all_text() == "\n".join("a" * 5_000)
+
+
+def test_packing_places_by_sum_of_squares():
+    """Every placement against the definition: of all open bins the one that leaves the least sum of squared counts per gap."""
+    rng, capacity = np.random.default_rng(7), 30
+    lengths = rng.integers(1, 31, 300)
+    bins, offsets = packing.pack_lengths(lengths, capacity)
+    gaps: dict[int, int] = {}
+    for at in np.argsort(-lengths, kind="stable"):
+        size, counts = int(lengths[at]), Counter(g for g in gaps.values() if g)
+
+        def squares(gap):
+            after = counts + Counter({gap - size: 1} if gap > size else {})
+            after[gap] -= 1
+            return sum(n * n for n in after.values())
+
+        fitting = sorted(g for g in counts if g >= size)
+        gap = gaps.get(bins[at], capacity)
+        if fitting:
+            assert bins[at] in gaps and gap == min(fitting, key=lambda g: (squares(g), g))
+        else:
+            assert bins[at] not in gaps
+        assert offsets[at] == capacity - gap
+        gaps[bins[at]] = gap - size
+
+
+def test_toxicity_scores_are_the_definition(spark, tmp_path):
+    """Ratios and scores of the query, recomputed from n-grams, counts and the fitted weights."""
+    rng = random.Random(5)
+    rows = [(i, words(rng, 20) + (" vile scum" if i % 3 == 0 else " kind folk")) for i in range(90)] + [(None, "vile scum"), (95, None)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    found = toxicity.op10_toxicity(spark, str(tmp_path)).collect()
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    weights = toxicity.train_model(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    model = toxicity.Model(weights, toxicity.ORDERS, toxicity.BUCKET_BITS)
+    expected = {i: float(model.scores([t])[0]) for i, t in rows}
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["held_out"] == held(r["doc_id"]) and abs(r["score"] - expected[r["doc_id"]]) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+    assert all(r["predicted"] == int(r["doc_id"] % 3 == 0) for r in found if r["doc_id"] is not None and r["doc_id"] < 90)
+    train = [(t, int(i % 3 == 0)) for i, t in rows[:90] if not held(i)]
+    counts = {c: Counter(b for t, toxic in train if toxic == c for b in set(toxicity.ngram_buckets(t).tolist())) for c in (0, 1)}
+    got = {r["bucket"]: (r["other_docs"], r["toxic_docs"]) for r in toxicity.frequencies(spark.createDataFrame(train, "text string, toxic int")).collect()}
+    assert got == {b: (counts[0][b], counts[1][b]) for b in counts[0] | counts[1]} | {-1: tuple(sum(x == c for _, x in train) for c in (0, 1))}
