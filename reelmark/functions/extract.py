@@ -94,19 +94,20 @@ def _let(value: Column, use) -> Column:
 
 
 def matches(text: Column, pattern: str, groups: int = 1) -> Column:
-    """All matches, in order, as structs: ``full``, ``g1`` ..., ``at`` (characters before the match)."""
+    """All matches, in order, as structs: ``full``, ``g1`` ..., ``at`` (characters before the match).
+
+    One cheap search comes first, as most names have no match of most patterns.
+    """
     wrapped = P.java("(?s)(.*?)(" + pattern.replace("(?i)", "(?i:", 1) + ")" * pattern.startswith("(?i)") + ")")
     part = lambda i: F.regexp_extract_all(text, F.lit(wrapped), F.lit(i))
     names = ["full", *(f"g{i + 1}" for i in range(groups))]
     zipped = F.arrays_zip(part(1).alias("gap"), *(part(i + 2).alias(n) for i, n in enumerate(names)))
     none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ",at:int>>")
 
-    def step(state: Column, m: Column) -> Column:
-        at = state["end"] + F.length(m["gap"])
-        found = F.struct(*(m[n].alias(n) for n in names), at.alias("at"))
-        return F.struct((at + F.length(m["full"])).alias("end"), F.concat(state["found"], F.array(found)).alias("found"))
-
-    return F.aggregate(zipped, F.struct(F.lit(0).alias("end"), none.alias("found")), step)["found"]
+    # A match is preceded by all earlier gaps and matches and by its own gap.
+    before = lambda at: F.aggregate(F.slice(zipped, F.lit(1), at), F.lit(0), lambda n, m: n + F.length(m["gap"]) + F.length(m["full"]))
+    found = F.transform(zipped, lambda m, at: F.struct(*(m[n].alias(n) for n in names), (before(at) + F.length(m["gap"])).alias("at")))
+    return F.when(F.regexp_like(text, F.lit(P.java(pattern))), found).otherwise(none)
 
 
 def _not_an_episode(number: Column, year_: Column) -> Column:

@@ -31,6 +31,12 @@ class ParserConfig:
         return replace(self, enable_neural=enabled)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as there are cores, if it comes in fewer: names are short, and parsing them is not."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def parse_heuristic(df: DataFrame, column: str = "name", mode: str = "Light") -> DataFrame:
     """``df`` with a struct column ``parsed`` (RECORD) for each name.
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.functions import patterns as P
+from reelmark.operators.parse import spread
 
 _N = "lpad(CAST(p_size AS STRING), 2, '0')"
 _G = "concat('[', replace(p_brand, '#', ''), ']')"
@@ -31,7 +32,7 @@ PART_NAME = f"""CASE CAST(p_partkey % 12 AS INT)
 
 def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(p_partkey, name) of every part."""
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(PART_NAME).alias("name"))
+    return spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(PART_NAME).alias("name")))
 
 
 def _q(text: str) -> str:
