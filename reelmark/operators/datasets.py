@@ -73,11 +73,18 @@ def silver(names: DataFrame, column: str = "name") -> DataFrame:
     return rows.select("name", F.col("t.text").alias("tokens"), bio_tags(F.col("c")).alias("ner_tags"))
 
 
-# What synthetic names are made of.
-GROUPS = "SubsPlease Erai-raws HorribleSubs Judas EMBER".split()
-HEIGHTS = "480p 720p 1080p 2160p".split()
-CODECS = "HEVC x264 x265 AV1".split()
+# What synthetic names are made of, and what noise is put into them.
+GROUPS = (
+    "SubsPlease Erai-raws Judas Coalgirls Commie HorribleSubs PuyaSubs Moozzi2 Final8 AnimeTime AnimeRG AnimeKaizoku EveTaku FFFansubs Doki UTW Asenshi gg Aidoru "
+    "SubsCafe HoloSubs OniiSubs AnimeSubs Saizen Tormained"
+).split()
+HEIGHTS = "1080p 720p 480p 2160p 1080i 720i".split()
+CODECS = "H264 x264 HEVC x265 AV1 VP9".split()
 CONTAINERS = "mkv mp4 avi".split()
+LOOKALIKES = {"0": ("O", "o"), "1": ("l", "I", "i"), "5": ("S", "s"), "8": ("B",)}
+NOISE_TAGS = ("[Hi10P]", "[Dual Audio]", "[Multiple Subtitle]", "[RAW]", "[VOSTFR]")
+# In how many of ten names each view is made.
+VIEWS = {"char_sub": 3, "mask": 4, "noise": 3, "lower": 2, "spaces": 3}
 
 
 def clean_title(title: Column) -> Column:
@@ -125,22 +132,89 @@ def filename_of() -> Column:
 
 
 def augmented(rows: DataFrame, column: str = "filename") -> DataFrame:
-    """Noisy views of each name: (augmentation, text); digits as letters, a masked middle, a noise tag, lower case, wide spaces."""
+    """Noisy views of each name: (augmentation, text).
+
+    Each digit with lookalikes replaced where it first occurs (a view each), an inner dotted segment
+    masked, a noise tag before ``.mkv``, lower case, wide spaces. Which views a name gets, and what is
+    put in, follows from the name.
+    """
     text = F.col(column)
-    third = F.floor(F.length(text) / 3).cast("int")
-    views = {
-        "char_sub": F.translate(text, "0158", "OlSB"), "mask": F.concat(F.substring(text, F.lit(1), third), F.lit("[MASK]"), F.substring(text, third * 2 + 1, F.length(text))),
-        "noise": F.concat(F.lit("[NOISE] "), text), "lower": F.lower(text), "spaces": F.replace(text, F.lit(" "), F.lit("  ")),
-    }
-    pairs = F.array(*(F.struct(F.lit(n).alias("augmentation"), v.alias("text")) for n, v in views.items()))
-    return rows.select("*", F.inline(F.filter(pairs, lambda p: p["text"] != text)))
+    made = {view: _pick(text, view, 10) < of_ten for view, of_ten in VIEWS.items()}
+    views = []
+    for digit, others in LOOKALIKES.items():
+        at = F.instr(text, digit)
+        other = F.get(F.array(*map(F.lit, others)), _pick(text, "sub" + digit, len(others)))
+        views.append(("char_sub", at > 0, F.concat(F.substring(text, F.lit(1), at - 1), other, F.substring(text, at + 1, F.length(text)))))
+    parts = F.split(text, r"\.", -1)
+    masked = _pick(text, "segment", 2**24) % F.greatest(F.size(parts) - 2, F.lit(1)) + 1
+    views.append(("mask", F.size(parts) > 2, F.array_join(F.transform(parts, lambda part, at: F.when(at == masked, "...").otherwise(part)), ".")))
+    views.append(("noise", F.lit(True), F.replace(text, F.lit(".mkv"), F.concat(F.lit(" "), F.get(F.array(*map(F.lit, NOISE_TAGS)), _pick(text, "tag", len(NOISE_TAGS))), F.lit(".mkv")))))
+    views += [("lower", F.lit(True), F.lower(text)), ("spaces", F.lit(True), F.replace(text, F.lit(" "), F.lit("  ")))]
+    pairs = F.array(*(F.struct((made[name] & fits).alias("made"), F.lit(name).alias("augmentation"), view.alias("text")) for name, fits, view in views))
+    return rows.select("*", F.inline(F.filter(pairs, lambda p: p["made"]))).drop("made")
+
+
+def marked_spans(text: Column, parts: dict[str, Column]) -> Column:
+    """Where a name's known parts stand: array of (entity, first, size), in the order in which they are marked.
+
+    Of several spellings the first that occurs counts, at its first place; group and checksum stand in
+    brackets, the extension at the end. An empty part is nowhere.
+    """
+    there = lambda c: F.when(c != "", c)
+    whole = lambda c: [(c, 0, 0)]
+
+    def span(entity: str, spellings: list[tuple[Column, int, int]]) -> Column:
+        """Spellings with the characters to leave out at both ends."""
+        places = [F.when(F.instr(text, s) > 0, F.struct(F.lit(entity).alias("entity"), (F.instr(text, s) - 1 + skip).alias("first"), (F.length(s) - skip - drop).alias("size"))) for s, skip, drop in spellings]
+        return F.coalesce(*places)
+
+    bracketed = lambda c: [(F.concat(F.lit("["), c, F.lit("]")), 1, 1)]
+    spans = []
+    for entity, name in (("GROUP", "group"), ("TITLE", "title"), ("EPISODE", "episode"), ("RESOLUTION", "resolution"), ("VCODEC", "video_codec"), ("SOURCE", "source"), ("CRC32", "crc32"), ("EXTENSION", "extension")):
+        if name not in parts:
+            continue
+        c = there(parts[name])
+        spellings = {
+            "TITLE": [*whole(c), (F.replace(c, F.lit(" "), F.lit(".")), 0, 0), (F.replace(c, F.lit(" "), F.lit("_")), 0, 0), (F.replace(c, F.lit(" - "), F.lit(" ")), 0, 0)],
+            "EPISODE": [(F.concat(F.lit(before), c, F.lit(after)), 0, 0) for before, after in ((" - ", ""), ("E", ""), ("EP", ""), (".", "."))],
+            "VCODEC": [*whole(c), *whole(F.upper(c)), *whole(F.lower(c))],
+            "SOURCE": [*whole(c), *whole(F.upper(c)), *whole(F.lower(c)), (F.replace(c, F.lit("-"), F.lit("")), 0, 0)],
+            "RESOLUTION": whole(c),
+        }.get(entity) or bracketed(c)
+        if entity == "EXTENSION":
+            ends = F.endswith(text, F.concat(F.lit("."), c))
+            spans.append(F.when(ends, F.struct(F.lit(entity).alias("entity"), (F.length(text) - F.length(c)).alias("first"), F.length(c).alias("size"))))
+        else:
+            spans.append(span(entity, spellings))
+    return F.array_compact(F.array(*spans))
+
+
+def char_tags(text: Column, spans: Column) -> Column:
+    """A tag for each character: B- at a span's first, I- at its others, O elsewhere; a later span overwrites an earlier one."""
+
+    def tag(at: Column) -> Column:
+        held = F.filter(spans, lambda s: (s["first"] <= at) & (at < s["first"] + s["size"]))
+        last = F.try_element_at(held, F.lit(-1))
+        return F.coalesce(F.concat(F.when(last["first"] == at, "B-").otherwise("I-"), last["entity"]), F.lit("O"))
+
+    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.length(text) - 1), tag)).otherwise(F.array().cast("array<string>"))
 
 
 def split_records(rows: DataFrame, key: str, validation: float, seed: int) -> DataFrame:
-    """``rows`` with ``part``: validation for about that share of the keys, else training.
+    """``rows`` with ``part``: max(1, floor(share of rows)) are for validation, none of a single row, the others for training.
 
-    A row's part follows from its key and the seed alone, so that no shuffle or count is needed.
+    Rows are taken by the least digests of their keys and the seed. A histogram of the digests' first
+    digits, of at most 4096 rows, finds the place up to which; only the digests of one cell are sorted.
     """
-    digest = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), 1, 8)
-    limit = format(-int(-validation * 2**32 // 1), "08x")
-    return rows.withColumn("part", F.when(digest < limit, "validation").otherwise("training"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+    cells = sorted((r["cell"], r["n"]) for r in rows.groupBy(F.substring(digest, 1, 3).alias("cell")).agg(F.count("*").alias("n")).collect())
+    total = sum(n for _, n in cells)
+    left = max(1, int(total * validation)) if total > 1 else 0
+    for cell, n in cells:
+        if left <= n:
+            break
+        left -= n
+    if not left:
+        return rows.withColumn("part", F.lit("training"))
+    last = rows.select(digest.alias("d")).where(F.substring("d", 1, 3) == cell).orderBy("d").limit(left).agg(F.max("d")).first()[0]
+    return rows.withColumn("part", F.when(digest <= last, "validation").otherwise("training"))

@@ -91,6 +91,21 @@ def span_metrics(gold: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
     return counts.select("*", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
 
 
+def tag_metrics(gold: DataFrame, predicted: DataFrame, name: str) -> DataFrame:
+    """One row over labels (name, index, label): tokens, equal ones, token accuracy, and span precision, recall and F1 over all entities.
+
+    Places that only one side has are no tokens, as sequences are compared up to their gold length.
+    """
+    both = gold.join(predicted.withColumnRenamed("label", "other"), [name, "index"])
+    tokens = both.agg(F.count("*").alias("tokens"), F.count(F.when(F.col("label") == F.col("other"), 1)).alias("equal_tokens"))
+    per = span_metrics(label_spans(gold, name), label_spans(predicted, name), name)
+    sums = per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gold", "predicted", "equal")))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    precision, recall = ratio(F.col("equal"), F.col("predicted")), ratio(F.col("equal"), F.col("gold"))
+    one = tokens.crossJoin(sums)  # one row each
+    return one.select("*", ratio(F.col("equal_tokens"), F.col("tokens")).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"))
+
+
 def class_weights(labels: DataFrame, most: float = 50.0) -> DataFrame:
     """(label, weight): total over classes times count, at most ``most``."""
     counts = labels.groupBy("label").agg(F.count("*").alias("n"))

@@ -65,7 +65,11 @@ def tagger_emissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "i", *(F.get("e", F.lit(i)).cast("double").alias(n) for i, n in enumerate("obt")))
 
 
-@_query("split_records", "SELECT p_partkey, CASE WHEN substr(md5(concat('7:', p_partkey)), 1, 8) < '1999999a' THEN 'validation' ELSE 'training' END AS part FROM part")
+@_query(
+    "split_records",
+    """SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY md5(concat('7:', p_partkey))) <= (SELECT CASE WHEN count(*) > 1 THEN greatest(1, floor(count(*) * 0.1)) ELSE 0 END FROM part)
+ THEN 'validation' ELSE 'training' END AS part FROM part""",
+)
 def split_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     return split_records(rows, "p_partkey", 0.1, 7)

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelmark.functions import extract
-from reelmark.operators import datasets, evaluate, sequence
-from reelmark.operators.parse import parse_heuristic
+from reelmark.functions import tokens as token_functions
+from reelmark.operators import datasets, evaluate, records, sequence
+from reelmark.operators.parse import parse_heuristic, spread
 from reelmark.plans import names as N
 from reelmark.plans.catalogue import _query
-from reelmark.plans.quality_queries import _DICE, _PAIR, _TOKENS, _pairs, _tokens
+from reelmark.plans.quality_queries import _DICE, _PAIR, _TOKENS, _WORDS, _pairs, _tokens
 from reelmark.functions import titles
 from reelmark.streaming.parse_stream import first_seen, parse_stream
 
@@ -139,18 +139,147 @@ def rad_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _synthetic(spark, sf_dir).select("filename")
 
 
-@_query(
-    "rad_augment",
-    f"""WITH names AS ({_SYNTHETIC}), views AS (
- SELECT filename, 'char_sub' AS augmentation, translate(filename, '0158', 'OlSB') AS text FROM names
- UNION ALL SELECT filename, 'mask', concat(substr(filename, 1, CAST(floor(length(filename) / 3) AS INTEGER)), '[MASK]', substr(filename, CAST(floor(length(filename) / 3) AS INTEGER) * 2 + 1)) FROM names
- UNION ALL SELECT filename, 'noise', concat('[NOISE] ', filename) FROM names UNION ALL SELECT filename, 'lower', lower(filename) FROM names
- UNION ALL SELECT filename, 'spaces', replace(filename, ' ', '  ') FROM names) SELECT * FROM views WHERE text <> filename""",
-)
+def _name_pick(salt: str) -> str:
+    return f"CAST('0x' || substr(md5(concat(filename, ':{salt}')), 1, 6) AS INTEGER)"
+
+
+def _of_list(values, salt: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][{_name_pick(salt)} % {len(values)} + 1]"
+
+
+def _views_sql() -> str:
+    made = lambda view: f"{_name_pick(view)} % 10 < {datasets.VIEWS[view]}"
+    row = lambda view, text, where="true": f"SELECT filename, '{view}' AS augmentation, {text} AS text FROM names WHERE {made(view)} AND {where}"
+    at = lambda d: f"strpos(filename, '{d}')"
+    views = [row("char_sub", f"concat(substr(filename, 1, {at(d)} - 1), {_of_list(others, 'sub' + d)}, substr(filename, {at(d)} + 1))", f"{at(d)} > 0") for d, others in datasets.LOOKALIKES.items()]
+    parts = "string_split(filename, '.')"
+    masked = f"({_name_pick('segment')} % greatest(len({parts}) - 2, 1) + 2)"
+    views.append(row("mask", f"array_to_string(list_transform(range(1, len({parts}) + 1), lambda i: CASE WHEN i = {masked} THEN '...' ELSE {parts}[i] END), '.')", f"len({parts}) > 2"))
+    views.append(row("noise", f"replace(filename, '.mkv', concat(' ', {_of_list(datasets.NOISE_TAGS, 'tag')}, '.mkv'))"))
+    views += [row("lower", "lower(filename)"), row("spaces", "replace(filename, ' ', '  ')")]
+    return "\nUNION ALL ".join(views)
+
+
+@_query("rad_augment", f"WITH names AS ({_SYNTHETIC})\n{_views_sql()}")
 def rad_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.augmented(_synthetic(spark, sf_dir).select("filename"))
 
 
+def _span_sql(entity: str, text: str, skip: int = 0, drop: int = 0) -> str:
+    return f"CASE WHEN strpos(filename, {text}) > 0 THEN {{'entity': '{entity}', 'first': strpos(filename, {text}) - 1 + {skip}, 'size': length({text}) - {skip + drop}}} END"
+
+
+
+
+#: Group, title and extension of every part's name, with the characters they take.
+_CHAR_TAGS = f"""{N.WITH_NAMED}, parts AS (SELECT p_partkey, name AS filename, replace(p_brand, '#', '') AS g, p_name AS t, CAST(p_size AS STRING) AS e, '1080p' AS r, 'Xvid' AS v FROM named JOIN part USING (p_partkey)),
+found AS (SELECT p_partkey, filename, list_filter([{_span_sql('GROUP', "concat('[', g, ']')", 1, 1)},
+ coalesce({_span_sql('TITLE', 't')}, {_span_sql('TITLE', "replace(t, ' ', '.')")}, {_span_sql('TITLE', "replace(t, ' ', '_')")}),
+ coalesce({_span_sql('EPISODE', "concat(' - ', e)")}, {_span_sql('EPISODE', "concat('E', e)")}, {_span_sql('EPISODE', "concat('EP', e)")}, {_span_sql('EPISODE', "concat('.', e, '.')")}),
+ {_span_sql('RESOLUTION', 'r')}, coalesce({_span_sql('VCODEC', 'v')}, {_span_sql('VCODEC', 'upper(v)')}, {_span_sql('VCODEC', 'lower(v)')}),
+ CASE WHEN ends_with(filename, '.mkv') THEN {{'entity': 'EXTENSION', 'first': length(filename) - 3, 'size': 3}} END], lambda s: s IS NOT NULL) AS spans FROM parts),
+tagged AS (SELECT p_partkey, list_transform(range(0, length(filename)), lambda i: list_filter(spans, lambda s: s.first <= i AND i < s.first + s.size)[-1]) AS held, filename FROM found)
+SELECT p_partkey, array_to_string(list_transform(range(0, length(filename)), lambda i: CASE WHEN held[i + 1] IS NULL THEN 'O' WHEN held[i + 1].first = i THEN concat('B-', held[i + 1].entity) ELSE concat('I-', held[i + 1].entity) END), ' ') AS char_tags FROM tagged"""
+
+
+@_query("char_tags", _CHAR_TAGS)
+def char_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character tags of the parts' names from what is known of them."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_size", F.expr(N.PART_NAME).alias("filename"))
+    known = {"group": F.replace("p_brand", F.lit("#"), F.lit("")), "title": F.col("p_name"), "episode": F.col("p_size").cast("string"), "resolution": F.lit("1080p"), "video_codec": F.lit("Xvid"), "extension": F.lit("mkv")}
+    spans = datasets.marked_spans(F.col("filename"), known)
+    return part.withColumn("spans", spans).select("p_partkey", F.array_join(datasets.char_tags(F.col("filename"), F.col("spans")), " ").alias("char_tags"))
+
+
+#: A label for a token of a name, by its text and place, in SQL that both engines read.
+_TOKEN_LABEL = """CASE WHEN index = 0 THEN 'B-GROUP' WHEN token IN ('1080p', '720p', '480p', '2160p') THEN 'RESOLUTION' WHEN token IN ('hevc', 'x265', 'x264', 'xvid', 'h264') THEN 'VCODEC'
+ WHEN token IN ('flac', 'aac', 'mp3', 'truehd', 'ac3', 'dtshd') THEN 'ACODEC' WHEN token IN ('webdl', 'bluray', 'webrip', 'hdtv', 'dvdrip', 'bd') THEN 'SOURCE' WHEN token IN ('mkv', 'mp4', 'avi') THEN 'EXTENSION'
+ WHEN token LIKE 's0%' THEN 'B-SEASON' WHEN token LIKE 'v_' THEN 'VERSION' WHEN length(token) = 4 AND token LIKE '20%' THEN 'YEAR' WHEN length(token) = 8 THEN 'CRC32'
+ WHEN token LIKE '0%' OR token LIKE '1%' OR token LIKE '2%' OR token LIKE '3%' OR token LIKE '4%' THEN 'B-EPISODE' WHEN index = 1 THEN 'B-TITLE' WHEN index < 6 THEN 'I-TITLE' ELSE 'O' END"""
+
+_ENTITIES = f"""{_TOKENS}, labelled AS (SELECT *, {_TOKEN_LABEL} AS label FROM tokens), named2 AS (SELECT *, regexp_replace(label, '^[BI]-', '') AS entity FROM labelled),
+starts AS (SELECT *, CASE WHEN label LIKE 'B-%' OR entity <> lag(entity, 1, 'O') OVER (PARTITION BY p_partkey ORDER BY index) THEN 1 ELSE 0 END AS starts FROM named2),
+islands AS (SELECT *, sum(starts) OVER (PARTITION BY p_partkey ORDER BY index) AS island FROM starts),
+spans AS (SELECT p_partkey, entity, min(index) AS first, max(index) AS last, min(start) AS s, max("end") AS e FROM islands WHERE entity <> 'O' GROUP BY p_partkey, island, entity),
+entities AS (SELECT p_partkey, entity, first, last, trim(substr(name, s + 1, e - s)) AS value FROM spans JOIN named USING (p_partkey))"""
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = N.part_names(spark, sf_dir).select("p_partkey", "name", F.inline(token_functions.tokenize(F.col("name"))))
+    return records.entities(tokens.withColumnRenamed("text", "token").withColumn("label", F.expr(_TOKEN_LABEL)), "p_partkey")
+
+
+@_query("assemble_entities", f"{_ENTITIES}\nSELECT * FROM entities")
+def assemble_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir).drop("name")
+
+
+def _reading_sql(field: str, kind: str, value: str) -> str:
+    return f"arg_min({value}, first) FILTER (WHERE entity = '{kind}' AND {value} IS NOT NULL) AS \"{field}\""
+
+
+def _records_sql() -> str:
+    from reelmark.functions import converters as C
+
+    number = "CASE WHEN regexp_matches(value, '^[0-9]{1,9}$') THEN CAST(value AS BIGINT) END"
+    readings = [
+        ("title", "TITLE", "value"), ("group", "GROUP", "value"), ("episode", "EPISODE", number), ("season", "SEASON", number), ("resolution", "RESOLUTION", C.convert_sql("value", C.ENTITY_RESOLUTION)),
+        ("video_codec", "VCODEC", C.convert_sql("value", C.ENTITY_VIDEO)), ("audio_codec", "ACODEC", C.convert_sql("value", C.ENTITY_AUDIO)), ("source", "SOURCE", C.convert_sql("value", C.ENTITY_SOURCE)),
+        ("year", "YEAR", number), ("crc32", "CRC32", "value"), ("extension", "EXTENSION", "value"), ("version", "VERSION", "CAST(nullif(regexp_extract(value, '[0-9]'), '') AS BIGINT)"),
+    ]
+    count = " + ".join(f'CASE WHEN "{c}" IS NULL THEN 0 ELSE 1 END' for c in records.COUNTED)
+    return f"{_ENTITIES}, built AS (SELECT p_partkey, {', '.join(_reading_sql(*r) for r in readings)} FROM entities GROUP BY p_partkey)\nSELECT *, round(({count}) / 11.0, 4) AS confidence FROM built"
+
+
+@_query("entity_records", _records_sql())
+def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records built from the entities of labelled tokens."""
+    return records.records(_entities(spark, sf_dir), "p_partkey").drop("name").withColumn("confidence", F.round(F.col("confidence").cast("double"), 4))
+
+
+@_query(
+    "tag_metrics",
+    f"""WITH {_spans_sql('gold', 0)},\n{_spans_sql('pred', 1)},
+tokens AS (SELECT count(*) AS tokens, count(CASE WHEN a.label = b.label THEN 1 END) AS equal_tokens FROM gold_l a JOIN pred_l b USING (seq, index)),
+sums AS (SELECT count(g) AS gold, count(p) AS predicted, count(CASE WHEN g = 1 AND p = 1 THEN 1 END) AS equal
+ FROM (SELECT *, 1 AS g FROM gold) a FULL JOIN (SELECT *, 1 AS p FROM pred) b USING (seq, entity, first, last)),
+rates AS (SELECT *, {_RATIO.format(a='equal_tokens', b='tokens')} AS accuracy, {_RATIO.format(a='equal', b='predicted')} AS precision, {_RATIO.format(a='equal', b='gold')} AS recall FROM tokens, sums)
+SELECT tokens, equal_tokens, gold, predicted, equal, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round({_RATIO.format(a='(2 * precision * recall)', b='(precision + recall)')}, 6) AS f1 FROM rates""",
+)
+def tag_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sequence.tag_metrics(_labels(spark, sf_dir, 0), _labels(spark, sf_dir, 1), "seq")
+    return found.select("tokens", "equal_tokens", "gold", "predicted", "equal", *(F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")))
+
+
+_VALIDATED = f"""{N.WITH_PARSED}, asked AS (SELECT p_partkey, title, resolution, lower(title) AS a, lower(p_name) AS b FROM parsed JOIN part USING (p_partkey)),
+jaccard AS (SELECT *, CAST(len(list_intersect({_WORDS.format('a')}, {_WORDS.format('b')})) AS DOUBLE) / len(list_distinct(list_concat(string_split(a, ' '), string_split(b, ' ')))) AS j FROM asked),
+scored AS (SELECT *, CASE WHEN title IS NULL OR p_partkey % 9 = 0 THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.8 WHEN j > 0.5 THEN j ELSE 0.0 END AS score FROM jaccard)"""
+
+
+def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    rows = parse_heuristic(spread(part.select("p_partkey", "p_name", F.expr(N.PART_NAME).alias("name"))))
+    rows = rows.withColumn("titles", F.when(F.col("p_partkey") % 9 != 0, F.array("p_name"))).withColumn("height", F.lit("FHD1080"))
+    return records.validated(rows, "titles", expected={"resolution": "height"})
+
+
+@_query(
+    "validate_names",
+    f"""{_VALIDATED}
+SELECT p_partkey, round(score, 6) AS title_match, score >= 0.5 AS valid, array_to_string(list_filter([CASE WHEN title IS NULL THEN 'No title extracted' WHEN p_partkey % 9 = 0 THEN concat('Title not found: ', title)
+ WHEN score < 0.5 THEN concat('Low title match score: ', printf('%.2f', score)) END, CASE WHEN title IS NOT NULL AND p_partkey % 9 <> 0 AND resolution IS DISTINCT FROM 'FHD1080' THEN concat('resolution mismatch: got ', coalesce(resolution, 'None'), ', expected FHD1080') END],
+ lambda x: x IS NOT NULL), '; ') AS issues FROM scored""",
+)
+def validate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _validated(spark, sf_dir).select("p_partkey", F.round("title_match", 6).alias("title_match"), "valid", F.array_join("issues", "; ").alias("issues"))
+
+
+@_query("validation_report", f"{_VALIDATED}\nSELECT count(*) AS total, count(CASE WHEN score >= 0.5 THEN 1 END) AS valid, round(avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, round(avg(score), 6) AS avg_match_score FROM scored")
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.validation_report(_validated(spark, sf_dir))
+    return found.select("total", "valid", F.round("accuracy", 6).alias("accuracy"), F.round("avg_match_score", 6).alias("avg_match_score"))
+
+
 #: Two parsers' records of every part: the engine's own, and one that knows less.
 _CASES = f"""{N.WITH_PARSED},
 cases AS (SELECT 'engine' AS parser, p.p_partkey, part.p_name AS e_title, p.title AS a_title, p.grp AS a_group, p.season AS a_season, p.resolution AS a_resolution FROM parsed p JOIN part USING (p_partkey)
@@ -227,7 +356,11 @@ def table_counts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EVENT_NAME = "concat('[', event_type, '] Show ', CAST(user_id AS STRING), ' - ', lpad(CAST(event_id % 24 + 1 AS STRING), 2, '0'), ' (1080p).mkv')"
 
 
-@_query("stream_parse_dedupe", f"SELECT DISTINCT concat('Show ', user_id) AS title, event_type AS \"group\", CAST(event_id % 24 + 1 AS INTEGER) AS episode FROM events")
+#: The records of the events' distinct names, by the SQL of the parse.
+_STREAM_NAMES = f"WITH named AS (SELECT min(event_id) AS p_partkey, {_EVENT_NAME} AS name FROM events GROUP BY 2)"
+
+
+@_query("stream_parse_dedupe", N.WITH_PARSED.replace(N.WITH_NAMED, _STREAM_NAMES) + '\nSELECT title, grp AS "group", CAST(regexp_extract(episode, \'^[0-9]+\') AS INTEGER) AS episode FROM parsed')
 def stream_parse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a stream of names: deduped within a watermark that spans the table, parsed, run to the end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -243,11 +376,7 @@ def stream_parse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, by the rule of the corpus operators, which can be removed."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        return "file://" + tempfile.mkdtemp(prefix="spark-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
+    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
 
 
 @_query("dice_histogram", f"{_PAIR}, d AS (SELECT {_DICE} AS dice FROM pair) SELECT round(floor(dice * 10) / 10, 1) AS bucket, count(*) AS n FROM d GROUP BY 1")

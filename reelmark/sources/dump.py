@@ -40,14 +40,14 @@ def copy_rows(lines: DataFrame) -> DataFrame:
     Only header and terminator lines are ordered by a window; every other line finds its header by
     a range join with the blocks those make, which are as many as the dump's tables.
     """
-    numbered = lines.select("line", (F.col("block") + F.col("place")).alias("place"))
+    numbered = lines.select("line", "file", (F.col("block") + F.col("place")).alias("place"))
     marks = numbered.where(F.col("line").startswith("COPY ") & F.regexp_like("line", F.lit(_COPY)) | (F.col("line") == "\\."))
-    after = F.lead("place").over(Window.orderBy("place"))
+    after = F.lead("place").over(Window.partitionBy("file").orderBy("place"))
     blocks = marks.withColumn("end", after).where("line != '\\\\.'").select(
-        F.col("place").alias("begin"), "end", identifier(F.regexp_extract("line", _COPY, 1)).alias("table"),
+        F.col("file").alias("of"), F.col("place").alias("begin"), "end", identifier(F.regexp_extract("line", _COPY, 1)).alias("table"),
         F.transform(F.split(F.regexp_extract("line", _COPY, 2), ","), identifier).alias("columns"),
     )
-    inside = numbered.join(F.broadcast(blocks), (F.col("place") > F.col("begin")) & (F.col("end").isNull() | (F.col("place") < F.col("end"))))
+    inside = numbered.join(F.broadcast(blocks), (F.col("file") == F.col("of")) & (F.col("place") > F.col("begin")) & (F.col("end").isNull() | (F.col("place") < F.col("end"))))
     return inside.select("table", "columns", pinned(F.transform(F.split("line", "\t", -1), unescaped)).alias("fields"), "place")
 
 

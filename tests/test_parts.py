@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelmark.functions import patterns as P
 from reelmark.functions import sanitize, scoring, titles, tokens
-from reelmark.operators import datasets, matching, sequence
+from reelmark.operators import datasets, matching, records, sequence
 from reelmark.operators.parse import parse_heuristic
 from reelmark.sources import dump, files
 from tests.helpers import SMALL
@@ -14,18 +14,18 @@ import __spark_entry__ as entry
 
 DUMP = """SET x;
 COPY public.anime (id, slug, titles, canonical_title, abbreviated_titles) FROM stdin;
-1\tspy-x-family\t{"ja_jp":"SPY×FAMILY","en":"Spy x Family","n":1}\tSpy x Family\t["SxF"]
-2\tsousou-no-frieren\t{"en":"Frieren"}\t\\N\t\\N
+41\tpaper-x-lantern\t{"ja_jp":"PAPER×LANTERN","en":"Paper x Lantern","n":1}\tPaper x Lantern\t["PxL"]
+42\tkoppa-no-wheel\t{"en":"Copperwheel"}\t\\N\t\\N
 \\.
 COPY public.other (id) FROM stdin;
 9\tx
 \\.
 COPY public.mappings (item_id, item_type, external_site, external_id) FROM stdin;
-1\tAnime\tanilist/anime\t777
-1\tAnime\tmyanimelist/anime\t12345
-2\tAnime\tanilist\t888
-2\tManga\tmal\t5
-2\tAnime\tmal\tnone
+41\tAnime\tanilist/anime\t6001
+41\tAnime\tmyanimelist/anime\t70002
+42\tAnime\tanilist\t6003
+42\tManga\tmal\t5
+42\tAnime\tmal\tnone
 \\.
 """
 
@@ -42,11 +42,19 @@ def test_dump_to_match(spark, tmp_path, zipped):
     raw = dump.load_catalogue(dump.copy_rows(dump.read_lines(spark, str(path))))
     entries = matching.catalogue(raw)
     found = {r["entry_id"]: r for r in entries.collect()}
-    assert found[1]["canonical_title"] == "Spy x Family" and tuple(found[1]["ids"]) == (1, 777, 12345)
-    assert found[2]["canonical_title"] == "Frieren" and found[2]["ids"]["anilist"] == 888 and found[2]["ids"]["mal"] is None
-    asked = spark.createDataFrame([("spy x family",), ("frieren",), ("  ",), ("zzz",)], "title string")
+    assert found[41]["canonical_title"] == "Paper x Lantern" and tuple(found[41]["ids"]) == (41, 6001, 70002)
+    assert found[42]["canonical_title"] == "Copperwheel" and found[42]["ids"]["anilist"] == 6003 and found[42]["ids"]["mal"] is None
+    asked = spark.createDataFrame([("paper x lantern",), ("copperwheel",), ("  ",), ("zzz",)], "title string")
     best = {r["query"]: r for r in matching.match_title(asked, entries).collect()}
-    assert best["spy x family"]["entry_id"] == 1 and best["spy x family"]["score"] > 0.9 and best["frieren"]["entry_id"] == 2 and "  " not in best
+    assert best["paper x lantern"]["entry_id"] == 41 and best["paper x lantern"]["score"] > 0.9 and best["copperwheel"]["entry_id"] == 42 and "  " not in best
+
+
+def test_dumps_side_by_side(spark, tmp_path):
+    """Each file's rows go by its own headers."""
+    for name, columns, row in (("a", "id, slug", "1\tone"), ("b", "slug, id", "two\t2")):
+        (tmp_path / f"{name}.sql").write_text(f"COPY t ({columns}) FROM stdin;\n{row}\n\\.\n")
+    rows = dump.named(dump.copy_rows(dump.read_lines(spark, str(tmp_path / "*.sql"))), "t", ("id", "slug"))
+    assert sorted((r["id"], r["slug"]) for r in rows.collect()) == [("1", "one"), ("2", "two")]
 
 
 def test_dump_without_a_needed_column(spark, tmp_path):
@@ -57,11 +65,11 @@ def test_dump_without_a_needed_column(spark, tmp_path):
 
 
 def test_title_functions(spark):
-    rows = spark.createDataFrame([("SPY×FAMILY", "Jujutsu_Kaisen: x"), ("", None)], "a string, b string")
+    rows = spark.createDataFrame([("PAPER×LANTERN", "Copper_Wheel: x"), ("", None)], "a string, b string")
     found = rows.select(titles.normalize_title(F.col("a")).alias("a"), titles.normalize_title(F.col("b")).alias("b")).collect()
-    assert (found[0]["a"], found[0]["b"], found[1]["a"], found[1]["b"]) == ("spyxfamily", "jujutsu kaisen x", "", None)
+    assert (found[0]["a"], found[0]["b"], found[1]["a"], found[1]["b"]) == ("paperxlantern", "copper wheel x", "", None)
     assert titles._jaro_winkler("martha", "marhta") == pytest.approx(0.9611, abs=1e-4) and titles._jaro_winkler("ab", "ac") == pytest.approx(2 / 3)
-    pairs = spark.createDataFrame([("spy x family", "spy family"), ("jujutsu kaisen", "bleach")], "a string, b string").withColumn("w", titles.jaro_winkler("a", "b"))
+    pairs = spark.createDataFrame([("paper x lantern", "paper lantern"), ("copper wheel", "salt")], "a string, b string").withColumn("w", titles.jaro_winkler("a", "b"))
     near, far = (r[0] for r in pairs.select(titles.similarity(F.col("a"), F.col("b"), F.col("w"))).collect())
     assert near > 0.75 and far < 0.5
 
@@ -85,15 +93,15 @@ def test_scores(spark):
 
 
 def test_tokens(spark):
-    rows = spark.createDataFrame([("[SubsPlease] A - 24 (S01E02v2) [x{y}] é~",)], "name string")
+    rows = spark.createDataFrame([("[RiverCut] A - 24 (S01E02v2) [x{y}] é~",)], "name string")
     found = rows.select(tokens.tokenize(F.col("name")).alias("t"), tokens.composite_tokens(F.col("name")).alias("c"), tokens.char_ids(F.col("name")).alias("i")).first()
-    assert tuple(found["t"][0]) == ("subsplease", 1, 11, 0)
+    assert tuple(found["t"][0]) == ("rivercut", 1, 9, 0)
     texts = [c["text"] for c in found["c"]]
-    assert texts == ["[", "SubsPlease", "]", "A", "-", "24", "(", "S01", "E02", "v2", ")", "[", "x", "{", "y", "}", "]", "é", "~"]
+    assert texts == ["[", "RiverCut", "]", "A", "-", "24", "(", "S01", "E02", "v2", ")", "[", "x", "{", "y", "}", "]", "é", "~"]
     assert [c["bracket"] for c in found["c"]][:3] == [None, "[", "["] and found["c"][14]["bracket"] == "{"
     assert len(found["i"]) == 256 and found["i"][0] == ord("[") - 30
     span = rows.select(tokens.spans(tokens.tokenize(F.col("name")), 0, 2).alias("s"), tokens.spans(tokens.tokenize(F.col("name")), 3, 99).alias("n")).first()
-    assert tuple(span["s"]) == (1, 14) and span["n"] is None
+    assert tuple(span["s"]) == (1, 12) and span["n"] is None
 
 
 def test_viterbi_and_tags(spark):
@@ -115,6 +123,24 @@ def test_bio_runs(spark):
     assert row["t"] == ["B-GROUP", "B-TITLE", "B-GROUP", "B-TITLE", "B-EPISODE", "B-GROUP", "I-EPISODE", "B-SEASON", "B-EPISODE", "I-SEASON", "O"]
 
 
+def test_entities_and_records(spark):
+    """Special tokens and blanks give no entity, the first that can be read of a kind counts."""
+    name = "é [G] 12 x 7 1080p zz v2"
+    rows = [(0, 0, 0, "B-TITLE"), (1, 4, 5, "B-GROUP"), (2, 10, 11, "B-EPISODE"), (3, 7, 9, "B-EPISODE"), (4, 12, 13, "B-SEASON"), (5, 14, 17, "RESOLUTION"), (6, 17, 19, "RESOLUTION"), (7, 20, 22, "O"), (8, 23, 25, "VERSION"), (9, 6, 7, "B-TITLE")]
+    tokens = spark.createDataFrame([(1, name, *r) for r in rows], "id int, name string, index int, start int, end int, label string")
+    found = records.entities(tokens, "id")
+    assert sorted((r["first"], r["entity"], r["value"]) for r in found.collect()) == [(1, "GROUP", "G"), (2, "EPISODE", "x"), (3, "EPISODE", "12"), (4, "SEASON", "7"), (5, "RESOLUTION", "1080p"), (8, "VERSION", "v2")]
+    one = records.records(found, "id").first()
+    assert (one["group"], one["episode"], one["season"], one["resolution"], one["version"], one["title"]) == ("G", 12, 7, "FHD1080", 2, None)
+    assert one["confidence"] == pytest.approx(4 / 11)
+
+
+def test_split_takes_an_exact_share(spark):
+    for n, expected in ((0, 0), (1, 0), (2, 1), (95, 9)):
+        parts = datasets.split_records(spark.range(n), "id", 0.1, 3)
+        assert parts.where("part = 'validation'").count() == expected and parts.count() == n
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "t.txt").write_text("# comment\na\tO\nb\tB-X\nc\tUNKNOWN\n\n\nd\tO\n")
     found = files.read_bio(spark, str(tmp_path / "t.txt"), ("O", "B-X")).collect()
