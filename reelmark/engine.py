@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,25 @@ class Engine:
         return matching.search_titles(queries, entries, limit)
 
 
+def ship(spark: SparkSession) -> str:
+    """Send this package to the executors of a cluster that don't have it installed; returns the archive's name.
+
+    Spark's own file server hands the archive on, so the executors need not see the driver's folders.
+    """
+    package = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, files in sorted(os.walk(package)):
+            for file in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(folder, file)
+                archive.write(path, os.path.join(os.path.basename(package), os.path.relpath(path, package)))
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "reelmark.zip")
+    with open(target, "wb") as f:
+        f.write(packed.getvalue())
+    spark.sparkContext.addPyFile(target)
+    return target
+
+
 def register(spark: SparkSession) -> None:
     """Temporary views and functions for SQL: quality_dim, and jaro_winkler(a, b)."""
     from reelmark.functions import patterns as P

@@ -1,9 +1,13 @@
 import gzip
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from reelmark.engine import ship
 from reelmark.functions import patterns as P
 from reelmark.functions import sanitize, scoring, titles, tokens
 from reelmark.operators import datasets, matching, records, sequence
@@ -165,6 +169,14 @@ def test_cleaning(spark):
     assert "bluray" in P.METADATA_TOKENS
 
 
+def test_package_is_shipped(spark):
+    """The archive alone is enough to import the package."""
+    target = ship(spark)
+    code = "import sys; sys.path[:] = [sys.argv[1]] + [p for p in sys.path[1:] if 'repo' not in p]; import reelmark.operators.records as r; print(r.__file__)"
+    out = subprocess.run([sys.executable, "-c", code, target], capture_output=True, text=True, cwd="/", env={**os.environ, "PYTHONPATH": ""})
+    assert target in out.stdout, out.stderr
+
+
 def test_stream_rows_stay_off_the_driver(spark):
     """The stream's rows are read from files that it wrote, not from a table in the driver's memory."""
     found = entry.queries()["stream_parse_dedupe"](spark, SMALL)
