@@ -23,13 +23,13 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Every key that covers the URL: its host's suffixes of two labels or more, and host plus path prefixes."""
+    """Every key that covers the URL: its host, that one's suffixes of two labels or more, and host plus path prefixes."""
     host, path = host_of(url), F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
     labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
-    suffixes = F.when(F.size(labels) > 1, F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
     none = F.array().cast("array<string>")
-    return F.when(host == "", none).otherwise(F.array_distinct(F.concat(F.coalesce(suffixes, none), F.coalesce(prefixes, none))))
+    return F.when(host == "", none).otherwise(F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, none))))
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ entries AS (
 held AS (
   SELECT key, max(action) AS action, listed_at, lead(listed_at) OVER (PARTITION BY key ORDER BY listed_at) AS valid_to FROM entries GROUP BY key, listed_at),
 asked AS (
-  SELECT page_id, url, fetched_at, array_to_string(string_split(host, '.')[i:], '.') AS key FROM captures, unnest(range(1, len(string_split(host, '.')))) t(i) WHERE host <> ''
+  SELECT page_id, url, fetched_at, array_to_string(string_split(host, '.')[i:], '.') AS key FROM captures, unnest(range(1, greatest(len(string_split(host, '.')), 2))) t(i) WHERE host <> ''
   UNION SELECT page_id, url, fetched_at, host || '/' || array_to_string(parts[:i], '/') FROM captures, unnest(range(1, len(parts) + 1)) t(i) WHERE host <> ''),
 matched AS (
   SELECT page_id, url, fetched_at, key, action, listed_at,

@@ -251,6 +251,13 @@ def test_url_filters_odd_rows(spark):
     assert url_filters.evaluate(early, listed).first()["kept"] is False
 
 
+def test_url_filters_hosts_of_one_label(spark):
+    pages = spark.createDataFrame([(1, "http://localhost/a"), (2, "http://intranet"), (3, "http://www.localhost/"), (4, "http://org/")], "page_id long, url string").withColumn("fetched_at", F.lit("2024-02-01").cast("timestamp"))
+    listed = spark.createDataFrame([("localhost", "block"), ("intranet", "block"), ("org", "allow")], "key string, action string").withColumn("listed_at", F.lit("2024-01-01").cast("timestamp"))
+    found = {r["page_id"]: (r["list_key"], r["kept"]) for r in url_filters.evaluate(pages, listed).collect()}
+    assert found == {1: ("localhost", False), 2: ("intranet", False), 3: (None, True), 4: ("org", True)}
+
+
 # 3: decontamination
 
 
