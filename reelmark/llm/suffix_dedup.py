@@ -4,9 +4,10 @@ Every LEAST-byte string is dealt by its anchor, the least of the hashes of its G
 (the leftmost of equal ones): equal strings have equal anchors at equal places. The starts that share an
 anchor form a segment. Equal segments collapse into the first one; where different segments share an
 anchor, their texts meet in one task, which builds their Burrows-Wheeler transform and finds the common
-prefixes by threshold-bounded interval expansion: intervals of suffixes with a common prefix are extended
-backward, breadth first, so that common prefix values come in increasing order, and the expansion
-stops at the minimum length. What no extension has parted by then has a common prefix of LEAST bytes.
+prefixes by threshold-bounded interval expansion: intervals of suffixes that begin with one string are
+extended backward by ranks in the transform, breadth first, so that common prefix values come in increasing
+order, and the expansion stops at the minimum length. What no interval's end has parted by then has a
+common prefix of LEAST bytes.
 
 Anchors with very many segments are dealt in slices: the starts of a slice have all but SLICE - 1
 bytes in common, and the hash of that core is part of the key, so that no task gets a hot anchor whole.
@@ -99,11 +100,8 @@ def _anchors(docs: DataFrame, least: int) -> DataFrame:
     return docs.mapInPandas(run, ANCHORS)
 
 
-def common_prefixes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix order of the bytes, and by place in it whether the common prefix with the one before reaches ``least``.
-
-    Suffixes are ordered by at least ``least`` bytes, which is all that the expansion looks at.
-    """
+def suffix_order(data: np.ndarray, least: int) -> np.ndarray:
+    """Starts of the suffixes, ordered by at least ``least`` bytes, which is all that the expansion looks at."""
     n = len(data)
     padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -116,29 +114,49 @@ def common_prefixes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(new)
         if span >= least or rank[order[-1]] == n - 1:
-            break
+            return order
         key = rank * (n + 1)
         key[: n - span] += rank[span:] + 1
         span *= 2
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    # The transform is data[order - 1]; extending backward leads from place i to the place of order[i] - 1,
-    # so the interval of c w among the suffixes that start with c holds those whose next place lies in that of w.
-    following = place[np.minimum(order + 1, n - 1)]
-    first_byte = data[order]
-    parted = np.ones(n, bool)
-    parted[1:] = first_byte[1:] != first_byte[:-1]
-    open_places = np.flatnonzero(~parted)
-    after, before = following[open_places], following[open_places - 1]
-    for _ in range(1, least):
-        interval = np.cumsum(parted, dtype=np.int32)
-        split = interval[after] != interval[before]
-        if not len(open_places):
+
+
+def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
+    """By place in the suffix order, whether the common prefix with the place before reaches ``least``.
+
+    Starts from the interval of the empty string and extends each interval of w backward to those of c w, for
+    every byte c in its part of the transform; their bounds are the ranks of the first and last such c. The end of
+    an interval for a string of l bytes that no shorter string has marked has a common prefix of l - 1, and only
+    such intervals are extended further: values come in increasing order, and each place is marked once. Strings
+    with a separator aren't extended: none of them is asked for, and being the greatest byte it ends no other interval.
+    """
+    n = len(transform)
+    by_byte = np.argsort(transform, kind="stable")
+    rank = np.empty(n, np.int64)  # of the place's byte among all bytes: where the suffix one byte longer stands
+    rank[by_byte] = np.arange(n)
+    alike = transform[by_byte[1:]] == transform[by_byte[:-1]]
+    same_before, same_after = np.full(n, -1), np.full(n, n)
+    same_before[by_byte[1:][alike]] = by_byte[:-1][alike]
+    same_after[by_byte[:-1][alike]] = by_byte[1:][alike]
+    is_open = np.ones(n + 1, bool)
+    is_open[0] = is_open[n] = False
+    low, high = np.array([0]), np.array([n])
+    for _ in range(least):
+        width = high - low
+        owner = np.repeat(np.arange(len(low)), width)
+        place = np.arange(len(owner)) + (low - np.cumsum(width) + width)[owner]
+        byte = transform[place]
+        plain = byte != SEPARATOR
+        label = owner * 256 + byte
+        first = np.flatnonzero(plain & (same_before[place] < low[owner]))
+        last = np.flatnonzero(plain & (same_after[place] >= high[owner]))
+        first, last = first[np.argsort(label[first], kind="stable")], last[np.argsort(label[last], kind="stable")]
+        low, high = rank[place[first]], rank[place[last]] + 1
+        fresh = is_open[high]
+        low, high = low[fresh], high[fresh]
+        is_open[high] = False
+        if not len(low):
             break
-        parted[open_places[split]] = True
-        keep = ~split
-        open_places, after, before = open_places[keep], after[keep], before[keep]
-    return order, ~parted
+    return is_open[:n]
 
 
 def repeated_starts(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
@@ -148,7 +166,8 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, co
     """
     lengths = np.array([len(t) for t in texts])
     data = np.frombuffer(b"\xff".join(texts) + b"\xff", np.uint8)
-    order, joined = common_prefixes(data, least)
+    order = suffix_order(data, least)
+    joined = common_prefixes(data[order - 1], least)
     begins = np.cumsum(lengths + 1) - lengths - 1
     number = np.full(len(data), -1, np.int64)
     at = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())

@@ -337,6 +337,29 @@ def brute_repeats(rows, least):
     return out
 
 
+@pytest.mark.parametrize("alphabet", [b"a", b"ab", b"abcdefghij"])
+def test_interval_expansion_is_brute_force(alphabet):
+    """Places that share ``least`` bytes with the one before, as the transform alone tells."""
+    rng = random.Random(len(alphabet))
+    base = bytes(rng.choice(alphabet) for _ in range(60))
+    for _ in range(60):
+        least, texts = rng.choice([1, 2, 5, 12, 20]), []
+        for _ in range(rng.randrange(1, 8)):
+            begin = rng.randrange(30)
+            text = bytearray(base[begin : begin + rng.randrange(20, 31)])
+            text[rng.randrange(len(text))] = rng.choice(alphabet)
+            texts.append(bytes(text))
+        joined = b"\xff".join(texts) + b"\xff"
+        data = np.frombuffer(joined, np.uint8)
+        order = suffix_dedup.suffix_order(data, least)
+        found = suffix_dedup.common_prefixes(data[order - 1], least)
+        strings = [joined[at : at + least] for at in order]
+        assert sorted(order) == list(range(len(joined)))
+        for place in range(1, len(order)):
+            if b"\xff" not in strings[place] or b"\xff" not in strings[place - 1]:
+                assert found[place] == (strings[place] == strings[place - 1])
+
+
 @pytest.mark.parametrize("most", [1000, 1])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
