@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from reelmark.functions import scoring, titles, tokens
 from reelmark.operators import matching
-from reelmark.operators.parse import ParserConfig, flattened, parse, parse_heuristic
+from reelmark.operators.parse import ParserConfig, flattened, parse, parse_best, parse_heuristic
 
 
 class Engine:
@@ -31,6 +31,10 @@ class Engine:
     def parse_heuristic(self, names: DataFrame, column: str = "name") -> DataFrame:
         return parse_heuristic(names, column)
 
+    def parse_best(self, names: DataFrame, column: str = "name") -> DataFrame:
+        """The heuristic record from a confidence of 0.8, else the more confident one; neither is sanitised."""
+        return parse_best(names, column, self.neural)
+
     def parse_list(self, names: list[str]) -> DataFrame:
         rows = self.spark.createDataFrame([(n,) for n in names], "name string")
         return flattened(self.parse(rows))

@@ -12,9 +12,11 @@ COMPOSITE = (
     r"|dual-audio|multi-audio|multi-subs?|hi10p|10bit|8bit|h\.?26[45]|x26[45]|hevc|av1|vp9|flac|aac|opus|ac3|dts|mp3|truehd|eac3|vorbis"
     r"|[A-Za-z0-9]+(?:'[A-Za-z0-9]+)*|[._+\-]"
 )
+# Roman numerals, and the composites that fall into parts.
 ROMAN = r"(?i)^m{0,4}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})\z"
 SEASON_EPISODE = r"(?i)^(s\d{1,2})(e\d{1,4})(v\d+)?\z"
 VERSIONED = r"(?i)^(\d{1,4})(v\d+)\z"
+SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
 # The lexicon, by category; a term of several categories has the last one.
 LEXICON = {
@@ -28,6 +30,9 @@ LEXICON = {
     "QUALITY": "hd sd uhd hq hi10p 10bit 8bit",
 }
 
+#: Flags of a token, by category of the lexicon.
+FLAGS = {"resolution": "RESOLUTION", "source": "SOURCE", "codec": "CODEC", "audio": "AUDIO", "language": "LANG", "subtitle": "SUB", "quality": "QUALITY", "container": "CONTAINER"}
+
 
 def normalize_token(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9 ]", ""))
@@ -49,13 +54,13 @@ def spans(tokens: Column, first: int, end: int) -> Column:
 
 
 def composite_tokens(text: Column) -> Column:
-    """Tokens with composites kept whole: (text, bracket), the bracket being the innermost open one or null.
+    """Tokens with composites kept whole: (text, bracket, start, end), the bracket being the innermost open one or null.
 
     White space is skipped, brackets are tokens (an opening one has the bracket around it, a closing
     one the bracket it closes), any other character is a token of its own. ``S01E02v2`` and ``02v2``
-    fall into their parts.
+    fall into their parts. Places are in characters of the text.
     """
-    raw = F.regexp_extract_all(text, F.lit(r"(?s)([\[\](){}]|(?i:" + COMPOSITE + r")|\S)"), F.lit(1))
+    raw = F.regexp_extract_all(text, F.lit(r"(?s)([\[\](){}]|" + SPACE + "|(?i:" + COMPOSITE + r")|.)"), F.lit(1))
     group = lambda t, p, i: F.regexp_extract(t, p, i)
     like = lambda t, p: F.regexp_like(t, F.lit(p))
 
@@ -64,16 +69,46 @@ def composite_tokens(text: Column) -> Column:
         versioned = F.array(group(t, VERSIONED, 1), group(t, VERSIONED, 2))
         return F.when(like(t, SEASON_EPISODE), combined).when(like(t, VERSIONED), versioned).otherwise(F.array(t))
 
-    pieces = F.flatten(F.transform(raw, parts))
-    start = F.struct(F.lit("").alias("open"), F.array().cast("array<struct<text:string,bracket:string>>").alias("out"))
+    return F.filter(tokens_of_texts(F.flatten(F.transform(raw, parts))), lambda t: ~like(t["text"], "^" + SPACE + r"\z"))
+
+
+def tokens_of_texts(texts: Column) -> Column:
+    """Tokens, as of ``composite_tokens``, of texts that were cut before; places are as if they stood end to end."""
+    token = "struct<text:string,bracket:string,start:int,end:int>"
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast(f"array<{token}>").alias("out"))
 
     def step(state: Column, piece: Column) -> Column:
         inner = F.when(state["open"] != "", F.right(state["open"], F.lit(1)))
         closes = F.coalesce(F.concat(inner, piece).isin("[]", "()", "{}"), F.lit(False))
         after = F.when(piece.isin("[", "(", "{"), F.concat(state["open"], piece)).when(closes, F.left(state["open"], F.length(state["open"]) - 1)).otherwise(state["open"])
-        return F.struct(after.alias("open"), F.concat(state["out"], F.array(F.struct(piece.alias("text"), inner.alias("bracket")))).alias("out"))
+        end = state["at"] + F.length(piece)
+        placed = F.struct(piece.alias("text"), inner.alias("bracket"), state["at"].alias("start"), end.alias("end"))
+        return F.struct(after.alias("open"), end.alias("at"), F.concat(state["out"], F.array(placed)).alias("out"))
+
+    return F.aggregate(F.transform(texts, lambda t: F.coalesce(t, F.lit(""))), start, step)["out"]
 
-    return F.aggregate(pieces, start, step)["out"]
+
+def token_features(tokens: Column) -> Column:
+    """Per token (text, bracket, ..) of an array its own features, its neighbours and its place, without a shuffle.
+
+    Digits are decimal ones, letters and numbers those of any script.
+    """
+    lower = lambda t: F.lower(F.trim(t["text"]))
+    neighbour = lambda at, edge: F.when(at < 0, edge).otherwise(F.coalesce(lower(F.get(tokens, at)), F.lit(edge)))
+
+    def features(t: Column, i: Column) -> Column:
+        plain = lower(t)
+        fields = {"token": t["text"], "lower": plain, "shape": token_shape(t["text"]), "inside_brackets": t["bracket"].isNotNull(), "bracket_kind": t["bracket"]}
+        fields |= {f"is_{name}": plain.isin(*LEXICON[category].split()) for name, category in FLAGS.items()}
+        fields |= {
+            "contains_dash": F.contains(t["text"], F.lit("-")), "is_numeric": F.regexp_like(plain, F.lit(r"^\p{Nd}+\z")),
+            "is_alnum": F.regexp_like(plain, F.lit(r"^[\p{L}\p{N}]+\z")), "is_roman_numeral": is_roman_numeral(plain),
+            "prefix2": F.left(plain, F.lit(2)), "prefix4": F.left(plain, F.lit(4)), "suffix2": F.right(plain, F.lit(2)), "suffix4": F.right(plain, F.lit(4)),
+            "previous_token": neighbour(i - 1, "<BOS>"), "next_token": neighbour(i + 1, "<EOS>"), "position_bucket": position_bucket(i, F.size(tokens)),
+        }
+        return F.struct(*(value.alias(name) for name, value in fields.items()))
+
+    return F.transform(tokens, features)
 
 
 def lexicon_category(text: Column) -> Column:

@@ -84,6 +84,21 @@ def parse(df: DataFrame, column: str = "name", config: ParserConfig = ParserConf
     return sanitize.chosen(clean, "parsed", neural, config.confidence_threshold)
 
 
+def better(heuristic: Column, second: Column) -> Column:
+    """The heuristic record from a confidence of 0.8, else the second parser's if it has one that is more confident.
+
+    Both records stay as they are, without sanitising. A second record that is null or has an error doesn't count.
+    """
+    usable = second.isNotNull() & second["error"].isNull() & (second["confidence"] > heuristic["confidence"])
+    return F.when((heuristic["confidence"] < 0.8) & usable, second).otherwise(heuristic)
+
+
+def parse_best(df: DataFrame, column: str = "name", second: str | None = None) -> DataFrame:
+    """``df`` with ``parsed``, the ``better`` of the heuristic record and that of the struct column ``second``."""
+    rows = parse_heuristic(df, column)
+    return rows if second is None else rows.withColumn("parsed", better(F.col("parsed"), F.col(second)))
+
+
 def flattened(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The record's fields as columns, the episode as its display text; one row for each name."""
     fields = [extract.episode_display(F.col("parsed.episode")).alias("episode") if n == "episode" else F.col(f"parsed.{n}").alias(n) for n in RECORD]

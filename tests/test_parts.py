@@ -108,6 +108,20 @@ def test_tokens(spark):
     assert tuple(span["s"]) == (1, 12) and span["n"] is None
 
 
+def test_token_places_and_features(spark):
+    name = "(Ab\u3000 S01E02v3\t[x265) é ]"
+    rows = spark.createDataFrame([(name, ["[", "", None, "]"], []), (None, None, None)], "name string, texts array<string>, none array<string>")
+    found = rows.select(tokens.composite_tokens(F.col("name")).alias("c"), tokens.tokens_of_texts(F.col("texts")).alias("t"), tokens.token_features(tokens.tokens_of_texts(F.col("none"))).alias("n")).collect()
+    assert [name[t["start"] : t["end"]] for t in found[0]["c"]] == [t["text"] for t in found[0]["c"]] == ["(", "Ab", "S01", "E02", "v3", "[", "x265", ")", "é", "]"]
+    assert [t["bracket"] for t in found[0]["c"]] == [None, "(", "(", "(", "(", "(", "[", "[", "[", "["]
+    assert [(t["text"], t["bracket"]) for t in found[0]["t"]] == [("[", None), ("", "["), ("", "["), ("]", "[")]
+    assert found[0]["n"] == [] and found[1]["c"] is None and found[1]["t"] is None and found[1]["n"] is None
+    features = rows.where("name IS NOT NULL").select(F.inline(tokens.token_features(tokens.composite_tokens(F.col("name"))))).collect()
+    assert [f["token"] for f in features if f["is_codec"]] == ["x265"] and features[8]["is_alnum"] and not features[9]["is_alnum"]
+    assert (features[0]["previous_token"], features[0]["next_token"], features[9]["next_token"]) == ("<BOS>", "ab", "<EOS>")
+    assert [f["position_bucket"] for f in features] == ["start"] * 2 + ["middle"] * 6 + ["end"] * 2
+
+
 def test_viterbi_and_tags(spark):
     assert sequence.best_path(np.array([[0.0, 0.0, 0.0]] * 2), np.zeros((3, 3))) == [0, 0]
     assert sequence.best_path(np.array([[0.0, 0.0, 0.0]] * 2), np.zeros((3, 3)), last_wins=True) == [0, 2]
