@@ -14,9 +14,11 @@ ORACLES: dict = {}
 
 
 def _query(name: str, sql: str | None = None):
-    """Register a query under a name, with its SQL."""
+    """Register a query under a name that no other has, with its SQL."""
 
     def register(f):
+        if name in QUERIES:
+            raise ValueError(f"two queries are named {name}")
         QUERIES[name] = f
         if sql is not None:
             ORACLES[name] = sql

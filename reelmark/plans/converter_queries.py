@@ -50,8 +50,8 @@ def _featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", (F.col("i") + 1).cast("long").alias("i"), "token", C.token_features(F.col("token"), F.col("previous"), F.col("following")).alias("f"))
 
 
-@_query("token_features", f"{_PIECES}\nSELECT * FROM features")
-def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query("tagger_features", f"{_PIECES}\nSELECT * FROM features")
+def tagger_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _featured(spark, sf_dir).select("p_partkey", "i", "token", "f.*")
 
 

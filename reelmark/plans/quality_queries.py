@@ -319,7 +319,7 @@ def composite_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Texts of tokens, cut at spaces, with brackets that close in the wrong order.
-_CUT = "concat('[ ', p_brand, ' ] ', p_name, ' ( S01E02 ', p_container, ' XIV ) - x265 { web-dl ( AAC } ) 12-24 Dual-Audio raw .mkv MKV 07 1080p ', p_size)"
+_CUT = "concat('[ ', p_brand, ' ] ', p_name, ' ( S01E02 ', p_type, ' XIV ) - x265 { web-dl ( AAC } ) 12-24 Dual-Audio raw .mkv MKV 07 1080p ', p_size)"
 _IN = lambda category: f"lower(token) IN ({', '.join(map(_Q, tokens.LEXICON[category].split()))})"
 _FLAGS = ", ".join(f"{_IN(category)} AS is_{name}" for name, category in tokens.FLAGS.items())
 

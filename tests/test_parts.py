@@ -12,6 +12,7 @@ from reelmark.functions import patterns as P
 from reelmark.functions import sanitize, scoring, titles, tokens
 from reelmark.operators import datasets, matching, records, sequence
 from reelmark.operators.parse import parse_heuristic
+from reelmark.plans import catalogue
 from reelmark.sources import dump, files
 from tests.helpers import SMALL
 import __spark_entry__ as entry
@@ -195,3 +196,10 @@ def test_stream_rows_stay_off_the_driver(spark):
     """The stream's rows are read from files that it wrote, not from a table in the driver's memory."""
     found = entry.queries()["stream_parse_dedupe"](spark, SMALL)
     assert found.inputFiles() and found.count()
+
+
+def test_no_query_hides_another():
+    """Each decorated query is registered: a second one of a name is refused."""
+    assert {"token_features", "tagger_features"} <= set(catalogue.QUERIES)
+    with pytest.raises(ValueError, match="two queries"):
+        catalogue._query("token_features")(lambda spark, folder: None)
