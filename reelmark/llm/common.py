@@ -49,10 +49,13 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing will read again."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.remove(table._scratch_path)
+
+    def remove(self, folder: str) -> None:
+        """Delete a folder that nothing will read again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
