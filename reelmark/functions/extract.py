@@ -88,7 +88,7 @@ def version(text: Column, episode: Column) -> Column:
     return F.when(F.coalesce(episode["kind"], F.lit("")) != "Version", found)
 
 
-def _let(value: Column, use) -> Column:
+def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -142,7 +142,7 @@ def _episode(kind: str, number: Column, end: Column | None = None, version_: Col
 def versioned_episode(text: Column, year_: Column) -> Column:
     """The first ``12v2`` whose number can be an episode, or null."""
     valid = F.filter(matches(text, P.EPISODE_VERSION, 2), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_))
-    return _let(F.get(valid, F.lit(0)), lambda m: F.when(m.isNotNull(), _episode("Version", m["g1"], version_=m["g2"])))
+    return let(F.get(valid, F.lit(0)), lambda m: F.when(m.isNotNull(), _episode("Version", m["g1"], version_=m["g2"])))
 
 
 def episode_range(text: Column) -> Column:
@@ -153,19 +153,19 @@ def episode_range(text: Column) -> Column:
         return (start < m["g2"].cast("int")) & ~start.isin(*P.RESOLUTION_NUMBERS) & ~_ends_with_word(text, m["at"], "part", "season")
 
     found = F.get(F.filter(matches(text, P.EPISODE_RANGE, 2), valid), F.lit(0))
-    return _let(found, lambda m: F.when(m.isNotNull(), _episode("Range", m["g1"], end=m["g2"])))
+    return let(found, lambda m: F.when(m.isNotNull(), _episode("Range", m["g1"], end=m["g2"])))
 
 
 def explicit_episode(text: Column, year_: Column) -> Column:
     """The first marked number (``Ep 5``), if it can be an episode."""
     number = _first(text, P.EXPLICIT_EPISODE).cast("int")
-    return _let(number, lambda n: F.when(n.isNotNull() & ~_not_an_episode(n, year_), _episode("Single", n)))
+    return let(number, lambda n: F.when(n.isNotNull() & ~_not_an_episode(n, year_), _episode("Single", n)))
 
 
 def dash_episode(text: Column, year_: Column) -> Column:
     """The last number behind a dash that is neither a year or resolution nor a volume."""
     valid = F.filter(matches(text, P.DASH_EPISODE), lambda m: ~_not_an_episode(m["g1"].cast("int"), year_) & ~_ends_with_word(text, m["at"], "vol.", "vol"))
-    return _let(F.try_element_at(valid, F.lit(-1)), lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
+    return let(F.try_element_at(valid, F.lit(-1)), lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
 
 
 def bare_episode(text: Column, year_: Column) -> Column:
@@ -176,12 +176,12 @@ def bare_episode(text: Column, year_: Column) -> Column:
         return _bare_valid(text, m, year_) & ~volume
 
     found = F.get(F.filter(matches(text, P.EPISODE), valid), F.lit(0))
-    return _let(found, lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
+    return let(found, lambda m: F.when(m.isNotNull(), _episode("Single", m["g1"])))
 
 
 def episode(text: Column, year_: Column) -> Column:
     """The episode of a name: ``S01E02``, versioned, range, marked, dashed, bare; the first kind that is there."""
-    combined = _let(_first(text, P.SEASON_EPISODE, 2), lambda n: F.when(n.isNotNull(), _episode("Single", n)))
+    combined = let(_first(text, P.SEASON_EPISODE, 2), lambda n: F.when(n.isNotNull(), _episode("Single", n)))
     return F.coalesce(
         combined, versioned_episode(text, year_), episode_range(text), explicit_episode(text, year_),
         dash_episode(text, year_), bare_episode(text, year_),
@@ -209,7 +209,7 @@ def title_cut_at_episode(work: Column, year_: Column) -> Column:
     bare = F.filter(matches(work, P.EPISODE), lambda m: _bare_valid(work, m, year_))
     last_dashed, first_bare = F.try_element_at(dashed, F.lit(-1))["at"], F.get(bare, F.lit(0))["at"]
     return F.when(F.regexp_like(work, F.lit(P.java(P.EXPLICIT_EPISODE))), marked).otherwise(
-        _let(F.coalesce(last_dashed, first_bare), lambda at: F.when(at.isNotNull(), _with_sentinel_at(work, at)).otherwise(work))
+        let(F.coalesce(last_dashed, first_bare), lambda at: F.when(at.isNotNull(), _with_sentinel_at(work, at)).otherwise(work))
     )
 
 

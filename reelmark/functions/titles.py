@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from reelmark.functions.extract import let
 from reelmark.functions.sanitize import ascii_lower
 
 # Weights of the similarity's parts.
@@ -25,9 +26,8 @@ def normalize_title(text: Column) -> Column:
 def token_overlap(a: Column, b: Column) -> Column:
     """Dice coefficient of the distinct words; zero if either has none."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
-    left, right = words(a), words(b)
-    total = F.size(left) + F.size(right)
-    return F.when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(left, right)) / total)
+    share = lambda x, y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y)))
+    return let(words(a), lambda x: let(words(b), lambda y: share(x, y)))
 
 
 def length_ratio(a: Column, b: Column) -> Column:
@@ -73,15 +73,20 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def similarity(query: Column, candidate: Column, winkler: Column) -> Column:
     """Similarity of two normalised titles, from 0 to 1; ``winkler`` is their Jaro-Winkler similarity."""
-    overlap = token_overlap(query, candidate)
     contains = F.contains(query, candidate) | F.contains(candidate, query)
     starts = F.startswith(query, candidate) | F.startswith(candidate, query)
-    score = (
-        winkler * WEIGHTS["jaro_winkler"] + overlap * WEIGHTS["tokens"] + F.when(contains, WEIGHTS["contains"]).otherwise(0.0)
-        + length_ratio(query, candidate) * WEIGHTS["length"] + F.when(starts, WEIGHTS["prefix"]).otherwise(0.0)
-    )
-    score = F.when((overlap == 0) & ~contains & (winkler < RELATED_FROM), score * UNRELATED_FACTOR).otherwise(score)
-    return F.when(query == candidate, 1.0).when((query == "") | (candidate == ""), 0.0).otherwise(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)))
+
+    def score(overlap: Column, w: Column) -> Column:
+        whole = (
+            w * WEIGHTS["jaro_winkler"] + overlap * WEIGHTS["tokens"] + F.when(contains, WEIGHTS["contains"]).otherwise(0.0)
+            + length_ratio(query, candidate) * WEIGHTS["length"] + F.when(starts, WEIGHTS["prefix"]).otherwise(0.0)
+        )
+        whole = whole * F.when((overlap == 0) & ~contains & (w < RELATED_FROM), UNRELATED_FACTOR).otherwise(1.0)
+        return F.least(F.greatest(whole, F.lit(0.0)), F.lit(1.0))
+
+    # Both are bound once, as they stand in the score several times.
+    bound = let(token_overlap(query, candidate), lambda overlap: let(winkler, lambda w: score(overlap, w)))
+    return F.when(query == candidate, 1.0).when((query == "") | (candidate == ""), 0.0).otherwise(bound)
 
 
 def validator_match(extracted: Column, titles: Column) -> Column:

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmark.functions import titles as T
-
-#: Most alias rows that one block broadcasts; a title catalogue is compared block by block.
-ALIASES_AT_ONCE = 200_000
+from reelmark.operators import title_index
 
 
 def catalogue(entries: DataFrame) -> DataFrame:
@@ -34,26 +32,13 @@ def aliases(entries: DataFrame) -> DataFrame:
 def search_titles(queries: DataFrame, entries: DataFrame, limit: int = 5, column: str = "title") -> DataFrame:
     """The ``limit`` best entries for each distinct query: query, rank, entry_id, canonical_title, matched_title, score.
 
-    Every query is scored against every alias, block by block of the catalogue: an alias block is
-    broadcast, as its size is bounded, and each block keeps its best entries before the blocks meet.
-    An entry counts with its best alias (ties: the first); entries without any similarity are left
+    Candidates come from an inverted index (``title_index``), which leaves out only aliases that can't
+    be among the best. An entry counts with its best alias (ties: the first); entries without any similarity are left
     out; equal scores go by canonical title and id. Queries that normalise to nothing find nothing.
     """
-    limit = max(limit, 1)
     asked = queries.select(F.col(column).alias("query")).distinct().withColumn("normal", T.normalize_title(F.col("query"))).where("normal != ''")
-    names = aliases(entries)
-    blocks = max(1, -(-names.count() // ALIASES_AT_ONCE))
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "canonical_title", "entry_id")
-    best = None
-    for block in range(blocks):
-        some = names.where(F.pmod(F.xxhash64("entry_id"), F.lit(blocks)) == block)
-        pairs = asked.crossJoin(F.broadcast(some))
-        pairs = pairs.withColumn("winkler", T.jaro_winkler("normal", "key")).withColumn("score", T.similarity(F.col("normal"), F.col("key"), F.col("winkler")))
-        entry = pairs.where("score > 0").groupBy("query", "entry_id", "canonical_title").agg(F.max(F.struct("score", (-F.col("position")).alias("place"), "alias")).alias("top"))
-        found = entry.select("query", "entry_id", "canonical_title", F.col("top.alias").alias("matched_title"), F.col("top.score").alias("score"))
-        found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-        best = found if best is None else best.unionByName(found)
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    found = title_index.search(asked, aliases(entries), max(limit, 1))
+    return found.select("query", "rank", "entry_id", "canonical_title", "matched_title", "score")
 
 
 def match_title(queries: DataFrame, entries: DataFrame, column: str = "title") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from reelmark.functions import extract
 from reelmark.functions import tokens as token_functions
 from reelmark.operators import datasets, evaluate, records, sequence
 from reelmark.operators.parse import parse_heuristic, spread
+from reelmark.operators.shared import new_folder
 from reelmark.plans import names as N
 from reelmark.plans.catalogue import _query
 from reelmark.plans.quality_queries import _DICE, _PAIR, _TOKENS, _WORDS, _pairs, _tokens
@@ -367,18 +366,12 @@ def stream_parse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = first_seen(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_NAME).alias("name")), "name", "ts", "100000 days")
     records = parse_stream(rows).select("parsed.title", "parsed.group", "parsed.episode.episode")
-    folder = f"{_shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    folder = new_folder(spark, "stream")
     query = records.writeStream.format("parquet").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start(folder + "/rows")
     query.awaitTermination()
     return spark.read.schema(records.schema).parquet(folder + "/rows")
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, by the rule of the corpus operators, which can be removed."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return named.rstrip("/") if named else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_reelmark"
-
-
 @_query("dice_histogram", f"{_PAIR}, d AS (SELECT {_DICE} AS dice FROM pair) SELECT round(floor(dice * 10) / 10, 1) AS bucket, count(*) AS n FROM d GROUP BY 1")
 def dice_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     dice = titles.token_overlap(F.col("a"), F.col("b"))
