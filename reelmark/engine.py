@@ -10,9 +10,10 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.functions import scoring, titles, tokens
+from reelmark.functions import scoring, tokens
 from reelmark.operators import matching
 from reelmark.operators.parse import ParserConfig, flattened, parse, parse_best, parse_heuristic
+from reelmark.sql import register  # noqa: F401  (a part of the front)
 
 
 class Engine:
@@ -66,16 +67,6 @@ def ship(spark: SparkSession) -> str:
     return target
 
 
-def register(spark: SparkSession) -> None:
-    """Temporary views and functions for SQL: quality_dim, and jaro_winkler(a, b)."""
-    from reelmark.functions import patterns as P
-
-    kinds = {"resolution": P.RESOLUTIONS, "video_codec": P.VIDEO_CODECS, "audio_codec": P.AUDIO_CODECS, "source": P.SOURCES}
-    rows = [(kind, name, score, label) for kind, values in kinds.items() for name, (score, label) in values.items()]
-    spark.createDataFrame(rows, "kind string, name string, score double, label string").createOrReplaceTempView("quality_dim")
-    spark.udf.register("jaro_winkler", titles.jaro_winkler)
-
-
 def tokens_of(names: DataFrame, column: str = "name") -> DataFrame:
     """One row per token of each name."""
     return names.select(column, F.inline(tokens.tokenize(F.col(column))))

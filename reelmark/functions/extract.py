@@ -101,7 +101,7 @@ def matches(text: Column, pattern: str, groups: int = 1) -> Column:
     wrapped = P.java("(?s)(.*?)(" + pattern.replace("(?i)", "(?i:", 1) + ")" * pattern.startswith("(?i)") + ")")
     part = lambda i: F.regexp_extract_all(text, F.lit(wrapped), F.lit(i))
     names = ["full", *(f"g{i + 1}" for i in range(groups))]
-    zipped = F.arrays_zip(part(1).alias("gap"), *(part(i + 2).alias(n) for i, n in enumerate(names)))
+    zipped = F.arrays_zip(*(part(i + 1) for i in range(len(names) + 1))).cast("array<struct<" + ",".join(f"{n}:string" for n in ["gap", *names]) + ">>")
     none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ",at:int>>")
 
     # A match is preceded by all earlier gaps and matches and by its own gap.
