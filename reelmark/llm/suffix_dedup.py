@@ -9,7 +9,7 @@ extended backward by ranks in the transform, breadth first, so that common prefi
 order, and the expansion stops at the minimum length. What no interval's end has parted by then has a
 common prefix of LEAST bytes.
 
-Anchors with very many segments are dealt in slices: the starts of a slice have all but SLICE - 1
+Anchors with very many different segments are dealt in slices: the starts of a slice have all but SLICE - 1
 bytes in common, and the hash of that core is part of the key, so that no task gets a hot anchor whole.
 Equal slices collapse in turn, so that a task gets each string of a key once, however many texts hold it.
 """
@@ -33,6 +33,7 @@ MOST_SEGMENTS = 1000
 SLICE = 4
 #: Bytes of text whose hashes are taken at once, and whose transform is built at once.
 CHUNK = 1 << 18
+SEGMENTS_AT_ONCE = 400_000
 TRANSFORM = 1 << 20
 SEPARATOR = 0xFF  # occurs in no UTF-8 text
 
@@ -73,33 +74,59 @@ def segments(data: bytes, least: int = LEAST) -> Iterator[tuple[np.ndarray, np.n
         yield grams[anchor[first]], content, first + at, count
 
 
-ANCHORS = "h long, sh long, doc_id long, row long, at long"
+ANCHORS = "h long, sh long, doc_id long, row long, at long, copy boolean"
 
 
 def _anchors(docs: DataFrame, least: int) -> DataFrame:
-    """(h, sh, doc_id, row, at) of all segments; ``at`` is first start * 256 + number of starts."""
+    """(h, sh, doc_id, row, at, copy) of the segments; ``at`` is first start * 256 + number of starts.
+
+    Up to SEGMENTS_AT_ONCE segments are compared before they leave their task: of equal ones, all but
+    the first are marked as copies, which need no more comparing, and of one that is there twice
+    (rows that repeat a document) one goes on. So a passage that very many texts hold sends one
+    row for as many segments, and no key gets its rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
         for rows in batches:
-            held: list[tuple] = []
-            size = 0
             for doc_id, row, text in zip(rows.id, rows.row, rows.text):
                 for h, sh, first, count in segments(text.encode("utf-8", "surrogatepass"), least):
                     held.append((h, sh, np.full(len(h), doc_id, np.int64), np.full(len(h), row, np.int64), first * 256 + count))
                     size += len(h)
-                if size > 100_000:
-                    yield _frame(held)
+                if size > SEGMENTS_AT_ONCE:
+                    yield from _frames(held)
                     held, size = [], 0
-            if held:
-                yield _frame(held)
+        if held:
+            yield from _frames(held)
 
-    def _frame(held: list[tuple]) -> pd.DataFrame:
+    def _frames(held: list[tuple]) -> Iterator[pd.DataFrame]:
         h, sh, doc, row, at = (np.concatenate(x) for x in zip(*held))
-        return pd.DataFrame({"h": h.view(np.int64), "sh": sh.view(np.int64), "doc_id": doc, "row": row, "at": at})
+        copy, twin = marked_copies(h, sh, doc, row, at)
+        whole = pd.DataFrame({"h": h.view(np.int64), "sh": sh.view(np.int64), "doc_id": doc, "row": row, "at": at, "copy": copy})[~twin]
+        for start in range(0, len(whole), 100_000):
+            yield whole.iloc[start : start + 100_000]
 
     return docs.mapInPandas(run, ANCHORS)
 
 
+def marked_copies(h: np.ndarray, sh: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments equal one of these that comes before them by document, row and place; which are another's twin in all of that."""
+    copy, twin = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    key = mix64(h * MIX_C + sh)
+    by = np.argsort(key)
+    alike = key[by[1:]] == key[by[:-1]]
+    several = np.zeros(len(h), bool)
+    several[by[1:][alike]] = several[by[:-1][alike]] = True
+    of = np.flatnonzero(several)
+    of = of[np.lexsort((at[of], row[of], doc[of], sh[of], h[of]))]
+    before, after = of[:-1], of[1:]
+    equal = (h[after] == h[before]) & (sh[after] == sh[before])
+    copy[after[equal]] = True
+    twin[after[equal & (doc[after] == doc[before]) & (row[after] == row[before]) & (at[after] == at[before])]] = True
+    return copy, twin
+
+
 def suffix_order(data: np.ndarray, least: int) -> np.ndarray:
     """Starts of the suffixes, ordered by at least ``least`` bytes, which is all that the expansion looks at."""
     n = len(data)
@@ -267,19 +294,21 @@ def repeated_ranges(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, row, begin, finish) of bytes to remove from documents (id, row, text); ranges may overlap."""
     scratch = Scratch(docs.sparkSession, "suffix")
     anchors = _anchors(docs, least)
-    of_anchor = Window.partitionBy("h")
+    # Copies stay out of their anchor's group, each by itself.
+    anchors = anchors.withColumn("salt", F.when(F.col("copy"), F.xxhash64("doc_id", "row", "at")).otherwise(F.lit(0)))
+    of_anchor = Window.partitionBy("h", "salt")
     ordered = of_anchor.orderBy("sh", "doc_id", "row", "at")
     marked = anchors.select(
         "*",
         (F.min("sh").over(of_anchor) < F.max("sh").over(of_anchor)).alias("several"),
-        F.coalesce(F.lag("sh").over(ordered) == F.col("sh"), F.lit(False)).alias("seen"),
+        F.coalesce(F.lag("sh").over(ordered) == F.col("sh"), F.lit(False)).alias("follows"),
         F.lag("doc_id").over(ordered).alias("doc_before"),
         F.lag("row").over(ordered).alias("row_before"),
         F.lag("at").over(ordered).alias("at_before"),
         F.count("*").over(of_anchor).alias("n"),
-    ).where("seen OR several")
-    marked = scratch.write(marked)
-    same = (F.col("doc_before") == F.col("doc_id")) & (F.col("row_before") == F.col("row")) & (F.col("at_before") == F.col("at"))
+    ).withColumn("seen", F.col("copy") | F.col("follows")).where("seen OR several")
+    marked = scratch.write(marked.drop("salt", "follows"))
+    same = ~F.col("copy") & (F.col("doc_before") == F.col("doc_id")) & (F.col("row_before") == F.col("row")) & (F.col("at_before") == F.col("at"))
     first, count = F.shiftright("at", 8), F.col("at").bitwiseAND(255)
     copies = marked.where(F.col("seen") & ~same).select("doc_id", "row", first.alias("begin"), (first + count + least - 1).alias("finish"))
     want = F.struct("h", "at", (F.col("n") > MOST_SEGMENTS).alias("hot"))
