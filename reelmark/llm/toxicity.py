@@ -175,9 +175,18 @@ class Model:
         self.weights, self.orders, self.bits = weights, orders, bits
         self.among = weights[:-1] != 0
 
+    def _margins(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Margins, and how many weighed n-grams each text holds."""
+        held = [ngram_buckets(text or "", self.orders, self.bits, self.among) for text in texts]
+        return np.array([self.weights[h].sum() + self.weights[-1] for h in held], float), np.array([len(h) for h in held], int)
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        margins = [self.weights[ngram_buckets(text or "", self.orders, self.bits, self.among)].sum() + self.weights[-1] for text in texts]
-        return 1 / (1 + np.exp(-np.clip(np.array(margins, float), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self._margins(texts)[0], -30, 30)))
+
+    def rejects(self, texts: list[str | None], threshold: float) -> np.ndarray:
+        """Which texts score ``threshold`` or more by n-grams of their own."""
+        margins, held = self._margins(texts)
+        return (1 / (1 + np.exp(-np.clip(margins, -30, 30))) >= threshold) & (held > 0)
 
 
 def score(docs: DataFrame, weights: np.ndarray, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
@@ -194,13 +203,22 @@ def score(docs: DataFrame, weights: np.ndarray, orders=ORDERS, bits: int = BUCKE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold: float = 0.5, orders=ORDERS, bits: int = BUCKET_BITS) -> DataFrame:
-    """The documents that score below ``threshold``, in their own columns; each row by its own text."""
-    sent = spark.sparkContext.broadcast(train_model(spark, docs, labels, orders, bits))
+    """The documents that aren't found toxic, in their own columns; each row by its own text.
+
+    A document is rejected for what its text says: if it holds an n-gram that the classifier weighs and
+    scores ``threshold`` or more. A text without any such n-gram (null, empty, or of unknown words)
+    stays, and so do all documents where nothing could be learned: without labels, with labels of
+    one class only, or where no n-gram tells the classes apart.
+    """
+    weights = train_model(spark, docs, labels, orders, bits)
+    if not weights[:-1].any():
+        return docs
+    sent = spark.sparkContext.broadcast(weights)  # of fixed size: 2 ** bits + 1 doubles
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, orders, bits)
         for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column("text").to_pylist()) < threshold))
+            yield batch.filter(pa.array(~model.rejects(batch.column("text").to_pylist(), threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 
