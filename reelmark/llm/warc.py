@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import Scratch, shuffles_dropped, table
+from reelmark.llm.common import Scratch, partitions_for, shuffles_dropped, table
 
 #: Payloads of fewer bytes are always stored, since a revisit record would be no shorter.
 LEAST_BYTES = 100
@@ -35,7 +35,9 @@ SALTS = 32
 #: Bytes inflated, hashed or copied at once.
 CHUNK = 1 << 20
 #: Bytes of an archive that one row of dealing stands for, and index rows of one batch.
-SLICE, INDEX_ROWS = 8 << 20, 4096
+SLICE, INDEX_ROWS = 1 << 20, 4096
+#: Bytes of archives that a task reads, about.
+TASK_BYTES = 64 << 20
 # Lines of the format.
 VERSION, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -255,11 +257,11 @@ def read_record(member: bytes, payloads: bool) -> dict:
     return found | {"payload_bytes": size, "payload_digest": digest.hexdigest(), "payload": b"".join(kept) if payloads else None}
 
 
-def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
+def read_records(index: DataFrame, payloads: bool = False, tasks: int | None = None) -> DataFrame:
     """The records at the index's places: archive, offset, type, id, uri, refers_to, payload_bytes, payload_digest, payload.
 
-    Index rows are dealt by stretches of archives, so that a large one is read by many tasks. A
-    revisit has the size and digest of the payload that it stands for. ``payload`` is null unless
+    Index rows are dealt by stretches of archives, so that a large one is read by many tasks, ``tasks``
+    of them if given: index rows are small, and Spark would put very many into one. A revisit has the size and digest of the payload that it stands for. ``payload`` is null unless
     asked for. A payload that doesn't fit its stated digest is an error.
     """
     schema = pa.schema([("archive", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("id", pa.string()), ("uri", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -284,7 +286,8 @@ def read_records(index: DataFrame, payloads: bool = False) -> DataFrame:
         if source is not None:
             source.close()
 
-    dealt = index.select("archive", "offset", "length").withColumn("slice", F.floor(F.col("offset") / SLICE)).repartition("archive", "slice").sortWithinPartitions("archive", "offset")
+    by = ([tasks] if tasks else []) + ["archive", "slice"]
+    dealt = index.select("archive", "offset", "length").withColumn("slice", F.floor(F.col("offset") / SLICE)).repartition(*by).sortWithinPartitions("archive", "offset")
     return dealt.drop("slice").mapInArrow(run, RECORDS)
 
 
@@ -303,10 +306,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_monolithic(table(spark, sf_dir, "pages"), f"{scratch.root}/monolithic")
     manifest = normalise(spark, f"{scratch.root}/monolithic", f"{scratch.root}/archives")
     scratch.remove(f"{scratch.root}/monolithic")
-    broken = manifest.where("error IS NOT NULL").first()
-    if broken:
-        raise OSError(f"{broken['source']}: {broken['error']}")
-    found = read_records(read_index(manifest))
+    size, error = manifest.agg(F.sum("n_bytes"), F.max("error")).first()
+    if error:
+        raise OSError(error)
+    found = read_records(read_index(manifest), tasks=partitions_for(spark, size or 0, TASK_BYTES))
     return found.select(page_of("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), page_of("refers_to").alias("refers_to"))
 
 
