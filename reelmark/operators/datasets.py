@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelmark.functions import extract, tokens
@@ -131,8 +131,8 @@ def filename_of() -> Column:
     return reduce(lambda c_, i: c_.when(F.col("template") == i, join(styles[i])), range(1, len(styles)), F.when(F.col("template") == 0, join(styles[0])))
 
 
-def augmented(rows: DataFrame, column: str = "filename") -> DataFrame:
-    """Noisy views of each name: (augmentation, text).
+def augmented(rows: DataFrame, column: str = "filename", most: int | None = None) -> DataFrame:
+    """Noisy views of each name, the first ``most`` of those made or all: (augmentation, text).
 
     Each digit with lookalikes replaced where it first occurs (a view each), an inner dotted segment
     masked, a noise tag before ``.mkv``, lower case, wide spaces. Which views a name gets, and what is
@@ -151,7 +151,42 @@ def augmented(rows: DataFrame, column: str = "filename") -> DataFrame:
     views.append(("noise", F.lit(True), F.replace(text, F.lit(".mkv"), F.concat(F.lit(" "), F.get(F.array(*map(F.lit, NOISE_TAGS)), _pick(text, "tag", len(NOISE_TAGS))), F.lit(".mkv")))))
     views += [("lower", F.lit(True), F.lower(text)), ("spaces", F.lit(True), F.replace(text, F.lit(" "), F.lit("  ")))]
     pairs = F.array(*(F.struct((made[name] & fits).alias("made"), F.lit(name).alias("augmentation"), view.alias("text")) for name, fits, view in views))
-    return rows.select("*", F.inline(F.filter(pairs, lambda p: p["made"]))).drop("made")
+    made_pairs = F.filter(pairs, lambda p: p["made"])
+    return rows.select("*", F.inline(made_pairs if most is None else F.slice(made_pairs, 1, most))).drop("made")
+
+
+#: Kinds of entities that a synthetic name's character tags have.
+TAGGED = ("TITLE", "GROUP", "EPISODE", "RESOLUTION", "VCODEC", "EXTENSION")
+
+
+def rad_dataset(titles: DataFrame, key: str, title: str, samples: int = 3, most: int = 2) -> DataFrame:
+    """The training set of synthetic names: filename, char_tags, augmentation, and the name's parts.
+
+    Each name is there once, with at most ``most`` of its noisy views, which are tagged from the same
+    parts. A text that is a name, or another view's, occurs once: names come before views, then
+    the smaller key, sample and view.
+    """
+    names = synthetic_names(titles, key, title, samples)
+    plain = names.withColumns({"augmentation": F.lit("none"), "text": F.col("filename")})
+    rows = plain.unionByName(augmented(names, "filename", most))
+    parts = [c for c in names.columns if c != "filename"]
+    first = F.min(F.struct((F.col("augmentation") != "none").alias("view"), "key", "sample", "augmentation", "filename", *(c for c in parts if c not in ("key", "sample"))))
+    once = rows.groupBy("text").agg(first.alias("r")).select(F.col("text").alias("filename"), F.col("r.augmentation").alias("augmentation"), *(F.col(f"r.{c}").alias(c) for c in parts))
+    known = {"group": F.col("group"), "title": F.col("title"), "episode": F.lpad(F.col("episode").cast("string"), 2, "0"), "resolution": F.col("resolution"), "video_codec": F.col("video_codec"), "extension": F.col("extension")}
+    return once.withColumn("char_tags", char_tags(F.col("filename"), marked_spans(F.col("filename"), known)))
+
+
+def write_observed(rows: DataFrame, folder: str) -> list[tuple[str, int]]:
+    """Write a training set as JSON lines, and its statistics from the same pass: (metric, value).
+
+    Metrics: written, augmented, titles (that is, distinct ones, estimated within 1 %), and for each kind of
+    entity the names that have it. They are observed as the rows are written; the rows are read once.
+    """
+    seen = Observation("training set")
+    begins = {kind: F.count_if(F.array_contains("char_tags", f"B-{kind}")).alias(f"with {kind}") for kind in TAGGED}
+    watched = rows.observe(seen, F.count("*").alias("written"), F.count_if(F.col("augmentation") != "none").alias("augmented"), F.approx_count_distinct("title", 0.01).alias("titles"), *begins.values())
+    watched.write.json(folder)
+    return sorted(seen.get.items())
 
 
 def marked_spans(text: Column, parts: dict[str, Column]) -> Column:

@@ -164,6 +164,25 @@ def rad_augment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.augmented(_synthetic(spark, sf_dir).select("filename"))
 
 
+def _ranked_views_sql() -> str:
+    """The views with their places among the views of their name, in the order in which they are made."""
+    views = _views_sql().split("\nUNION ALL ")
+    numbered = "\nUNION ALL ".join(v.replace("SELECT filename,", f"SELECT {at} AS view, filename,", 1) for at, v in enumerate(views))
+    return f"SELECT *, row_number() OVER (PARTITION BY filename ORDER BY view) AS place FROM ({numbered})"
+
+
+@_query(
+    "rad_report",
+    f"""WITH names AS ({_SYNTHETIC}), ranked AS ({_ranked_views_sql()}), texts AS (SELECT filename AS text, 'none' AS augmentation FROM names UNION ALL SELECT text, augmentation FROM ranked WHERE place <= 2)
+SELECT 'written' AS metric, count(DISTINCT text) AS n FROM texts UNION ALL SELECT 'augmented', count(DISTINCT text) - (SELECT count(*) FROM names) FROM texts""",
+)
+def rad_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was written of the synthetic training set, observed while it was written."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.concat("p_name", F.lit(': "'), "p_type", F.lit('"!')).alias("raw"))
+    metrics = datasets.write_observed(datasets.rad_dataset(part, "p_partkey", "raw"), new_folder(spark, "rad") + "/rows")
+    return spark.createDataFrame([(k, int(v)) for k, v in metrics if k in ("written", "augmented")], "metric string, n long")
+
+
 def _span_sql(entity: str, text: str, skip: int = 0, drop: int = 0) -> str:
     return f"CASE WHEN strpos(filename, {text}) > 0 THEN {{'entity': '{entity}', 'first': strpos(filename, {text}) - 1 + {skip}, 'size': length({text}) - {skip + drop}}} END"
 
