@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from reelmark.functions import extract
 from reelmark.functions import tokens as token_functions
+from reelmark.functions.sanitize import pinned
+from reelmark.operators import char_entities as characters
 from reelmark.operators import datasets, evaluate, records, sequence
 from reelmark.operators.parse import parse_heuristic, spread
 from reelmark.operators.shared import new_folder
@@ -209,6 +211,27 @@ def char_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part.withColumn("spans", spans).select("p_partkey", F.array_join(datasets.char_tags(F.col("filename"), F.col("spans")), " ").alias("char_tags"))
 
 
+_ENTITY_VALUE = """CASE WHEN kind IN ('TITLE', 'GROUP') THEN trim(regexp_replace(translate(trim(trim(raw), '[](){} -_.'), '_.', '  '), ' +', ' ', 'g')) WHEN kind = 'EXTENSION' THEN trim(ltrim(trim(trim(raw), '[](){} '), '.')) ELSE trim(trim(raw), '[](){} -_.') END"""
+
+
+@_query(
+    "char_entities",
+    f"""{_CHAR_TAGS.replace("SELECT p_partkey, array_to_string(", ", listed AS (SELECT p_partkey, filename, array_to_string(")}),
+places AS (SELECT p_partkey, filename, spot, string_split(char_tags, ' ')[spot] AS tag, coalesce(string_split(char_tags, ' ')[spot - 1], 'O') AS before FROM listed, unnest(range(1, length(filename) + 1)) t(spot) WHERE spot <= 254),
+islands AS (SELECT *, sum(CASE WHEN tag LIKE 'I-%' AND before IN (tag, concat('B-', substr(tag, 3))) THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY spot) AS island FROM places),
+found AS (SELECT p_partkey, min(spot) AS spot, any_value(substr(tag, 3)) AS kind, substr(any_value(filename), min(spot), count(*)) AS raw FROM islands WHERE tag <> 'O' GROUP BY p_partkey, island),
+named2 AS (SELECT p_partkey, spot, kind, {_ENTITY_VALUE} AS value FROM found)
+SELECT p_partkey, string_agg(concat(kind, '=', value), '|' ORDER BY spot) AS entities FROM named2 WHERE value <> '' GROUP BY p_partkey""".replace("found AS (SELECT p_partkey, min(spot)", "spelt AS (SELECT p_partkey, min(spot)").replace("AS value FROM found)", "AS value FROM spelt)").replace("AS char_tags FROM tagged)", "AS char_tags FROM tagged)"),
+)
+def char_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities read back from the character tags of the parts' names."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", "p_name", "p_size", F.expr(N.PART_NAME).alias("filename"))
+    known = {"group": F.replace("p_brand", F.lit("#"), F.lit("")), "title": F.col("p_name"), "episode": F.col("p_size").cast("string"), "resolution": F.lit("1080p"), "video_codec": F.lit("Xvid"), "extension": F.lit("mkv")}
+    tagged = spread(part).withColumn("spans", datasets.marked_spans(F.col("filename"), known)).withColumn("tags", pinned(datasets.char_tags(F.col("filename"), F.col("spans"))))
+    found = characters.char_records(tagged.select("p_partkey", "filename", "tags"), "filename", "tags").where(F.size("entities") > 0)
+    return found.select("p_partkey", F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["entity"], e["value"])), "|").alias("entities"))
+
+
 #: A label for a token of a name, by its text and place, in SQL that both engines read.
 _TOKEN_LABEL = """CASE WHEN index = 0 THEN 'B-GROUP' WHEN token IN ('1080p', '720p', '480p', '2160p') THEN 'RESOLUTION' WHEN token IN ('hevc', 'x265', 'x264', 'xvid', 'h264') THEN 'VCODEC'
  WHEN token IN ('flac', 'aac', 'mp3', 'truehd', 'ac3', 'dtshd') THEN 'ACODEC' WHEN token IN ('webdl', 'bluray', 'webrip', 'hdtv', 'dvdrip', 'bd') THEN 'SOURCE' WHEN token IN ('mkv', 'mp4', 'avi') THEN 'EXTENSION'
