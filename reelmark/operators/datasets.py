@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from reelmark.functions import extract, tokens
+from reelmark.functions.sanitize import pinned
 from reelmark.operators.parse import parse_heuristic
 
 LEAST_CONFIDENCE, LEAST_TOKENS = 0.20, 3
@@ -37,13 +38,17 @@ def token_classes(record: Column, toks: Column) -> Column:
         ("EPISODE", words(extract.episode_display(record["episode"]))), ("SEASON", one(record["season"])), ("RESOLUTION", F.coalesce(heights, none)),
         ("YEAR", one(record["year"])), ("CRC32", one(F.lower(record["crc32"]))), ("EXTENSION", one(record["extension"])), ("VERSION", one(F.concat(F.lit("v"), record["version"].cast("string")))),
     ]
-    group, title = words(record["group"]), words(record["title"])
+    named = [("group", words(record["group"])), ("title", words(record["title"])), *((name.lower(), values) for name, values in sets)]
 
-    def of(t: Column, i: Column) -> Column:
-        found = F.when((i < 6) & F.array_contains(group, t["text"]), "GROUP").when(F.array_contains(title, t["text"]), "TITLE")
-        return reduce(lambda c, s: c.when(F.array_contains(s[1], t["text"]), s[0]), sets, found).otherwise("O")
+    def classes(held: Column) -> Column:
+        def of(t: Column, i: Column) -> Column:
+            found = F.when((i < 6) & F.array_contains(held["group"], t["text"]), "GROUP").when(F.array_contains(held["title"], t["text"]), "TITLE")
+            return reduce(lambda c, s: c.when(F.array_contains(held[s[0].lower()], t["text"]), s[0]), sets, found).otherwise("O")
 
-    return F.transform(toks, of)
+        return F.transform(toks, of)
+
+    # The record's words are taken once for all tokens.
+    return extract.let(F.struct(*(values.alias(name) for name, values in named)), classes)
 
 
 _SINGLE = ("RESOLUTION", "YEAR", "CRC32", "EXTENSION", "VERSION", "O")
@@ -55,13 +60,18 @@ def bio_tags(classes: Column) -> Column:
     Group tokens don't end a run of episode or season tokens, and episode tokens not one of season tokens.
     """
 
-    def tag(c: Column, i: Column) -> Column:
-        unseen = F.when(c == "EPISODE", F.array(F.lit("GROUP"))).when(c == "SEASON", F.array(F.lit("GROUP"), F.lit("EPISODE"))).otherwise(F.array().cast("array<string>"))
-        before = F.filter(F.slice(classes, F.lit(1), i), lambda x: ~F.array_contains(unseen, x))
-        same = F.coalesce(F.try_element_at(before, F.lit(-1)) == c, F.lit(False))
-        return F.when(c.isin(*_SINGLE), c).when(same, F.concat(F.lit("I-"), c)).otherwise(F.concat(F.lit("B-"), c))
+    held = "struct<last:string,episode:string,season:string,tags:array<string>>"
+    start = F.struct(F.lit("").alias("last"), F.lit("").alias("episode"), F.lit("").alias("season"), F.array().cast("array<string>").alias("tags"))
+
+    def step(state: Column, c: Column) -> Column:
+        """``episode`` and ``season`` are the last classes that such tokens look back on."""
+        before = F.when(c == "EPISODE", state["episode"]).when(c == "SEASON", state["season"]).otherwise(state["last"])
+        tag = F.when(c.isin(*_SINGLE), c).when(before == c, F.concat(F.lit("I-"), c)).otherwise(F.concat(F.lit("B-"), c))
+        episode = F.when(c == "GROUP", state["episode"]).otherwise(c)
+        season = F.when(c.isin("GROUP", "EPISODE"), state["season"]).otherwise(c)
+        return F.struct(c.alias("last"), episode.alias("episode"), season.alias("season"), F.concat(state["tags"], F.array(tag)).alias("tags")).cast(held)
 
-    return F.transform(classes, tag)
+    return F.aggregate(classes, start, step)["tags"]
 
 
 def silver(names: DataFrame, column: str = "name") -> DataFrame:
@@ -69,7 +79,7 @@ def silver(names: DataFrame, column: str = "name") -> DataFrame:
     rows = names.select(strip_prefix(F.col(column)).alias("name")).where("name != ''").distinct()
     rows = parse_heuristic(rows).where((F.col("parsed.confidence") >= LEAST_CONFIDENCE) & (F.col("parsed.title").isNotNull() | F.col("parsed.group").isNotNull()))
     rows = rows.withColumn("t", tokens.tokenize(F.col("name"))).where(F.size("t") >= LEAST_TOKENS)
-    rows = rows.withColumn("c", token_classes(F.col("parsed"), F.col("t"))).where(F.exists("c", lambda c: c != "O"))
+    rows = rows.withColumn("c", pinned(token_classes(F.col("parsed"), F.col("t")))).where(F.exists("c", lambda c: c != "O"))
     return rows.select("name", F.col("t.text").alias("tokens"), bio_tags(F.col("c")).alias("ner_tags"))
 
 
