@@ -250,11 +250,16 @@ def exact_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents that stay, one of each group, in their own columns."""
+    """The documents that stay, one of each group, in their own columns.
+
+    Texts are shuffled once, by id and digest, to meet the list of those that stay: rows that repeat an
+    id and a text are then already together.
+    """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    kept = exact_groups(spark, docs).where("kept").select(key.alias("_key"), F.col("digest").alias("_digest"), F.col("n_cp").alias("_n_cp")).distinct()
-    rows = docs.withColumn("_key", key).join(kept, "_key").where((F.col("_digest") == digests_of("text")) & (F.col("_n_cp") == F.length(text_or_empty())))
-    return rows.dropDuplicates(["_digest"]).select(*docs.columns)
+    met = ["_key", "_digest", "_n_cp"]
+    kept = exact_groups(spark, docs).where("kept").select(key.alias("_key"), F.col("digest").alias("_digest"), F.col("n_cp").cast("long").alias("_n_cp")).distinct()
+    rows = docs.withColumns({"_key": key, "_digest": digests_of("text"), "_n_cp": F.length(text_or_empty()).cast("long")}).join(kept, met)
+    return rows.dropDuplicates(met).select(*docs.columns)
 
 
 def digests_of(column: str):
