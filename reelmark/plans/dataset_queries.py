@@ -102,7 +102,24 @@ def silver_bio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.silver(N.part_names(spark, sf_dir))
 
 
-@_query("entity_distribution")
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '[^a-z0-9]'), lambda w: w <> '')"
+
+
+_HEIGHT_WORDS = "CASE resolution " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(w) for w in v.split())}]" for k, v in datasets.RESOLUTION_WORDS.items()) + " ELSE [] END"
+_LAST = "last_value(CASE WHEN class NOT IN ({0}) THEN class END IGNORE NULLS) OVER (PARTITION BY p_partkey ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+#: The silver tags: classes by membership, begun or gone on with by the last class that counts. Names without a prefix to strip.
+_SILVER = f"""{N.WITH_PARSED}, chosen AS (SELECT min(p_partkey) AS p_partkey FROM parsed WHERE {N.CONFIDENCE} >= {datasets.LEAST_CONFIDENCE} AND (title IS NOT NULL OR grp IS NOT NULL) GROUP BY name),
+{_TOKENS.removeprefix(N.WITH_NAMED + ",").lstrip()},
+sets AS (SELECT p_partkey, {_words_sql(_padded(_EPISODE_DISPLAY))} AS e, CAST(season AS STRING) AS s, {_HEIGHT_WORDS} AS r, CAST(year AS STRING) AS y, lower(crc32) AS c, extension AS x, concat('v', CAST(version AS STRING)) AS v,
+ version, {_words_sql('grp')} AS g, {_words_sql('title')} AS t FROM parsed JOIN chosen USING (p_partkey)),
+classed AS (SELECT p_partkey, index, CASE WHEN index < 6 AND list_contains(g, token) THEN 'GROUP' WHEN list_contains(t, token) THEN 'TITLE' WHEN list_contains(e, token) THEN 'EPISODE' WHEN token = s THEN 'SEASON' WHEN list_contains(r, token) THEN 'RESOLUTION'
+ WHEN token = y THEN 'YEAR' WHEN token = c THEN 'CRC32' WHEN token = x THEN 'EXTENSION' WHEN version IS NOT NULL AND token = v THEN 'VERSION' ELSE 'O' END AS class, count(*) OVER (PARTITION BY p_partkey) AS n FROM tokens JOIN sets USING (p_partkey)),
+seen AS (SELECT *, {_LAST.format("''")} AS last, {_LAST.format("'GROUP'")} AS for_episode, {_LAST.format("'GROUP', 'EPISODE'")} AS for_season FROM classed WHERE n >= {datasets.LEAST_TOKENS}),
+silver AS (SELECT p_partkey, index, CASE WHEN class IN ({', '.join(repr(c) for c in datasets._SINGLE)}) THEN class WHEN class = CASE class WHEN 'EPISODE' THEN for_episode WHEN 'SEASON' THEN for_season ELSE last END THEN concat('I-', class) ELSE concat('B-', class) END AS tag FROM seen)"""
+
+
+@_query("entity_distribution", f"{_SILVER}\nSELECT tag, count(*) AS n FROM silver WHERE tag <> 'O' GROUP BY tag")
 def entity_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of the silver set other than O, counted."""
     tags = datasets.silver(N.part_names(spark, sf_dir)).select(F.explode("ner_tags").alias("tag"))
@@ -360,6 +377,12 @@ def parser_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.parser_summary(_cases(spark, sf_dir)).withColumn("average", F.round("average", 6))
 
 
+@_query("parser_winner", f"{_CASES}\nSELECT parser AS winner FROM totals GROUP BY parser ORDER BY round(avg(total), 6) DESC, parser DESC LIMIT 1")
+def parser_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parser with the best average; of equal ones the last by name."""
+    return evaluate.winner(evaluate.parser_summary(_cases(spark, sf_dir)).withColumn("average", F.round("average", 6)))
+
+
 @_query(
     "field_wins_rollup",
     f"""{_CASES}, flat AS (SELECT parser, 'title' AS field, s_title AS score FROM totals UNION ALL SELECT parser, 'group', s_group FROM totals UNION ALL SELECT parser, 'season', s_season FROM totals
