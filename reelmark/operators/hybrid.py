@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelmark.functions import tokens as T
 from reelmark.functions.extract import let, trimmed
+from reelmark.functions.sanitize import pinned
 
 # How a title or a group may be spelt in a name, in the order in which equal matches count.
 TITLE_SPELLINGS = (("", ""), (" ", "."), (" ", "_"), (" - ", "-"), (":", " -"))
@@ -113,8 +114,9 @@ def build_examples(rows: DataFrame, text: str, group: str, title: str, episode:
     name = trimmed(F.coalesce(F.col(text).cast("string"), F.lit("")))
     made = F.coalesce(F.col(augmentation), F.lit("none")) if augmentation else F.lit("none")
     out = rows.select(*kept, name.alias("text"), made.alias("augmentation"), *(F.col(c).alias(f"_{n}") for n, c in (("group", group), ("title", title), ("episode", episode)))).where("text <> ''")
-    out = out.withColumn("_tokens", T.composite_tokens(F.col("text"))).where(F.size("_tokens") > 0)
-    out = out.withColumn("tags", build_tags(F.col("text"), F.col("_tokens"), F.col("_group"), F.col("_title"), F.col("_episode"))).where(F.array_contains("tags", "B-TITLE"))
+    # Both filters stay above what they look at: pushed below, the tokens would be made again wherever a tag's rule names them.
+    out = out.withColumn("_tokens", pinned(T.composite_tokens(F.col("text")))).where(F.size("_tokens") > 0)
+    out = out.withColumn("tags", pinned(build_tags(F.col("text"), F.col("_tokens"), F.col("_group"), F.col("_title"), F.col("_episode")))).where(F.array_contains("tags", "B-TITLE"))
     spans = F.transform("_tokens", lambda t: F.array(t["start"], t["end"]))
     more = [T.token_features(F.col("_tokens")).alias("features")] if features else []
     return out.select(*kept, "text", F.col("_tokens.text").alias("tokens"), "tags", spans.alias("token_spans"), "augmentation", *more)
