@@ -237,12 +237,14 @@ def marked_spans(text: Column, parts: dict[str, Column]) -> Column:
 def char_tags(text: Column, spans: Column) -> Column:
     """A tag for each character: B- at a span's first, I- at its others, O elsewhere; a later span overwrites an earlier one."""
 
-    def tag(at: Column) -> Column:
-        held = F.filter(spans, lambda s: (s["first"] <= at) & (at < s["first"] + s["size"]))
+    def tag(held_spans: Column, at: Column) -> Column:
+        held = F.filter(held_spans, lambda s: (s["first"] <= at) & (at < s["first"] + s["size"]))
         last = F.try_element_at(held, F.lit(-1))
         return F.coalesce(F.concat(F.when(last["first"] == at, "B-").otherwise("I-"), last["entity"]), F.lit("O"))
 
-    return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(0), F.length(text) - 1), tag)).otherwise(F.array().cast("array<string>"))
+    # The spans are found once for all characters.
+    tags = extract.let(spans, lambda found: F.transform(F.sequence(F.lit(0), F.length(text) - 1), lambda at: tag(found, at)))
+    return F.when(F.length(text) > 0, tags).otherwise(F.array().cast("array<string>"))
 
 
 def split_records(rows: DataFrame, key: str, validation: float, seed: int) -> DataFrame:

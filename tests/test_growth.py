@@ -20,3 +20,10 @@ def test_examples_cut_tokens_once(spark):
     found = hybrid.build_examples(rows, "name", "grp", "title", "episode")
     assert _optimised(found).count("regexp_extract_all(") == 1
     assert found.count() == 1
+
+
+def test_char_tags_find_spans_once(spark):
+    spans = F.col("known_spans")
+    assert "array(known_spans)" in str(datasets.char_tags(F.col("text"), spans))
+    rows = spark.createDataFrame([("ab cd", [("TITLE", 0, 2), ("GROUP", 3, 1)])], "text string, known_spans array<struct<entity: string, first: int, size: int>>")
+    assert rows.select(datasets.char_tags(F.col("text"), spans)).first()[0] == ["B-TITLE", "I-TITLE", "O", "B-GROUP", "O"]
