@@ -14,10 +14,14 @@ from pyspark.sql import functions as F
 from reelmark.functions import patterns as P
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _first(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without a match or for an empty group."""
-    found = F.regexp_extract(text, P.java(pattern), group)
-    return F.when(found != "", found)
+    return let(F.regexp_extract(text, P.java(pattern), group), lambda found: F.when(found != "", found))
 
 
 def trimmed(text: Column) -> Column:
@@ -43,38 +47,37 @@ def _height(digits: Column) -> Column:
 
 def resolution(text: Column) -> Column:
     """From ``1080p``, else from the height of the first ``1920x1080``."""
-    return F.coalesce(_height(_first(text, P.RESOLUTION)), _height(_first(text, P.RESOLUTION_DIM, 2)))
+    return F.coalesce(let(_first(text, P.RESOLUTION), _height), let(_first(text, P.RESOLUTION_DIM, 2), _height))
 
 
 def video_codec(text: Column) -> Column:
-    found = F.replace(F.lower(_first(text, P.VCODEC)), F.lit("."), F.lit(""))
-    return (
+    named = lambda found: (
         F.when(found.isin("x264", "h264"), "H264").when(found.isin("x265", "h265", "hevc"), "HEVC").when(found == "av1", "AV1")
         .when(found == "vp9", "VP9").when(found.isin("mpeg4", "xvid"), "MPEG4")
     )
+    return let(F.replace(F.lower(_first(text, P.VCODEC)), F.lit("."), F.lit("")), named)
 
 
 def audio_codec(text: Column) -> Column:
-    found = F.lower(_first(text, P.ACODEC))
-    return (
+    named = lambda found: (
         F.when(found == "flac", "FLAC").when(found == "aac", "AAC").when(found == "opus", "Opus").when(found == "ac3", "AC3")
         .when(found.startswith("dts"), "DTS").when(found.contains("truehd") | found.contains("true hd"), "TrueHD").when(found == "mp3", "MP3")
         .when(found.isin("vorbis", "ogg"), "Vorbis").when(found.startswith("e-aac") | found.startswith("eaac"), "EAAC")
     )
+    return let(F.lower(_first(text, P.ACODEC)), named)
 
 
 def source(text: Column) -> Column:
-    found = F.translate(F.lower(_first(F.translate(text, "_", " "), P.SOURCE)), " -", "")
-    return (
+    named = lambda found: (
         F.when(found.contains("remux"), "BluRayRemux").when(found.contains("blu") | found.isin("bdrip", "bd"), "BluRay")
         .when(found.isin("webdl", "web"), "WebDL").when(found == "webrip", "WebRip").when(found == "hdtv", "HDTV")
         .when(found.startswith("dvd"), "DVD").when(found.isin("laserdisc", "ld"), "LaserDisc").when(found == "vhs", "VHS")
     )
+    return let(F.translate(F.lower(_first(F.translate(text, "_", " "), P.SOURCE)), " -", ""), named)
 
 
 def year(text: Column) -> Column:
-    found = _first(text, P.YEAR).cast("int")
-    return F.when(found.between(*P.YEARS), found)
+    return let(_first(text, P.YEAR).cast("int"), lambda found: F.when(found.between(*P.YEARS), found))
 
 
 def season(text: Column) -> Column:
@@ -88,11 +91,6 @@ def version(text: Column, episode: Column) -> Column:
     return F.when(F.coalesce(episode["kind"], F.lit("")) != "Version", found)
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def matches(text: Column, pattern: str, groups: int = 1) -> Column:
     """All matches, in order, as structs: ``full``, ``g1`` ..., ``at`` (characters before the match).
 
@@ -104,9 +102,10 @@ def matches(text: Column, pattern: str, groups: int = 1) -> Column:
     zipped = F.arrays_zip(*(part(i + 1) for i in range(len(names) + 1))).cast("array<struct<" + ",".join(f"{n}:string" for n in ["gap", *names]) + ">>")
     none = F.array().cast("array<struct<" + ",".join(f"{n}:string" for n in names) + ",at:int>>")
 
-    # A match is preceded by all earlier gaps and matches and by its own gap.
-    before = lambda at: F.aggregate(F.slice(zipped, F.lit(1), at), F.lit(0), lambda n, m: n + F.length(m["gap"]) + F.length(m["full"]))
-    found = F.transform(zipped, lambda m, at: F.struct(*(m[n].alias(n) for n in names), (before(at) + F.length(m["gap"])).alias("at")))
+    # A match is preceded by all earlier gaps and matches and by its own gap. The searches are made once for all matches.
+    before = lambda z, at: F.aggregate(F.slice(z, F.lit(1), at), F.lit(0), lambda n, m: n + F.length(m["gap"]) + F.length(m["full"]))
+    placed = lambda z: F.transform(z, lambda m, at: F.struct(*(m[n].alias(n) for n in names), (before(z, at) + F.length(m["gap"])).alias("at")))
+    found = let(zipped, placed)
     return F.when(F.regexp_like(text, F.lit(P.java(pattern))), found).otherwise(none)
 
 
@@ -221,7 +220,7 @@ def title_cleaned(work: Column, year_: Column) -> Column:
     work = F.substring_index(F.regexp_replace(work, P.BRACKETS, " "), P.SENTINEL, 1)
     work = F.regexp_replace(F.translate(work, "._", "  "), r"(?U)\s+", " ")
     work = F.regexp_replace(F.regexp_replace(work, r"^[- ]+|[- ]+\z", ""), P.java(P.TRAILING_NOISE), "")
-    return F.when(work != "", work)
+    return let(work, lambda title: F.when(title != "", title))
 
 
 def confidence(fields: dict[str, Column]) -> Column:

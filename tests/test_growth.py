@@ -27,3 +27,14 @@ def test_char_tags_find_spans_once(spark):
     assert "array(known_spans)" in str(datasets.char_tags(F.col("text"), spans))
     rows = spark.createDataFrame([("ab cd", [("TITLE", 0, 2), ("GROUP", 3, 1)])], "text string, known_spans array<struct<entity: string, first: int, size: int>>")
     assert rows.select(datasets.char_tags(F.col("text"), spans)).first()[0] == ["B-TITLE", "I-TITLE", "O", "B-GROUP", "O"]
+
+
+def test_sql_parse_parses_once(spark):
+    plan = _optimised(queries()["sql_parse"](spark, SMALL))
+    assert plan.count(P.BRACKETS) == 1
+
+
+def test_matches_search_once_for_all():
+    made = str(extract.matches(F.col("a_name"), P.EPISODE))
+    assert made.count("regexp_extract_all(") == 3
+    assert str(extract.audio_codec(F.col("a_name"))).count("regexp_extract(") == 1
