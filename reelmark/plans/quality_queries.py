@@ -206,7 +206,7 @@ SELECT p_partkey, CASE WHEN a IS NULL THEN 0.0 WHEN a = b THEN 1.0 WHEN contains
 )
 def validator_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    rows = parse_heuristic(part.select("p_partkey", "p_name", F.expr(N.PART_NAME).alias("name")))
+    rows = parse_heuristic(N.spread(part.select("p_partkey", "p_name", F.expr(N.PART_NAME).alias("name"))))
     return rows.select("p_partkey", F.round(titles.validator_match(F.col("parsed.title"), F.array("p_name")), 6).alias("score"))
 
 

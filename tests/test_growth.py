@@ -38,3 +38,8 @@ def test_matches_search_once_for_all():
     made = str(extract.matches(F.col("a_name"), P.EPISODE))
     assert made.count("regexp_extract_all(") == 3
     assert str(extract.audio_codec(F.col("a_name"))).count("regexp_extract(") == 1
+
+
+@pytest.mark.parametrize("name", ["validator_fuzzy"])
+def test_names_are_dealt_to_all_cores(spark, name):
+    assert queries()[name](spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
