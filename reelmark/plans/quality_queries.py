@@ -336,7 +336,7 @@ FROM placed WINDOW w AS (PARTITION BY p_partkey ORDER BY i)""",
 )
 def token_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.expr(f"split({_CUT}, ' ')").alias("texts"))
-    found = part.select("p_partkey", tokens.tokens_of_texts(F.col("texts")).alias("tokens"))
+    found = N.spread(part).select("p_partkey", tokens.tokens_of_texts(F.col("texts")).alias("tokens"))
     return found.select("p_partkey", F.posexplode(tokens.token_features(F.col("tokens"))).alias("index", "f")).select("p_partkey", "index", "f.*")
 
 

@@ -40,6 +40,6 @@ def test_matches_search_once_for_all():
     assert str(extract.audio_codec(F.col("a_name"))).count("regexp_extract(") == 1
 
 
-@pytest.mark.parametrize("name", ["validator_fuzzy"])
+@pytest.mark.parametrize("name", ["validator_fuzzy", "token_features"])
 def test_names_are_dealt_to_all_cores(spark, name):
     assert queries()[name](spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
