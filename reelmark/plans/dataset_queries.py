@@ -352,7 +352,7 @@ totals AS (SELECT *, round((s_title + s_group + s_season + s_resolution + 7) / 1
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", F.expr(N.PART_NAME).alias("name"))
-    parsed = parse_heuristic(part)
+    parsed = parse_heuristic(spread(part))
     unknown = ["episode", "video_codec", "audio_codec", "source", "year", "crc32", "extension"]
     record = lambda title, group, season, resolution: F.struct(title.alias("title"), group.alias("group"), season.alias("season"), resolution.alias("resolution"), *(F.lit(None).cast("string").alias(n) for n in unknown))
     own = record(F.col("parsed.title"), F.col("parsed.group"), F.col("parsed.season"), F.col("parsed.resolution"))

@@ -40,6 +40,11 @@ def test_matches_search_once_for_all():
     assert str(extract.audio_codec(F.col("a_name"))).count("regexp_extract(") == 1
 
 
-@pytest.mark.parametrize("name", ["validator_fuzzy", "token_features"])
+@pytest.mark.parametrize("name", ["validator_fuzzy", "token_features", "field_score"])
 def test_names_are_dealt_to_all_cores(spark, name):
     assert queries()[name](spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_cases_are_dealt_to_all_cores(spark):
+    """The step that summaries, winner and rollup share."""
+    assert dataset_queries._cases(spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
