@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: The state store that timers need.
@@ -13,28 +15,34 @@ STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.e
 
 
 class AfterQuiet(StatefulProcessor):
-    """Keeps the last time of each value, and a timer at the end of its quiet time, which drops it."""
+    """Keeps the last time of each value, and a timer at the end of its quiet time, which drops it.
 
-    def __init__(self, time: str, quiet_ms: int):
-        self.time, self.quiet_ms = time, quiet_ms
+    Times are microseconds of the epoch (``us``): neither a time zone's changes nor rounding move a gap.
+    """
+
+    def __init__(self, quiet_us: int):
+        self.quiet_us = quiet_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ms long")
+        self.last = handle.getValueState("last", "us long")
+
+    def _timer(self, last: int) -> int:
+        """The first whole millisecond at which the value has been quiet."""
+        return -(-(last + self.quiet_us) // 1000)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         """The batch's rows of a value in the order of their times; only times are held."""
-        times = pd.concat([r[self.time] for r in rows]).sort_values()
-        ms = times.astype("datetime64[us]").astype("int64") // 1000
+        us = np.sort(np.concatenate([r["us"].to_numpy(np.int64) for r in rows]))
         held = self.last.get()[0] if self.last.exists() else None
-        before = ms.shift(fill_value=held if held is not None else ms.iloc[0] - self.quiet_ms)
-        starts = times[((ms - before) >= self.quiet_ms).to_numpy()]
-        newest = max(int(ms.iloc[-1]), held if held is not None else int(ms.iloc[-1]))
+        before = np.append(held if held is not None else us[0] - self.quiet_us, us[:-1])
+        starts = us[us - before >= self.quiet_us]
+        newest = int(us[-1]) if held is None else max(int(us[-1]), held)
         if held is not None:
-            self.handle.deleteTimer(held + self.quiet_ms)
+            self.handle.deleteTimer(self._timer(held))
         self.last.update((newest,))
-        self.handle.registerTimer(newest + self.quiet_ms)
-        yield pd.DataFrame({"value": pd.Series([str(key[0])] * len(starts), dtype=object), "since": starts.to_numpy()})
+        self.handle.registerTimer(self._timer(newest))
+        yield pd.DataFrame({"value": pd.Series([str(key[0])] * len(starts), dtype=object), "us": starts})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -56,5 +64,6 @@ def after_quiet(stream: DataFrame, value: str, time: str, quiet_ms: int, latenes
     with the values that are in use, not with those ever seen. Rows behind the watermark are left
     out. Needs ``with_timers`` before the stream starts. A null value is a value, as ``None``.
     """
-    rows = stream.select(value, time).withWatermark(time, lateness)
-    return rows.groupBy(value).transformWithStateInPandas(AfterQuiet(time, quiet_ms), "value string, since timestamp", "Append", "EventTime")
+    rows = stream.withWatermark(time, lateness).select(F.col(value).cast("string").alias("value"), time, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
+    found = rows.groupBy("value").transformWithStateInPandas(AfterQuiet(quiet_ms * 1000), "value string, us long", "Append", "EventTime")
+    return found.select("value", F.timestamp_micros("us").alias("since"))

@@ -8,6 +8,7 @@ from reelmark.functions import extract
 from reelmark.functions import patterns as P
 from reelmark.operators import datasets, hybrid
 from reelmark.plans import dataset_queries
+from reelmark.streaming import quiet
 from tests.helpers import SMALL
 
 
@@ -48,3 +49,18 @@ def test_names_are_dealt_to_all_cores(spark, name):
 def test_cases_are_dealt_to_all_cores(spark):
     """The step that summaries, winner and rollup share."""
     assert dataset_queries._cases(spark, SMALL).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_quiet_time_is_exact(spark, tmp_path):
+    """Half a millisecond short of three hours is not quiet."""
+    gaps = "timestamp_micros({0} + 999), timestamp_micros({0} + 10800000500), timestamp_micros({0} + 30000000000)".format(1711846800000000)
+    spark.sql(f"SELECT 7L AS user_id, explode(array({gaps})) AS ts").write.parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema("user_id long, ts timestamp").parquet(str(tmp_path / "in"))
+    quiet.with_timers(spark)
+    try:
+        found = quiet.after_quiet(rows, "user_id", "ts", 3 * 3_600_000)
+        found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    finally:
+        spark.conf.unset(quiet.STORE[0])
+    made = spark.read.parquet(str(tmp_path / "out")).selectExpr("value", "unix_micros(since) - 1711846800000000 AS at").orderBy("at").collect()
+    assert [tuple(r) for r in made] == [("7", 999), ("7", 30000000000)]
