@@ -134,17 +134,27 @@ def suffix_order(data: np.ndarray, least: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for i in range(8):
         key = (key << np.uint64(8)) | padded[i : i + n]
+    order = np.argsort(key)  # equal keys may come in any order
+    new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+    place = np.arange(n)
+    rank = np.empty(n, np.int64)  # a suffix's rank is the place of the first that is equal so far
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
     span = 8
-    while True:
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate([[0], (key[order[1:]] != key[order[:-1]]).astype(np.int64)])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        if span >= least or rank[order[-1]] == n - 1:
-            return order
-        key = rank * (n + 1)
-        key[: n - span] += rank[span:] + 1
+    while span < least:
+        # Only suffixes that are not alone at their rank are sorted on, each within its rank's places.
+        place = place[~new | ~np.append(new[1:], True)]
+        if not len(place):
+            break
+        open_ = order[place]
+        key = rank[open_] * (n + 1)
+        longer = open_ + span < n
+        key[longer] += rank[open_[longer] + span] + 1
+        by = np.argsort(key)
+        order[place], key = open_[by], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        rank[order[place]] = np.maximum.accumulate(np.where(new, place, 0))
         span *= 2
+    return order
 
 
 def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
@@ -176,7 +186,7 @@ def common_prefixes(transform: np.ndarray, least: int) -> np.ndarray:
         label = owner * 256 + byte
         first = np.flatnonzero(plain & (same_before[place] < low[owner]))
         last = np.flatnonzero(plain & (same_after[place] >= high[owner]))
-        first, last = first[np.argsort(label[first], kind="stable")], last[np.argsort(label[last], kind="stable")]
+        first, last = first[np.argsort(label[first])], last[np.argsort(label[last])]  # labels occur once in each
         low, high = rank[place[first]], rank[place[last]] + 1
         fresh = is_open[high]
         low, high = low[fresh], high[fresh]
@@ -205,6 +215,10 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, co
     mine = number[order]
     real = mine >= 0
     mine, group = mine[real], group[real]
+    # A string that starts nowhere else is no repeat.
+    again = group[1:] == group[:-1]
+    several = np.append(again, False) | np.append(False, again)
+    mine, group = mine[several], group[several]
     by = np.lexsort((start[mine], doc[mine], group))
     mine, group = mine[by], group[by]
     later = np.concatenate([[False], group[1:] == group[:-1]])

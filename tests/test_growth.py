@@ -1,11 +1,13 @@
 """What keeps queries in proportion to their tables: steps made once, and dealt to all cores."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from reelmark.functions import extract
 from reelmark.functions import patterns as P
+from reelmark.llm import suffix_dedup
 from reelmark.operators import datasets, hybrid
 from reelmark.plans import dataset_queries
 from reelmark.streaming import quiet
@@ -64,3 +66,16 @@ def test_quiet_time_is_exact(spark, tmp_path):
         spark.conf.unset(quiet.STORE[0])
     made = spark.read.parquet(str(tmp_path / "out")).selectExpr("value", "unix_micros(since) - 1711846800000000 AS at").orderBy("at").collect()
     assert [tuple(r) for r in made] == [("7", 999), ("7", 30000000000)]
+
+
+def test_settled_suffixes_are_not_sorted_again(monkeypatch):
+    """After eight bytes only suffixes that are still equal are sorted on, and the order is right by 100 bytes."""
+    letters = np.random.default_rng(1).integers(97, 123, 4000).astype(np.uint8)
+    data = np.concatenate([letters, [255], letters[:300], [255]]).astype(np.uint8)
+    sizes, sort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **more: sizes.append(len(a)) or sort(a, *args, **more))
+    order = suffix_dedup.suffix_order(data, 100)
+    text = data.tobytes()
+    assert sorted(order.tolist()) == list(range(len(data)))
+    assert all(text[a : a + 100] <= text[b : b + 100] for a, b in zip(order, order[1:]))
+    assert sizes[0] == len(data) and max(sizes[1:]) <= 700
