@@ -306,7 +306,7 @@ def _pool(docs: DataFrame, small: DataFrame, spec: Minhash) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sids, pa.int64()), pa.array([values[e - n : e].tobytes() for e, n in zip(ends, counts)], pa.binary())], ["sid", "members"])
 
     wanted = small.groupBy(F.col("first.doc_id").alias("_doc"), F.col("first.row").alias("_row")).agg(F.collect_list(F.struct(F.col("first.place").alias("place"), "sid")).alias("wanted"))
-    texts = docs.join(wanted, (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
+    texts = docs.join(wanted.hint("merge"), (F.col("doc_id") == F.col("_doc")) & (F.col("row") == F.col("_row")))
     return texts.select("text", "wanted").mapInArrow(run, "sid long, members binary")
 
 
