@@ -28,8 +28,10 @@ from reelmark.llm.components import components
 
 #: Rounds of hubs before members of different components are tested block by block.
 HUB_ROUNDS = 6
-#: ... or earlier, if their pairs are at most so many for each row of the buckets, or a round of
-#: hubs has left more than half of them. Blocks with more candidates a row are tested where they lie.
+#: ... or earlier, if their pairs are at most so many for each row of the buckets (testing these on
+#: signatures takes less than another round of hubs), or a round of hubs has left more than half of them.
+OUTRIGHT_EACH = 200
+#: Blocks with more candidates a row are tested where they lie.
 PAIRS_EACH = 20
 #: Members of a bucket that are dealt together: larger buckets are salted.
 DEALT = 4096
@@ -199,9 +201,9 @@ def verified(pairs: DataFrame, pool: DataFrame, spec: Minhash) -> DataFrame:
 
     The pairs of one b and salt meet in one task, after the set of b; a task holds one set at a time.
     """
-    asked = pairs.select("b", "salt").distinct().join(pool, F.col("b") == F.col("sid")).select("b", "salt", F.lit(None).cast("long").alias("a"), "members")
-    asking = pairs.join(pool, F.col("a") == F.col("sid")).select("b", "salt", "a", "members")
-    rows = asking.unionByName(asked).repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
+    asked = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(None).cast("long").alias("a"), F.col("b").alias("sid"))
+    asking = pairs.select("b", "salt", "a", F.col("a").alias("sid"))
+    rows = asking.unionByName(asked).join(pool, "sid").repartition("b", "salt").sortWithinPartitions("b", "salt", F.asc_nulls_first("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         theirs = None
@@ -252,7 +254,7 @@ def linked(spark: SparkSession, docs: DataFrame, spec: Minhash, scratch: Scratch
     slim = scratch.write(sets.select("d1", "d2", "n", "sid", "first"))
     scratch.drop(sets, shared)
     pool = scratch.write(_pool(docs, small, spec))
-    edges, labels, before, spent = None, None, None, []
+    labels, before = None, None
     for round_no in range(HUB_ROUNDS + 1):
         left = scratch.write(_unsettled(members, labels))
         scratch.drop(members)
@@ -262,13 +264,13 @@ def linked(spark: SparkSession, docs: DataFrame, spec: Minhash, scratch: Scratch
             break
         stuck = before is not None and n_pairs > before / 2
         before = n_pairs
-        outright = round_no > 0 and (n_pairs <= PAIRS_EACH * n_left or stuck or round_no == HUB_ROUNDS)
+        outright = round_no > 0 and (n_pairs <= OUTRIGHT_EACH * n_left or stuck or round_no == HUB_ROUNDS)
         new = _between_components(left, small, pool, spec, scratch) if outright else _with_hubs(left, small, pool, spec, scratch, round_no)
-        spent.append(new)
-        edges = new if edges is None else edges.unionByName(new)
-        if labels is not None:
-            scratch.drop(labels)
-        labels = scratch.write(components(scratch, edges))
+        # The components so far stand for the links that made them.
+        edges = new if labels is None else new.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
+        found = scratch.write(components(scratch, edges))
+        scratch.drop(new, *([] if labels is None else [labels]))
+        labels = found
         if outright:
             break
     if labels is None:
@@ -280,7 +282,7 @@ def linked(spark: SparkSession, docs: DataFrame, spec: Minhash, scratch: Scratch
     named = scratch.write(labels.withColumnRenamed("id", "sid").withColumn("salt", salt).join(names, ["component", "salt"]).select("sid", "name"))
     known = slim.join(named, "sid", "left").select("d1", "d2", "n", F.coalesce("name", "first").alias("component"))
     known = scratch.write(known)
-    scratch.drop(members, small, slim, pool, named, *spent)
+    scratch.drop(members, small, slim, pool, named)
     return signed, known
 
 
@@ -349,7 +351,7 @@ def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec
     sets. A block with more than PAIRS_EACH candidates a row gives none, but is tested whole, sets and
     all, in one task, which links each two of its components once.
     """
-    placed = _blocks(left, small, spec)
+    placed = scratch.write(_blocks(left, small, spec))
     out = "a long, b long, key long, i int, j int"
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
@@ -407,10 +409,13 @@ def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec
     pairs = tested.where("a IS NOT NULL").select("a", "b").distinct().withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(16)).cast("int"))
     links = scratch.write(verified(pairs, pool, spec))
     dense = tested.where("a IS NULL").select("key", "i", "j")
-    if dense.isEmpty():
-        scratch.drop(tested)
-        return links
-    return scratch.write(links.unionByName(_dense_links(placed.join(dense, ["key", "i", "j"]).join(pool, "sid"), spec)))
+    if not dense.isEmpty():
+        more = scratch.write(_dense_links(placed.join(dense, ["key", "i", "j"]).join(pool, "sid"), spec))
+        both = scratch.write(links.unionByName(more))
+        scratch.drop(links, more)
+        links = both
+    scratch.drop(placed, tested)
+    return links
 
 
 def _dense_links(rows: DataFrame, spec: Minhash) -> DataFrame:

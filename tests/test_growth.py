@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from reelmark.functions import extract
 from reelmark.functions import patterns as P
-from reelmark.llm import suffix_dedup
+from reelmark.llm import components, near_dedup, suffix_dedup
 from reelmark.operators import datasets, hybrid
 from reelmark.plans import dataset_queries
 from reelmark.streaming import quiet
@@ -79,3 +79,16 @@ def test_settled_suffixes_are_not_sorted_again(monkeypatch):
     assert sorted(order.tolist()) == list(range(len(data)))
     assert all(text[a : a + 100] <= text[b : b + 100] for a, b in zip(order, order[1:]))
     assert sizes[0] == len(data) and max(sizes[1:]) <= 700
+
+
+def test_pairs_are_verified_by_one_join_with_the_sets(spark):
+    pairs, pool = spark.range(4).selectExpr("id AS a", "id + 4 AS b", "0 AS salt"), spark.range(8).selectExpr("id AS sid", "X'00' AS members")
+    assert _optimised(near_dedup.verified(pairs, pool, near_dedup.DOCUMENTS)).count("Join") == 1
+
+
+def test_edges_are_joined_up_within_tasks(spark, tmp_path):
+    """A chain that one task reads becomes a star before any step."""
+    u, v = components.forest(np.array([2, 3, 9, 4, 4]), np.array([1, 2, 8, 3, 4]))
+    assert sorted(zip(u.tolist(), v.tolist())) == [(2, 1), (3, 1), (4, 1), (9, 8)]
+    chain = spark.range(1, 500, 1, 1).selectExpr("id AS u", "id - 1 AS v")
+    assert components._contracted(chain).where("v = 0").count() == 499
