@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,23 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+#: Characters of text that are worked on at once.
+TEXT_AT_ONCE = 1 << 22
+
+
+def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """The batch in parts of some ``rows`` rows and TEXT_AT_ONCE characters, at least one row each, and their texts."""
+    column, first, size, texts = batch.column("text"), 0, 0, []
+    for at, text in enumerate(map(pa.StringScalar.as_py, column)):
+        if at > first and (size + len(text or "") > TEXT_AT_ONCE or at - first == rows):
+            yield batch.slice(first, at - first), texts
+            first, size, texts = at, 0, []
+        texts.append(text)
+        size += len(text or "")
+    if texts:
+        yield batch.slice(first), texts
+
+
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
 MIX_B = np.uint64(0xBF58476D1CE4E5B9)
 MIX_C = np.uint64(0x94D049BB133111EB)

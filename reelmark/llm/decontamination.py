@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_A, WordHashes, shingle_hashes, table, text_or_empty
+from reelmark.llm.common import MIX_A, WordHashes, shingle_hashes, slices, table, text_or_empty
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -40,6 +40,8 @@ SLACK = 4
 WORDS_AT_ONCE = 200_000
 #: Document words that are fingerprinted at once, so that their bit counts stay in cache.
 CHUNK = 1 << 14
+#: Documents that are scanned end to end, at most.
+DOCUMENTS_AT_ONCE = 1000
 
 
 class PlainWords(WordHashes):
@@ -242,10 +244,10 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemIndex(sent.value, threshold), PlainWords()
-            for batch in batches:
-                leaks = index.leaks(batch.column("text").to_pylist(), hashes, threshold)
+            for part, texts in (cut for batch in batches for cut in slices(batch, DOCUMENTS_AT_ONCE)):
+                leaks = index.leaks(texts, hashes, threshold)
                 owner, item, similarity, first = zip(*((at, *leak) for at, mine in enumerate(leaks) for leak in mine)) if any(leaks) else ((),) * 4
-                ids = batch.column("doc_id").take(pa.array(owner, pa.int64()))
+                ids = part.column("doc_id").take(pa.array(owner, pa.int64()))
                 columns = [ids, pa.array(item, pa.int64()), pa.array(similarity, pa.float64()), pa.array(first, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "similarity", "first_word"])
 
@@ -260,9 +262,9 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, thres
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemIndex(sent.value, threshold), PlainWords()
-            for batch in batches:
-                leaks = index.leaks(batch.column("text").to_pylist(), hashes, threshold)
-                yield batch.filter(pa.array([not mine for mine in leaks], pa.bool_()))
+            for part, texts in (cut for batch in batches for cut in slices(batch, DOCUMENTS_AT_ONCE)):
+                leaks = index.leaks(texts, hashes, threshold)
+                yield part.filter(pa.array([not mine for mine in leaks], pa.bool_()))
 
         docs = docs.mapInArrow(scan, docs.schema)
     return docs

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_B, MIX_C, Scratch, distinct_within, hashed_lines, hashed_words, mix64, shingle_hashes, table, text_or_empty
+from reelmark.llm.common import MIX_B, MIX_C, Scratch, distinct_within, hashed_lines, hashed_words, mix64, shingle_hashes, slices, table, text_or_empty
 from reelmark.llm.components import components
 
 #: Rounds of hubs before members of different components are tested block by block.
@@ -39,8 +39,7 @@ DEALT = 4096
 BLOCK = 512
 #: Shingles whose minima are taken at once, so that they stay in cache.
 CHUNK = 1 << 15
-#: Characters of text, and pairs, that are worked on at once.
-TEXT_AT_ONCE = 1 << 22
+#: Pairs that are worked on at once.
 PAIRS_AT_ONCE = 1 << 20
 
 
@@ -116,18 +115,6 @@ def signatures(values: np.ndarray, counts: np.ndarray, spec: Minhash) -> tuple[n
     return planes, bands
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in parts of some 2000 rows and TEXT_AT_ONCE characters, at least one row each, and their texts."""
-    texts, first, size = batch.column("text").to_pylist(), 0, 0
-    for at, text in enumerate(texts):
-        if at > first and (size + len(text) > TEXT_AT_ONCE or at - first == 2000):
-            yield batch.slice(first, at - first), texts[first:at]
-            first, size = at, 0
-        size += len(text)
-    if texts:
-        yield batch.slice(first), texts[first:]
-
-
 def set_digests(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits that name each set, as two longs; zero for empty sets."""
     out = np.zeros((2, len(counts)), np.int64)
@@ -366,6 +353,7 @@ def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec
         sid, component, n = rows.sid.to_numpy(), rows.component.to_numpy(), rows.n.to_numpy()
         planes = rows[spec.names].to_numpy().view(np.uint64)
         found, total = [], np.cumsum(n_asked)
+        candidates = np.zeros(len(begin), np.int64)
         at = 0
         while at < len(asks):
             upto = max(at + 1, int(np.searchsorted(total, total[at] - n_asked[at] + PAIRS_AT_ONCE, side="right")))
@@ -380,10 +368,14 @@ def _between_components(left: DataFrame, small: DataFrame, pool: DataFrame, spec
                 q = p + spec.planes
                 differ += np.bitwise_count((planes[x, p] ^ planes[y, p]) | (planes[x, q] ^ planes[y, q]))
             good = (1 - differ / spec.hashes - 0.25) / 0.75 >= spec.least_estimate
-            found.append((x[good], y[good]))
+            x, y = x[good], y[good]
+            candidates += np.bincount(group[x], minlength=len(begin))
+            dense = candidates > PAIRS_EACH * (end - begin)
+            sparse = ~dense[group[x]]  # of a block with too many no more are held
+            found.append((x[sparse], y[sparse]))
             at = upto
+        dense = candidates > PAIRS_EACH * (end - begin)
         x, y = (np.concatenate([f[s] for f in found]) if found else np.zeros(0, np.int64) for s in range(2))
-        dense = np.bincount(group[x], minlength=len(begin)) > PAIRS_EACH * (end - begin)
         sparse = ~dense[group[x]]
         x, y = x[sparse], y[sparse]
         heads = begin[dense]

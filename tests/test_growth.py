@@ -1,13 +1,14 @@
 """What keeps queries in proportion to their tables: steps made once, and dealt to all cores."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from reelmark.functions import extract
 from reelmark.functions import patterns as P
-from reelmark.llm import components, near_dedup, suffix_dedup
+from reelmark.llm import common, components, decontamination, near_dedup, suffix_dedup
 from reelmark.operators import datasets, hybrid
 from reelmark.plans import dataset_queries
 from reelmark.streaming import quiet
@@ -92,3 +93,11 @@ def test_edges_are_joined_up_within_tasks(spark, tmp_path):
     assert sorted(zip(u.tolist(), v.tolist())) == [(2, 1), (3, 1), (4, 1), (9, 8)]
     chain = spark.range(1, 500, 1, 1).selectExpr("id AS u", "id - 1 AS v")
     assert components._contracted(chain).where("v = 0").count() == 499
+
+
+def test_batches_are_cut_by_rows_and_characters(monkeypatch):
+    """Scans hold a bounded part of a batch's words, whatever Spark sends at once."""
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", None, "c" * 30, "d", "e", "f"]})
+    monkeypatch.setattr(common, "TEXT_AT_ONCE", 20)
+    assert [(part.num_rows, texts) for part, texts in common.slices(batch, 2)] == [(2, ["ab", None]), (1, ["c" * 30]), (2, ["d", "e"]), (1, ["f"])]
+    assert decontamination.DOCUMENTS_AT_ONCE <= 2000 and not list(common.slices(batch.slice(0, 0)))
