@@ -76,9 +76,12 @@ def bio_tags(classes: Column) -> Column:
 
 def silver(names: DataFrame, column: str = "name") -> DataFrame:
     """(name, tokens, ner_tags) of distinct names that parse well enough to teach."""
-    rows = names.select(strip_prefix(F.col(column)).alias("name")).where("name != ''").distinct()
+    rows = names.select(strip_prefix(F.col(column)).alias("name")).where("name != ''")
+    # Names are short: all cores get some, however few bytes they are.
+    session = names.sparkSession
+    rows = rows.repartition(max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))), "name").distinct()
     rows = parse_heuristic(rows).where((F.col("parsed.confidence") >= LEAST_CONFIDENCE) & (F.col("parsed.title").isNotNull() | F.col("parsed.group").isNotNull()))
-    rows = rows.withColumn("t", tokens.tokenize(F.col("name"))).where(F.size("t") >= LEAST_TOKENS)
+    rows = rows.withColumn("t", pinned(tokens.tokenize(F.col("name")))).where(F.size("t") >= LEAST_TOKENS)
     rows = rows.withColumn("c", pinned(token_classes(F.col("parsed"), F.col("t")))).where(F.exists("c", lambda c: c != "O"))
     return rows.select("name", F.col("t.text").alias("tokens"), bio_tags(F.col("c")).alias("ner_tags"))
 

@@ -38,10 +38,12 @@ def best_path(emissions: np.ndarray, transitions: np.ndarray, last_wins: bool =
     if not len(emissions):
         return []
     score, back = emissions[0].astype(np.float32), []
+    moves = np.ascontiguousarray(transitions.T, np.float32)  # by the label that is moved to
+    every = np.arange(len(moves))
     for row in emissions[1:].astype(np.float32):
-        paths = score[:, None] + transitions.astype(np.float32)
-        back.append(paths.argmax(axis=0))
-        score = paths.max(axis=0) + row
+        paths = score + moves
+        back.append(paths.argmax(axis=1))
+        score = paths[every, back[-1]] + row
     label = int(len(score) - 1 - score[::-1].argmax() if last_wins else score.argmax())
     path = [label]
     for step in reversed(back):

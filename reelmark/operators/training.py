@@ -8,6 +8,7 @@ cluster, as does a partition whose executor is lost; a task reads its sentences
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,22 +18,48 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reelmark.functions.sanitize import pinned
 from reelmark.operators.sequence import TAGS, best_path
 from reelmark.operators.shared import written
 
 BITS = 14
 
 
-def features(tokens: list[str], bits: int = BITS) -> list[np.ndarray]:
-    """Buckets of each token's features: itself, its neighbours, its ends, its pattern and its place."""
-    low = ["<s>", *(t.lower() for t in tokens), "</s>"]
+#: Words and pairs of words whose buckets are remembered, each at most.
+REMEMBERED = 1 << 16
+
+
+def _bucket(feature: str, bits: int) -> int:
+    return zlib.crc32(feature.encode()) >> (32 - bits)
+
+
+@functools.lru_cache(REMEMBERED)
+def _of_token(token: str, bits: int) -> tuple[str, tuple[int, ...]]:
+    """The token in lower case, and the buckets of itself, as a previous and as a next one, and of its ends and pattern."""
+    w = token.lower()
+    pattern = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in w[:12])
+    return w, tuple(_bucket(n, bits) for n in (f"w {w}", f"p {w}", f"n {w}", f"s {w[-3:]}", f"f {w[:2]}", f"x {pattern}"))
+
+
+@functools.lru_cache(REMEMBERED)
+def _of_pair(w: str, before: str, bits: int) -> int:
+    return _bucket(f"b {w} {before}", bits)
+
+
+@functools.lru_cache(64)
+def _of_place(at: int, left: int, bits: int) -> tuple[int, int, int]:
+    return _bucket(f"at {at}", bits), _bucket(f"end {left}", bits), _bucket("bias", bits)
+
+
+def features(tokens: list[str], bits: int = BITS) -> np.ndarray:
+    """Buckets of each token's features, a row each: itself, its neighbours, its ends, its pattern and its place."""
+    own = [_of_token("<s>", bits), *(_of_token(t, bits) for t in tokens), _of_token("</s>", bits)]
     out = []
-    for i, t in enumerate(tokens, 1):
-        w = low[i]
-        pattern = "".join("0" if c.isdigit() else "a" if c.isalpha() else c for c in w[:12])
-        named = (f"w {w}", f"p {low[i - 1]}", f"n {low[i + 1]}", f"s {w[-3:]}", f"f {w[:2]}", f"x {pattern}", f"at {min(i, 6)}", f"end {min(len(tokens) - i, 2)}", f"b {w} {low[i - 1]}", "bias")
-        out.append(np.array([zlib.crc32(n.encode()) >> (32 - bits) for n in named]))
-    return out
+    for i in range(1, len(own) - 1):
+        (before, prev), (w, mine), (_, after) = own[i - 1 : i + 2]
+        place, end, bias = _of_place(min(i, 6), min(len(tokens) - i, 2), bits)
+        out.append((mine[0], prev[1], after[2], *mine[3:], place, end, _of_pair(w, before, bits), bias))
+    return np.array(out, np.int64).reshape(len(tokens), 10)
 
 
 @dataclass
@@ -47,10 +74,10 @@ class Tagger:
     def new(cls, bits: int = BITS) -> Tagger:
         return cls(np.zeros((1 << bits, len(TAGS))), np.zeros((len(TAGS), len(TAGS))), bits)
 
-    def emissions(self, found: list[np.ndarray]) -> np.ndarray:
-        return np.array([self.weights[f].sum(axis=0) for f in found]).reshape(-1, len(TAGS))
+    def emissions(self, found: np.ndarray) -> np.ndarray:
+        return self.weights[found].sum(axis=1)
 
-    def predict(self, found: list[np.ndarray]) -> list[int]:
+    def predict(self, found: np.ndarray) -> list[int]:
         return best_path(self.emissions(found), self.moves)
 
     def learn(self, tokens: list[str], gold: list[int]) -> int:
@@ -84,7 +111,9 @@ class Tagger:
 def prepared(sentences: DataFrame, key: str, tokens: str, tags: str) -> DataFrame:
     """(key, tokens, gold) of the sentences that can teach: as many known tags as tokens, and one at least."""
     numbers = F.map_from_arrays(F.array(*map(F.lit, TAGS)), F.array(*map(F.lit, range(len(TAGS)))))
-    rows = sentences.select(F.col(key).cast("string").alias("key"), F.col(tokens).alias("tokens"), F.transform(tags, lambda t: F.try_element_at(numbers, t)).alias("gold"))
+    # Made once, above the filter, which asks for them several times.
+    rows = sentences.select(F.col(key).cast("string").alias("key"), pinned(F.col(tokens)).alias("tokens"), pinned(F.col(tags)).alias("tags"))
+    rows = rows.select("key", "tokens", pinned(F.transform("tags", lambda t: F.try_element_at(numbers, t))).alias("gold"))
     whole = (F.size("tokens") > 0) & (F.size("tokens") == F.size("gold")) & F.forall("gold", lambda g: g.isNotNull()) & F.forall("tokens", lambda t: t.isNotNull())
     return rows.where(F.col("tokens").isNotNull() & F.col("gold").isNotNull()).where(whole)
 
