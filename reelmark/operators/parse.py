@@ -37,11 +37,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def parse_heuristic(df: DataFrame, column: str = "name", mode: str = "Light") -> DataFrame:
+def parse_heuristic(df: DataFrame, column: str = "name", mode: str = "Light", made: tuple[str, ...] = FIELDS) -> DataFrame:
     """``df`` with a struct column ``parsed`` (RECORD) for each name.
 
     The stages are projections of one another, so that no expression is evaluated twice. A blank or
-    null name gives a record whose ``error`` is EmptyInput and whose other fields are null.
+    null name gives a record whose ``error`` is EmptyInput and whose other fields are null. Fields that
+    are not ``made`` are null and cost nothing; so is then the confidence, which rests on all of them.
     """
     text, year = F.col("_text"), F.col("_year")
     out = df.withColumn("_text", extract.trimmed(F.coalesce(F.col(column), F.lit("")))).withColumn("_year", extract.year(text))
@@ -53,24 +54,26 @@ def parse_heuristic(df: DataFrame, column: str = "name", mode: str = "Light") ->
     out = out.withColumns({"_version": extract.version(text, F.col("_episode")), "_work": extract.title_without_metadata(text, F.col("_group"), F.col("_extension"))})
     out = out.withColumn("_cut", extract.title_cut_at_episode(F.col("_work"), year))
     out = out.withColumn("_title", extract.title_cleaned(F.col("_cut"), year))
-    fields = {name: F.col("_" + name) for name in FIELDS}
+    left_out = lambda c: F.when(F.lit(False), c)
+    fields = {name: F.col("_" + name) if name in made else left_out(F.col("_" + name)) for name in FIELDS}
+    confidence = extract.confidence(fields) if set(FIELDS) <= set(made) else left_out(extract.confidence(fields))
     blank = text == ""
     record = F.struct(
         text.alias("input"), *(F.when(~blank, c).alias(n) for n, c in fields.items()),
-        F.when(blank, F.lit(0).cast("float")).otherwise(extract.confidence(fields)).alias("confidence"), sanitize.pinned(F.lit(mode)).alias("mode"),
+        F.when(blank, F.lit(0).cast("float")).otherwise(confidence).alias("confidence"), sanitize.pinned(F.lit(mode)).alias("mode"),
         F.when(blank, "EmptyInput").alias("error"),
     )
     return out.select(*df.columns, record.alias("parsed"))
 
 
-def parse(df: DataFrame, column: str = "name", config: ParserConfig = ParserConfig(), neural: str | None = None) -> DataFrame:
-    """``df`` with ``parsed`` in the configured mode.
+def parse(df: DataFrame, column: str = "name", config: ParserConfig = ParserConfig(), neural: str | None = None, made: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``df`` with ``parsed`` in the configured mode; of the heuristic record the fields ``made``.
 
     ``neural`` names a struct column of ``df`` with a neural parser's record; without one, Auto and
     Light are the sanitised heuristic record and Full is an error. No neural weights are at hand here.
     """
     there = config.enable_neural and neural is not None
-    rows = parse_heuristic(df, column, config.mode)
+    rows = parse_heuristic(df, column, config.mode, made)
     record = F.col("parsed")
     if config.mode == "Full" and config.enable_neural:
         if not there:

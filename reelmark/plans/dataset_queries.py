@@ -430,7 +430,7 @@ def stream_parse_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     rows = first_seen(stream.select(F.col("ts").cast("timestamp").alias("ts"), F.expr(_EVENT_NAME).alias("name")), "name", "ts", "100000 days")
-    records = parse_stream(rows).select("parsed.title", "parsed.group", "parsed.episode.episode")
+    records = parse_stream(rows, made=("title", "group", "episode")).select("parsed.title", "parsed.group", "parsed.episode.episode")
     folder = new_folder(spark, "stream")
     query = records.writeStream.format("parquet").option("checkpointLocation", folder + "/state").outputMode("append").trigger(availableNow=True).start(folder + "/rows")
     query.awaitTermination()

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmark.operators.parse import ParserConfig, parse
+from reelmark.operators.parse import FIELDS, ParserConfig, parse
 
 
-def parse_stream(stream: DataFrame, column: str = "name", config: ParserConfig = ParserConfig()) -> DataFrame:
-    """Records of a stream's names; no state is kept. Blank lines are skipped."""
-    return parse(stream.where(F.trim(column) != ""), column, config)
+def parse_stream(stream: DataFrame, column: str = "name", config: ParserConfig = ParserConfig(), made: tuple[str, ...] = FIELDS) -> DataFrame:
+    """Records of a stream's names, or their fields ``made``; no state is kept. Blank lines are skipped."""
+    return parse(stream.where(F.trim(column) != ""), column, config, made=made)
 
 
 def first_seen(stream: DataFrame, column: str, time: str, lateness: str = "10 minutes") -> DataFrame:

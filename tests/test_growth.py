@@ -9,9 +9,9 @@ from __spark_entry__ import queries
 from reelmark.functions import extract
 from reelmark.functions import patterns as P
 from reelmark.llm import common, components, decontamination, near_dedup, suffix_dedup
-from reelmark.operators import datasets, hybrid
+from reelmark.operators import datasets, hybrid, training
 from reelmark.plans import dataset_queries
-from reelmark.streaming import quiet
+from reelmark.streaming import parse_stream, quiet
 from tests.helpers import SMALL
 
 
@@ -101,3 +101,21 @@ def test_batches_are_cut_by_rows_and_characters(monkeypatch):
     monkeypatch.setattr(common, "TEXT_AT_ONCE", 20)
     assert [(part.num_rows, texts) for part, texts in common.slices(batch, 2)] == [(2, ["ab", None]), (1, ["c" * 30]), (2, ["d", "e"]), (1, ["f"])]
     assert decontamination.DOCUMENTS_AT_ONCE <= 2000 and not list(common.slices(batch.slice(0, 0)))
+
+
+def test_fields_that_are_left_out_cost_nothing(spark):
+    """The stream's records ask for three fields; the others are not in its plan, and the three are as ever."""
+    rows = spark.createDataFrame([("[G] Show 7 - 05v2 (2020) (1080p x264).mkv",), ("Movie.2010.1080p.WEB-DL.mkv",)], "name string").repartition(2)
+    asked = ["parsed.title", "parsed.group", "parsed.episode"]
+    found = parse_stream.parse_stream(rows, made=("title", "group", "episode")).select(*asked)
+    plan, whole = _optimised(found), _optimised(parse_stream.parse_stream(rows))
+    # A title is what is left without them, so each is there once.
+    assert all(plan.count(p) == whole.count(p) - 1 for p in (P.SEASON, P.SOURCE, P.CRC32, P.RESOLUTION))
+    assert sorted(map(str, found.collect())) == sorted(map(str, parse_stream.parse_stream(rows).select(*asked).collect()))
+
+
+def test_tags_are_made_once_for_training(spark):
+    """The filter on sentences that can teach does not repeat what makes their tags."""
+    rows = spark.createDataFrame([("a", "x y", "O O")], "id string, w string, t string").repartition(2)
+    rows = rows.select("id", F.split("w", " ").alias("w"), F.transform(F.split("t", " "), lambda t: F.reverse(t)).alias("t"))
+    assert _optimised(training.prepared(rows, "id", "w", "t")).count("reverse(") == 1
