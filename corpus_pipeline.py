@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelmark.llm import decontamination, exact_dedup, near_dedup, packing, toxicity
-from reelmark.llm.common import Scratch, table
+from reelmark.llm.common import Scratch, small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the classifier learns from the labels of these documents."""
+    small_batches(spark)
     return toxicity.drop_toxic(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact_dedup.keep_one(spark, docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, by five-word shingles and a similarity of 0.8."""
+    small_batches(spark)
     return near_dedup.keep_one(spark, docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontamination.drop_leaks(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document that is left, with its sequence and place."""
+    small_batches(spark)
     return packing.pack(spark, docs)
 
 

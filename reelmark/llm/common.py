@@ -28,6 +28,17 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+#: Bytes of rows that go to a Python worker at once. Executor and worker each hold a batch several times over.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's batches for Python by BATCH_BYTES, unless it has a bound of its own; by default they are of up to 10,000 rows and 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one run in the shared folder: they cut lineage and survive lost executors."""
 
@@ -72,7 +83,7 @@ def text_or_empty(column: str = "text"):
 
 
 #: Characters of text that are worked on at once.
-TEXT_AT_ONCE = 1 << 22
+TEXT_AT_ONCE = 1 << 20
 
 
 def slices(batch: pa.RecordBatch, rows: int = 2000) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:

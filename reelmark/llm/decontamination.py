@@ -47,6 +47,8 @@ DOCUMENTS_AT_ONCE = 1000
 class PlainWords(WordHashes):
     """Hashes of words without their case and the punctuation at their ends; 0 if nothing is left."""
 
+    BOUND = 1 << 16
+
     def __missing__(self, word: bytes) -> int:
         plain = word.decode("utf-8", "replace").lower()
         first, last = 0, len(plain)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import Scratch, table, text_or_empty
+from reelmark.llm.common import Scratch, slices, table, text_or_empty
 
 CAPACITY = 4096
 END_ID = 1
@@ -50,7 +50,7 @@ class Encoder(dict):
     its words, one after another; ``whole`` is the tokenizer itself, for all other texts.
     """
 
-    BOUND = 1_000_000
+    BOUND = 1 << 17
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -112,15 +112,15 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path or vocabulary_path()).encode
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for rows_of, texts in (cut for batch in batches for cut in slices(batch)):
             found = []
-            for at, text in enumerate(batch.column("text").to_pylist()):
+            for at, text in enumerate(texts):
                 ids = encode(text) + end
                 for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[start : start + 4 * capacity]
                     found.append((at, piece, start // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<u4").astype("int32") if with_ids else None))
             owner, piece, start, length, crc, ids = zip(*found) if found else ((),) * 6
-            columns = [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+            columns = [rows_of.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names + ["ids"] * with_ids)
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelmark.llm.common import MIX_A, Scratch, table, text_or_empty
+from reelmark.llm.common import MIX_A, Scratch, slices, table, text_or_empty
 
 ORDERS = (4, 5)
 BUCKET_BITS = 20
@@ -195,9 +195,9 @@ def score(docs: DataFrame, weights: np.ndarray, orders=ORDERS, bits: int = BUCKE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, orders, bits)
-        for batch in batches:
-            scores = pa.array(model.scores(batch.column("text").to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
+        for part, texts in (cut for batch in batches for cut in slices(batch)):
+            scores = pa.array(model.scores(texts), pa.float64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), scores], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, score double")
 
@@ -217,8 +217,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(sent.value, orders, bits)
-        for batch in batches:
-            yield batch.filter(pa.array(~model.rejects(batch.column("text").to_pylist(), threshold)))
+        for part, texts in (cut for batch in batches for cut in slices(batch)):
+            yield part.filter(pa.array(~model.rejects(texts, threshold)))
 
     return docs.mapInArrow(run, docs.schema)
 

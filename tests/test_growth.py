@@ -5,10 +5,11 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from __spark_entry__ import queries
 from reelmark.functions import extract
 from reelmark.functions import patterns as P
-from reelmark.llm import common, components, decontamination, near_dedup, suffix_dedup
+from reelmark.llm import common, components, decontamination, near_dedup, packing, suffix_dedup
 from reelmark.operators import datasets, hybrid, training
 from reelmark.plans import dataset_queries
 from reelmark.streaming import parse_stream, quiet
@@ -119,3 +120,40 @@ def test_tags_are_made_once_for_training(spark):
     rows = spark.createDataFrame([("a", "x y", "O O")], "id string, w string, t string").repartition(2)
     rows = rows.select("id", F.split("w", " ").alias("w"), F.transform(F.split("t", " "), lambda t: F.reverse(t)).alias("t"))
     assert _optimised(training.prepared(rows, "id", "w", "t")).count("reverse(") == 1
+
+
+def test_workers_of_the_pipeline_get_small_batches(spark):
+    """A batch is bounded by bytes, not only by 10,000 rows; a bound that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat(cast(id % 10 AS string), 10000) AS text")
+    try:
+        spark.conf.set(name, "123456789")
+        corpus_pipeline.drop_copies(spark, docs.limit(0), SMALL)
+        assert spark.conf.get(name) == "123456789"
+        spark.conf.unset(name)
+        corpus_pipeline.drop_copies(spark, docs.limit(0), SMALL)
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "size": [batch.nbytes]})
+
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+    finally:
+        spark.conf.unset(name)
+    assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) <= 2 * common.BATCH_BYTES
+
+
+def test_words_are_remembered_up_to_a_bound():
+    """A worker that scans ever more new words holds no more of them, and hashes a word the same when it meets it again."""
+    hashes, words = decontamination.PlainWords(), [b"w%d" % i for i in range(150_000)]
+    first = hashes.of(words[:1000])
+    hashes.of(words)
+    assert len(hashes) <= 1 << 16 and (hashes.of(words[:1000]) == first).all()
+    encode = packing.encoder(packing.vocabulary_path())
+    ids = encode.encode("w1 w2 w3")
+    most = 0
+    for at in range(0, 150_000, 10_000):
+        encode.encode(" ".join(f"w{i}" for i in range(at, at + 10_000)))
+        most = max(most, len(encode))
+    assert most <= (1 << 17) + 40_000 and encode.encode("w1 w2 w3") == ids
