@@ -219,13 +219,15 @@ def repeated_starts(texts: list[bytes], docs: np.ndarray, firsts: np.ndarray, co
     again = group[1:] == group[:-1]
     several = np.append(again, False) | np.append(False, again)
     mine, group = mine[several], group[several]
+    out = np.zeros(len(doc), bool)
+    if not len(mine):
+        return out
     by = np.lexsort((start[mine], doc[mine], group))
     mine, group = mine[by], group[by]
     later = np.concatenate([[False], group[1:] == group[:-1]])
     # A string at the group's first place itself isn't earlier (rows that repeat a document).
     head = np.maximum.accumulate(np.where(later, 0, np.arange(len(mine))))
     later &= (doc[mine] != doc[mine[head]]) | (start[mine] != start[mine[head]])
-    out = np.zeros(len(doc), bool)
     out[mine[later]] = True
     return out
 

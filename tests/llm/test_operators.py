@@ -360,6 +360,16 @@ def test_interval_expansion_is_brute_force(alphabet):
                 assert found[place] == (strings[place] == strings[place - 1])
 
 
+def test_starts_without_any_repeat():
+    """Texts that share an anchor but no string of ``least`` bytes: a task may get nothing else."""
+    texts = [bytes(range(97, 122)), bytes(range(100, 122)) + b"abc"]
+    found = suffix_dedup.repeated_starts(texts, np.array([0, 1]), np.array([0, 5]), np.array([3, 3]), 23)
+    assert found.tolist() == [False] * 6
+    assert suffix_dedup.repeated_starts(texts[:1], np.array([0]), np.array([0]), np.array([3]), 23).tolist() == [False] * 3
+    found = suffix_dedup.repeated_starts(texts, np.array([0, 1]), np.array([0, 5]), np.array([4, 4]), 22)
+    assert found.tolist() == [False] * 4 + [True] + [False] * 3
+
+
 @pytest.mark.parametrize("most", [1000, 1])
 def test_suffix_dedup_is_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
